@@ -29,7 +29,7 @@ MISSING_TOKENS = (
 )
 BOOLEAN_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 _QUOTED = r'"(?:[^"]|"")*"'
 
 
