@@ -12,9 +12,11 @@ UNDEFINED = "—"
 def statistic_text(column: Column) -> Column:
     """A DOUBLE statistic: dash if NULL, scientific below 0.01, else two decimals rounded half-even."""
     value = column.cast("double")
+    # DecimalFormat rounds the exact binary value half-even; format_string would round the shortest decimal half-up.
+    scientific = F.replace(F.call_function("format_number", value, F.lit("0.000E00")), F.lit("E"), F.lit("e"))
     return (
         F.when(value.isNull(), F.lit(UNDEFINED))
-        .when((value != 0) & (F.abs(value) < F.lit(0.01)), F.format_string("%.3e", value))
+        .when((value != 0) & (F.abs(value) < F.lit(0.01)), scientific)
         .otherwise(F.call_function("format_number", value, F.lit("0.00")))
     )
 
