@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.registry import DIRTY_SQL, KINDS, events_dirty, query, rounded, statistic_sql, table
+from descry.functions.formatting import count_text, percent_text, statistic_text
 from descry.operators import describe
 from descry.plans import report
 
@@ -117,15 +118,12 @@ def numeric_table(spark, folder):
   WHEN o_orderkey % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE -o_totalprice / 8 END AS x FROM orders)
 SELECT o_orderkey, {statistic_sql('x')} AS statistic, printf('%.1f', x) AS percent, CAST(o_orderkey AS VARCHAR) AS count FROM t""")
 def format_numbers(spark, folder):
-    from descry.functions.formatting import count_text, percent_text, statistic_text
-
     numbers = table(spark, folder, "orders").selectExpr(
         "o_orderkey", "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_totalprice / 1e8D "
         "WHEN o_orderkey % 5 = 0 THEN 0D ELSE -o_totalprice / 8D END AS x"
     )
-    x = F.col("x")
     return numbers.select(
-        "o_orderkey", statistic_text(x).alias("statistic"), percent_text(x).alias("percent"), count_text(F.col("o_orderkey")).alias("count")
+        "o_orderkey", statistic_text("x").alias("statistic"), percent_text("x").alias("percent"), count_text("o_orderkey").alias("count")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import (
     DIRTY_KINDS, DIRTY_SQL, KINDS, big, dirty_profile_sql, events_dirty, profile_sql, query, rounded, table,
 )
+from descry.functions.sqltext import display_label
 from descry.operators import charts, profile
 from descry.plans.report import relabel
 
@@ -172,8 +173,8 @@ _LABELS = {"value": "Measured value", "event_type": " Kind of event ", "ts": ""}
 FROM profiled""")
 def relabel_profile(spark, folder):
     renamed, _ = relabel(events_dirty(spark, folder), _LABELS)
-    return profile.profile(renamed).select(
-        "position", "column_id", profile.display_label(F.col("label"), _UNITS).alias("variable"), "role", "missing"
+    return profile.profile(renamed).selectExpr(
+        "position", "column_id", f"{display_label('label', _UNITS)} AS variable", "role", "missing"
     )
 
 

@@ -5,27 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the text of an undefined statistic.
-UNDEFINED = "—"
+from descry.functions import sqltext
 
 
-def statistic_text(column: Column) -> Column:
-    """A DOUBLE statistic: dash if NULL, scientific below 0.01, else two decimals rounded half-even."""
-    value = column.cast("double")
-    # DecimalFormat rounds the exact binary value half-even; format_string would round the shortest decimal half-up.
-    scientific = F.replace(F.call_function("format_number", value, F.lit("0.000E00")), F.lit("E"), F.lit("e"))
-    return (
-        F.when(value.isNull(), F.lit(UNDEFINED))
-        .when((value != 0) & (F.abs(value) < F.lit(0.01)), scientific)
-        .otherwise(F.call_function("format_number", value, F.lit("0.00")))
-    )
+def statistic_text(name: str) -> Column:
+    """The text of a DOUBLE column."""
+    return F.expr(sqltext.statistic_text(sqltext.named(name)))
 
 
-def count_text(column: Column) -> Column:
-    """An integer count: printed as it is."""
-    return F.coalesce(column.cast("string"), F.lit(UNDEFINED))
+def count_text(name: str) -> Column:
+    """The text of an integer column."""
+    return F.expr(sqltext.count_text(sqltext.named(name)))
 
 
-def percent_text(column: Column) -> Column:
-    """A percentage with one decimal."""
-    return F.call_function("format_number", column.cast("double"), F.lit("0.0"))
+def percent_text(name: str) -> Column:
+    """The text of a percentage, one decimal."""
+    return F.expr(sqltext.percent_text(sqltext.named(name)))

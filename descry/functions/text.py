@@ -15,12 +15,12 @@ LITERAL_NUMBER = r"(?<![\p{L}\p{N}_\]])[-+]?\p{Nd}+(?:[.,]\p{Nd}+)?(?:[eE][-+]?\
 NUMBER_TEXT = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity|nan)\s*$"
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def strip(column: Column) -> Column:
     """Remove leading and trailing white space of every kind (Spark's trim removes blanks only)."""
-    return F.regexp_replace(column, _EDGE_SPACE, "")
+    return F.regexp_replace(column, EDGE_SPACE, "")
 
 
 def is_iso_date(column: Column) -> Column:
@@ -45,15 +45,3 @@ def without_fact_tokens(prose: Column) -> Column:
 def has_literal_number(text: Column) -> Column:
     """Whether the text states a number outside fact tokens."""
     return F.rlike(without_fact_tokens(text), F.lit(LITERAL_NUMBER))
-
-
-def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """Replace every ``{name}`` of a template in one pass, so inserted text is never expanded again."""
-    names = list(values)
-    holes = r"\{(" + "|".join(names) + r")\}"
-    lookup = F.create_map(*[part for name in names for part in (F.lit(name), values[name].cast("string"))])
-    texts = F.split(template, holes, -1)
-    keys = F.concat(F.regexp_extract_all(template, F.lit(holes), F.lit(1)), F.array(F.lit("")))
-    return F.array_join(
-        F.zip_with(texts, keys, lambda text, key: F.concat(text, F.coalesce(lookup[key], F.lit("")))), ""
-    )

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from descry import wording
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
-from descry.functions.text import fill_template
-from descry.functions.wide import literal_rows
+from descry.functions import sqltext as Q
+from descry.functions.wide import literal_table
 from descry.operators.compare import _order_key, require_group_count
-from descry.operators.profile import display_label
 from descry.operators.quantiles import exact_quantiles
 
 # Sizes of the displays and the seed of the scatter sample.
@@ -174,59 +173,40 @@ def select_charts(
     if preferred_kind is not None and preferred_kind not in CHART_KINDS:
         raise AnalysisError(f"Unknown chart kind '{preferred_kind}'.")
     titles = wording.CHART_TITLES[language]
-    count_label = F.lit(wording.label(language, "count"))
-    shown = display_label(F.col("label"), units)
-    kind = F.when(F.col("role") == "numeric", F.lit("histogram")).when(
-        F.col("role").isin("categorical", "ordinal") & (F.col("unique_nonmissing") <= MAX_BAR_CATEGORIES), F.lit("bar")
+    shown = Q.display_label("label", units)
+    is_bar = f"(role IN ('categorical', 'ordinal') AND unique_nonmissing <= {MAX_BAR_CATEGORIES})"
+    later = f"kind <> {Q.quoted(preferred_kind)}" if preferred_kind else "false"
+    per_column = profiled.selectExpr(
+        "*", f"CASE WHEN role = 'numeric' THEN 'histogram' WHEN {is_bar} THEN 'bar' END AS kind"
+    ).where("kind IS NOT NULL").selectExpr(
+        "2 AS stage", f"{later} AS later", "position",
+        "concat(IF(kind = 'histogram', 'chart_hist_', 'chart_bar_'), column_id) AS chart_id", "kind", "array(column_id) AS variable_ids",
+        f"IF(kind = 'histogram', {Q.filled(titles['histogram'], {'a': shown})}, {Q.filled(titles['bar'], {'a': shown})}) AS title",
+        f"{shown} AS x_label", f"{Q.quoted(wording.label(language, 'count'))} AS y_label",
+        "IF(kind = 'histogram', nonmissing - nonfinite, nonmissing) AS valid_n",
     )
-    valid_n = F.when(F.col("kind") == "histogram", F.col("nonmissing") - F.col("nonfinite")).otherwise(F.col("nonmissing"))
-    title = F.when(F.col("kind") == "histogram", F.lit(titles["histogram"])).otherwise(F.lit(titles["bar"]))
-    prefix = F.when(F.col("kind") == "histogram", F.lit("chart_hist_")).otherwise(F.lit("chart_bar_"))
-    per_column = (
-        profiled.withColumn("kind", kind)
-        .where(F.col("kind").isNotNull())
-        .select(
-            F.lit(2).alias("stage"),
-            (F.col("kind") != F.lit(preferred_kind) if preferred_kind else F.lit(False)).alias("later"),
-            "position",
-            F.concat(prefix, F.col("column_id")).alias("chart_id"),
-            "kind",
-            F.array("column_id").alias("variable_ids"),
-            fill_template(title, {"a": shown}).alias("title"),
-            shown.alias("x_label"),
-            count_label.alias("y_label"),
-            valid_n.alias("valid_n"),
-        )
-    )
-    missing_chart = (
-        profiled.agg(
-            F.sum("missing").alias("missing"),
-            F.max(F.col("missing") + F.col("nonmissing")).alias("rows"),
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "column_id"))), lambda c: c["column_id"]).alias("ids"),
-        )
-        .where(F.col("missing") > 0)
-        .select(
-            F.lit(1).alias("stage"), F.lit(False).alias("later"), F.lit(0).alias("position"),
-            F.lit("chart_missingness").alias("chart_id"), F.lit("missingness").alias("kind"),
-            F.col("ids").alias("variable_ids"), F.lit(titles["missingness"]).alias("title"),
-            F.lit(wording.label(language, "missing_pct")).alias("x_label"),
-            F.lit(wording.label(language, "variable")).alias("y_label"),
-            F.col("rows").alias("valid_n"),
-        )
+    missing_chart = profiled.selectExpr(
+        "sum(missing) AS missing", "max(missing + nonmissing) AS rows", "array_sort(collect_list(struct(position, column_id))) AS ids"
+    ).where("missing > 0").selectExpr(
+        "1 AS stage", "false AS later", "0 AS position", "'chart_missingness' AS chart_id", "'missingness' AS kind",
+        "ids.column_id AS variable_ids", f"{Q.quoted(titles['missingness'])} AS title",
+        f"{Q.quoted(wording.label(language, 'missing_pct'))} AS x_label", f"{Q.quoted(wording.label(language, 'variable'))} AS y_label",
+        "rows AS valid_n",
     )
     charts = per_column.unionByName(missing_chart)
     if primary:
-        labels = list(primary["labels"])
-        first, second = (labels + [""])[:2]
-        chosen = F.struct(
-            F.lit(0).alias("stage"), F.lit(False).alias("later"), F.lit(0).alias("position"),
-            F.lit(primary["chart_id"]).alias("chart_id"), F.lit(primary["kind"]).alias("kind"),
-            F.array(*[F.lit(v) for v in primary["variable_ids"]]).alias("variable_ids"),
-            fill_template(F.lit(titles[primary["kind"]]), {"a": F.lit(first), "b": F.lit(second)}).alias("title"),
-            F.lit(first).alias("x_label"), F.lit(second).alias("y_label"),
-            F.lit(primary["valid_n"]).cast("bigint").alias("valid_n"),
+        first, second = ([*primary["labels"], ""])[:2]
+        title = titles[primary["kind"]].format(a=first, b=second)
+        chosen = {
+            "stage": 0, "later": False, "position": 0, "chart_id": primary["chart_id"], "kind": primary["kind"],
+            "variable_ids": list(primary["variable_ids"]), "title": title, "x_label": first, "y_label": second,
+            "valid_n": primary["valid_n"],
+        }
+        schema = (
+            "stage int, later boolean, position int, chart_id string, kind string, variable_ids array<string>, title string, "
+            "x_label string, y_label string, valid_n bigint"
         )
-        charts = charts.unionByName(profiled.sparkSession.range(1).select(literal_rows(chosen)))
+        charts = charts.unionByName(literal_table(profiled.sparkSession, [chosen], schema))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stage", "later", "position"))
     return charts.withColumn("rank", rank).select(
         "rank", "chart_id", "kind", "variable_ids", "title", "x_label", "y_label", "valid_n",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions.dates import as_instant, iso_text
-from descry.functions.wide import aggregate_rows
+from descry.functions import sqltext as Q
+from descry.functions.wide import aggregate_rows, entries
 from descry.operators.describe import defined
 from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT, exact_quantiles
 
@@ -199,28 +200,23 @@ def paired_change_statistics(
     """
     P.require_distinct(pre, post)
     P.require_numeric(df, pre, post)
-    before, after = P.finite(P.ref(pre)), P.finite(P.ref(post))
-    pairs = df.select(before.alias("pre"), after.alias("post"))
-    paired = F.col("pre").isNotNull() & F.col("post").isNotNull()
-    measures = [
-        (i, name, F.when(paired, value))
-        for i, (name, value) in enumerate(
-            [("pre", F.col("pre")), ("post", F.col("post")), ("change", F.col("post") - F.col("pre"))]
+    pairs = df.select(P.finite(P.ref(pre)).alias("pre"), P.finite(P.ref(post)).alias("post"))
+    paired = "(pre IS NOT NULL AND post IS NOT NULL)"
+    measures = {"pre": "pre", "post": "post", "change": "post - pre"}
+    rows = []
+    for i, (name, value) in enumerate(measures.items()):
+        value = f"IF({paired}, {value}, NULL)"
+        rows.append(
+            Q.struct(
+                position=str(i), measure=Q.quoted(name), n=f"count({value})", mean=f"avg({value})", sd=f"stddev_samp({value})",
+                median=f"percentile({value}, 0.5D)" if buffered else "CAST(NULL AS DOUBLE)", excluded_count=f"count_if(NOT {paired})",
+            )
         )
-    ]
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(name).alias("measure"), F.count(value).alias("n"),
-            F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-            (F.percentile(value, F.lit(0.5)) if buffered else F.lit(None).cast("double")).alias("median"),
-            F.count_if(~paired).alias("excluded_count"),
-        )
-        for i, name, value in measures
-    ]
     table = aggregate_rows(pairs, rows)
     if not buffered:
-        entries = F.array(*[F.struct(F.lit(i).alias("position"), value.alias("value")) for i, _, value in measures])
-        medians = exact_quantiles(pairs.where(paired).select(F.inline(entries)), ["position"], "value", [0.5], few_keys=True)
+        long = entries(pairs.where(paired), [Q.struct(position=str(i), value=value) for i, value in enumerate(measures.values())])
+        medians = exact_quantiles(long, ["position"], "value", [0.5], few_keys=True)
+        # Three rows on either side.
         table = table.join(F.broadcast(medians.select("position", "q0")), "position", "left").withColumn("median", F.col("q0"))
     return table.select(
         "measure", "n", "mean", "sd", "median", "excluded_count", F.lit("post_minus_pre").alias("direction")

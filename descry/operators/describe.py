@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
-from descry.functions.wide import aggregate_rows
+from descry.functions import sqltext as Q
+from descry.functions.wide import aggregate_rows, entries
 from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT, exact_quantiles
 
 #: Categories shown, and the label of the remainder.
@@ -29,23 +30,16 @@ def descriptive_statistics(df: DataFrame) -> DataFrame:
         raise AnalysisError("The table has no numeric column.")
     rows = []
     for name in names:
-        value = P.as_number(P.ref(name))
+        value = Q.number(name)
         rows.append(
-            F.struct(
-                F.lit(name).alias("variable"), F.count(value).alias("N"), defined(F.avg(value)).alias("mean"),
-                defined(F.stddev_samp(value)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+            Q.struct(
+                variable=Q.quoted(name), N=f"count({value})", mean=f"nanvl(avg({value}), NULL)",
+                std=f"nanvl(stddev_samp({value}), NULL)", min=f"min({value})", max=f"max({value})",
             )
         )
     return aggregate_rows(df, rows)
 
 
-def _moments(value: Column) -> list[Column]:
-    return [
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-    ]
-
-
 def numeric_profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -68,26 +62,25 @@ def numeric_profile(
 
     rows = []
     for i, name in enumerate(names):
-        column, value = P.ref(name), P.finite(P.ref(name))
+        value = Q.finite(name)
         if approximate_median:
-            median = F.percentile_approx(value, F.lit(0.5), F.lit(10_000))
+            median = f"percentile_approx({value}, 0.5D, 10000)"
         elif name in buffered:
-            median = F.percentile(value, F.lit(0.5))
+            median = f"percentile({value}, 0.5D)"
         else:
-            median = F.lit(None).cast("double")
+            median = "CAST(NULL AS DOUBLE)"
         rows.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(name).alias("variable"), *_moments(value),
-                median.alias("median"),
-                F.count_if(P.missing(column, P.type_of(df, name))).alias("missing_count"),
-                F.count_if(P.is_infinite(column)).alias("nonfinite_count"),
+            Q.struct(
+                position=str(i), variable=Q.quoted(name), n=f"count({value})", mean=f"avg({value})", sd=f"stddev_samp({value})",
+                median=median, min=f"min({value})", max=f"max({value})",
+                missing_count=f"count_if({Q.missing(name, P.type_of(df, name))})", nonfinite_count=f"count_if({Q.infinite(name)})",
             )
         )
     table = aggregate_rows(df, rows)
     narrowed = [] if approximate_median else [(i, n) for i, n in enumerate(names) if n not in buffered]
     if narrowed:
-        entries = F.array(*[F.struct(F.lit(i).alias("position"), P.finite(P.ref(n)).alias("value")) for i, n in narrowed])
-        medians = exact_quantiles(df.select(F.inline(entries)), ["position"], "value", [0.5], few_keys=True)
+        long = entries(df, [Q.struct(position=str(i), value=Q.finite(n)) for i, n in narrowed])
+        medians = exact_quantiles(long, ["position"], "value", [0.5], few_keys=True)
         # At most one row per column on either side.
         table = (
             table.join(F.broadcast(medians.select("position", "q0")), "position", "left")
@@ -120,15 +113,8 @@ def categorical_profile(
         raise AnalysisError("No categorical column was selected.")
     if max_categories < 1:
         raise AnalysisError("max_categories must be at least 1.")
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.when(
-                P.present(P.ref(name), P.type_of(df, name)), P.label_text(P.ref(name), P.type_of(df, name))
-            ).alias("label"))
-            for i, name in enumerate(columns)
-        ]
-    )
-    counts = df.select(F.inline(entries)).groupBy("position", "label").agg(F.count(F.lit(1)).alias("count"))
+    long = entries(df, [Q.struct(position=str(i), label=Q.label(n, P.type_of(df, n))) for i, n in enumerate(columns)])
+    counts = long.groupBy("position", "label").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("position").agg(
         F.coalesce(F.sum(F.when(F.col("label").isNotNull(), F.col("count"))), F.lit(0)).alias("valid_n"),
         F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
@@ -153,7 +139,7 @@ def categorical_profile(
             F.lit(True).alias("is_remainder"),
         )
     )
-    names = F.array(*[F.lit(name) for name in columns])
+    names = F.expr(f"array({', '.join(Q.quoted(name) for name in columns)})")
     return shown.unionByName(remainder).select(
         "position",
         names[F.col("position")].alias("variable"),

@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from descry import wording
-from descry.functions import predicates as P
-from descry.functions.formatting import count_text, percent_text, statistic_text
-from descry.functions.wide import literal_rows
-from descry.operators.profile import display_label
+from descry.functions import sqltext as Q
+from descry.functions.wide import literal_table
 
 # Smallest cell that may be shared, facts per payload, characters of shared context.
 SMALL_CELL = 5
@@ -38,11 +36,9 @@ def labels(spark: SparkSession) -> DataFrame:
 
 def _literal_table(spark: SparkSession, table: Mapping[str, Mapping[str, str]], name: str) -> DataFrame:
     rows = [
-        F.struct(F.lit(language).alias("language"), F.lit(key).alias("key"), F.lit(value).alias(name))
-        for language, entries in table.items()
-        for key, value in entries.items()
+        {"language": language, "key": key, name: value} for language, texts in table.items() for key, value in texts.items()
     ]
-    return spark.range(1).select(literal_rows(*rows))
+    return literal_table(spark, rows, f"language string, key string, {name} string")
 
 
 def look_up(requests: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -69,126 +65,101 @@ def filled(template: Column, texts: Column) -> Column:
     )
 
 
-def _map(entries: Mapping[str, Column], cast: str) -> Column:
-    return F.create_map(*[part for key, value in entries.items() for part in (F.lit(key), value.cast(cast))])
+def _map(values: Mapping[str, str], type_: str) -> str:
+    return "map(" + ", ".join(f"'{key}', CAST({value} AS {type_})" for key, value in values.items()) + ")"
 
 
 def _fact(
-    order: Column, id_: Column, kind: str, template: Column, texts: Mapping[str, Column], values: Mapping[str, Column],
-    denominator: Column, *, variables: Column | None = None, direction: Column | None = None, codes: Column | None = None,
-) -> list[Column]:
-    none = F.array().cast("array<string>")
+    order: str, id_: str, kind: str, template: str, texts: Mapping[str, str], values: Mapping[str, str], denominator: str, *,
+    variables: str | None = None, direction: str = "CAST(NULL AS STRING)", codes: str | None = None,
+) -> list[str]:
+    none = "CAST(array() AS ARRAY<STRING>)"
     return [
-        order.alias("ordinal"),
-        id_.alias("id"),
-        F.lit(kind).alias("kind"),
-        (variables if variables is not None else none).alias("variable_ids"),
-        none.alias("group_labels"),
-        denominator.cast("bigint").alias("denominator"),
-        _map(values, "double").alias("values"),
-        F.lit(wording.FACT_METHODS[kind]).alias("method"),
-        (direction if direction is not None else F.lit(None).cast("string")).alias("direction"),
-        (codes if codes is not None else none).alias("allowed_interpretation_codes"),
-        template.alias("template_key"),
-        _map(texts, "string").alias("texts"),
+        f"CAST({order} AS BIGINT) AS ordinal", f"{id_} AS id", f"'{kind}' AS kind", f"{variables or none} AS variable_ids",
+        f"{none} AS group_labels", f"CAST({denominator} AS BIGINT) AS denominator", f"{_map(values, 'DOUBLE')} AS values",
+        f"{Q.quoted(wording.FACT_METHODS[kind])} AS method", f"{direction} AS direction",
+        f"{codes or none} AS allowed_interpretation_codes", f"{template} AS template_key", f"{_map(texts, 'STRING')} AS texts",
     ]
 
 
+_STATISTICS = ("mean", "sd", "median", "min", "max")
+
+
 def dataset_fact(profiled: DataFrame) -> DataFrame:
-    size = profiled.agg(
-        F.coalesce(F.max(F.col("missing") + F.col("nonmissing")), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("columns")
-    )
-    rows, columns = F.col("rows"), F.col("columns")
-    return size.select(
-        *_fact(
-            F.lit(0).cast("bigint"), F.lit("dataset_size"), "dataset", F.lit("dataset"),
-            {"rows": count_text(rows), "columns": count_text(columns)}, {"rows": rows, "columns": columns}, rows,
-        )
-    )
+    size = profiled.selectExpr("coalesce(max(missing + nonmissing), 0L) AS rows", "count(1) AS columns")
+    texts = {"rows": Q.count_text("rows"), "columns": Q.count_text("columns")}
+    values = {"rows": "rows", "columns": "columns"}
+    return size.selectExpr(*_fact("0", "'dataset_size'", "dataset", "'dataset'", texts, values, "rows"))
 
 
 def missing_facts(profiled: DataFrame, units: Mapping[str, str] | None = None) -> DataFrame:
     """One fact per column with missing values."""
-    missing = F.col("missing")
-    rows = missing + F.col("nonmissing")
-    share = P.percent(missing, rows)
-    return profiled.where(missing > 0).select(
+    share = Q.percent("missing", "missing + nonmissing")
+    texts = {"label": Q.display_label("label", units), "missing": Q.count_text("missing"), "percent": Q.percent_text(share)}
+    return profiled.where("missing > 0").selectExpr(
         *_fact(
-            F.lit(1_000).cast("bigint") + F.col("position"), F.concat(F.lit("missing_"), F.col("column_id")), "missingness",
-            F.lit("missing"),
-            {"label": display_label(F.col("label"), units), "missing": count_text(missing), "percent": percent_text(share)},
-            {"missing_n": missing, "percent": share}, rows, variables=F.array("column_id"),
+            "1000 + position", "concat('missing_', column_id)", "missingness", "'missing'", texts,
+            {"missing_n": "missing", "percent": share}, "missing + nonmissing", variables="array(column_id)",
         )
     )
 
 
 def numeric_facts(summary: DataFrame, column_ids: Mapping[str, str], units: Mapping[str, str] | None = None) -> DataFrame:
     """One fact per row of a numeric profile."""
-    lookup = F.create_map(*[F.lit(part) for pair in column_ids.items() for part in pair])
-    statistics = ("mean", "sd", "median", "min", "max")
-    texts = {"label": display_label(F.col("variable"), units), "n": count_text(F.col("n"))}
-    texts |= {name: statistic_text(F.col(name)) for name in ("mean", "sd", "median")}
-    texts |= {"minimum": statistic_text(F.col("min")), "maximum": statistic_text(F.col("max"))}
-    values = {name: F.col(name) for name in ("n", "missing_count", "nonfinite_count", *statistics)}
-    return summary.withColumn("column_id", lookup[F.col("variable")]).select(
+    names = dict(zip(_STATISTICS, ("mean", "sd", "median", "minimum", "maximum")))
+    texts = {"label": Q.display_label("variable", units), "n": Q.count_text("n")}
+    texts |= {text: Q.statistic_text(name) for name, text in names.items()}
+    values = {name: name for name in ("n", "missing_count", "nonfinite_count", *_STATISTICS)}
+    return summary.selectExpr("*", f"{Q.choice('variable', column_ids)} AS column_id").selectExpr(
         *_fact(
-            F.lit(2_000).cast("bigint") + F.col("position"), F.concat(F.lit("numeric_"), F.col("column_id")),
-            "numeric_descriptive", F.lit("numeric"), texts, values, F.col("n"), variables=F.array("column_id"),
+            "2000 + position", "concat('numeric_', column_id)", "numeric_descriptive", "'numeric'", texts, values, "n",
+            variables="array(column_id)",
         )
     )
 
 
-def difference_fact(effect: DataFrame, valid_n: Column) -> DataFrame:
+def difference_fact(effect: DataFrame, valid_n: int) -> DataFrame:
     """The fact of a defined Cohen's d; ``effect`` is the row of ``cohens_d``."""
-    names = {"first": F.col("group_1"), "second": F.col("group_2")}
-    direction = filled(F.lit(wording.sentence("en", "direction")), _map(names, "string"))
-    values = {"mean_difference": F.col("mean_difference"), "cohens_d": F.col("cohens_d")}
+    direction = Q.filled(wording.sentence("en", "direction"), {"first": "group_1", "second": "group_2"})
     texts = {
-        **names, "direction": direction, "difference": statistic_text(F.col("mean_difference")),
-        "effect": statistic_text(F.col("cohens_d")),
+        "direction": direction, "difference": Q.statistic_text("mean_difference"), "effect": Q.statistic_text("cohens_d"),
     }
-    return effect.where(F.col("reason").isNull()).select(
+    values = {"mean_difference": "mean_difference", "cohens_d": "cohens_d"}
+    return effect.where("reason IS NULL").selectExpr(
         *_fact(
-            F.lit(3_000).cast("bigint"), F.lit("group_difference_1"), "group_difference", F.lit("effect"), texts, values,
-            valid_n, direction=direction, codes=F.array(F.lit("describe_direction")),
+            "3000", "'group_difference_1'", "group_difference", "'effect'", texts, values, str(valid_n), direction=direction,
+            codes="array('describe_direction')",
         )
     )
 
 
 def relationship_fact(relationship: DataFrame) -> DataFrame:
-    r, n = F.col("r"), F.col("n")
-    template = F.when(r.isNotNull(), F.lit("relationship")).otherwise(F.lit("relationship_unavailable"))
-    none = F.array().cast("array<string>")
-    texts = {
-        "first": F.col("first"), "second": F.col("second"), "n": count_text(n), "r": statistic_text(r), "reason": F.col("reason"),
-    }
-    return relationship.select(
+    texts = {"first": "first", "second": "second", "n": Q.count_text("n"), "r": Q.statistic_text("r"), "reason": "reason"}
+    return relationship.selectExpr(
         *_fact(
-            F.lit(3_000).cast("bigint"), F.lit("relationship_1"), "relationship", template, texts, {"r": r, "pairwise_n": n}, n,
-            codes=F.when(r.isNotNull(), F.array(F.lit("linear_association"))).otherwise(none),
+            "3000", "'relationship_1'", "relationship", "IF(r IS NULL, 'relationship_unavailable', 'relationship')", texts,
+            {"r": "r", "pairwise_n": "n"}, "n", codes="IF(r IS NULL, CAST(array() AS ARRAY<STRING>), array('linear_association'))",
         )
     )
 
 
 def change_fact(change: DataFrame) -> DataFrame:
     """The fact of a paired change; ``change`` has the three rows of ``paired_change_statistics``."""
-    n = F.col("n")
-    measures = {name: F.col(name) for name in ("mean", "sd", "median")}
-    texts = {"n": count_text(n)} | {name: statistic_text(column) for name, column in measures.items()}
-    return change.where(F.col("measure") == "change").select(
+    names = ("mean", "sd", "median")
+    texts = {"n": Q.count_text("n")} | {name: Q.statistic_text(name) for name in names}
+    return change.where("measure = 'change'").selectExpr(
         *_fact(
-            F.lit(3_000).cast("bigint"), F.lit("change_1"), "paired_change", F.lit("change"), texts, {"paired_n": n} | measures, n,
-            direction=F.lit("post_minus_pre"), codes=F.array(F.lit("describe_direction")),
+            "3000", "'change_1'", "paired_change", "'change'", texts, {"paired_n": "n"} | {name: name for name in names}, "n",
+            direction="'post_minus_pre'", codes="array('describe_direction')",
         )
     )
 
 
 def time_fact(coverage: DataFrame) -> DataFrame:
-    n = F.col("valid_n")
-    return coverage.select(
+    return coverage.selectExpr(
         *_fact(
-            F.lit(3_000).cast("bigint"), F.lit("time_1"), "date_series", F.lit("time"), {"n": count_text(n)},
-            {"valid_n": n, "dates": F.col("dates")}, n,
+            "3000", "'time_1'", "date_series", "'time'", {"n": Q.count_text("valid_n")}, {"valid_n": "valid_n", "dates": "dates"},
+            "valid_n",
         )
     )
 
@@ -207,14 +178,13 @@ def range_sentences(
     violations: DataFrame, language: str = "en", units: Mapping[str, str] | None = None
 ) -> DataFrame:
     """One sentence per column with values outside the supplied range."""
-    low = F.when(F.col("minimum").isNull(), F.lit("−∞")).otherwise(statistic_text(F.col("minimum")))
-    high = F.when(F.col("maximum").isNull(), F.lit("∞")).otherwise(statistic_text(F.col("maximum")))
     texts = {
-        "label": display_label(F.col("variable"), units), "count": count_text(F.col("outside_n")), "minimum": low, "maximum": high,
+        "label": Q.display_label("variable", units), "count": Q.count_text("outside_n"),
+        "minimum": f"IF(minimum IS NULL, '−∞', {Q.statistic_text('minimum')})",
+        "maximum": f"IF(maximum IS NULL, '∞', {Q.statistic_text('maximum')})",
     }
-    template = F.lit(wording.sentence(language, "range_finding"))
-    return violations.where(F.col("outside_n") > 0).select(
-        "variable", filled(template, _map(texts, "string")).alias("sentence")
+    return violations.where("outside_n > 0").selectExpr(
+        "variable", f"{Q.filled(wording.sentence(language, 'range_finding'), texts)} AS sentence"
     )
 
 

@@ -12,16 +12,16 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from descry import wording
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
+from descry.functions import sqltext as Q
 from descry.functions import text
-from descry.functions.formatting import percent_text
-from descry.functions.wide import aggregate_rows
+from descry.functions.wide import aggregate_rows, entries, literal_table
 
 
 def column_id(position: int) -> str:
@@ -46,8 +46,6 @@ def validate_table(df: DataFrame, *, check_rows: bool = True) -> DataFrame:
 
 # --- one pass over (column, value) ----------------------------------------------------------------------------
 
-_KINDS = ("whole", "real", "text", "flag", "instant", "nested")
-
 
 def _kind(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType):
@@ -65,133 +63,122 @@ def _kind(dtype: T.DataType) -> str:
     return "text"
 
 
-def _entry(column: Column, dtype: T.DataType, position: int) -> Column:
-    """One (position, whole, real, instant, words) entry; one of the four holds the value, none if missing."""
-    kind = _kind(dtype)
-    whole = F.lit(None).cast("bigint")
-    real = F.lit(None).cast("double")
-    instant = F.lit(None).cast("timestamp_ntz")
-    words = F.lit(None).cast("string")
+_SLOTS = {"whole": "BIGINT", "real": "DOUBLE", "instant": "TIMESTAMP_NTZ", "words": "STRING"}
+
+
+def _is_iso_date(value: str) -> str:
+    return f"regexp_replace({value}, {Q.quoted(text.EDGE_SPACE)}, '') RLIKE {Q.quoted(text.ISO_DATE)}"
+
+
+def _entry(name: str, dtype: T.DataType, position: int) -> str:
+    """One (position, whole, real, instant, words) entry; one of the four slots holds the value, none if missing."""
+    kind, column = _kind(dtype), Q.named(name)
+    slots = {slot: f"CAST(NULL AS {type_})" for slot, type_ in _SLOTS.items()}
     if kind == "whole":
-        whole = column.cast("bigint")
+        slots["whole"] = f"CAST({column} AS BIGINT)"
     elif kind == "flag":
-        whole = column.cast("int").cast("bigint")
+        slots["whole"] = f"CAST(CAST({column} AS INT) AS BIGINT)"
     elif isinstance(dtype, T.TimestampType):
-        whole = F.unix_micros(column)
+        slots["whole"] = f"unix_micros({column})"
     elif kind == "instant":
-        instant = column.cast("timestamp_ntz")
+        slots["instant"] = f"CAST({column} AS TIMESTAMP_NTZ)"
     elif kind == "real":
-        real = P.as_number(column)
+        slots["real"] = Q.number(name)
     elif kind == "nested":
-        whole = F.when(column.isNotNull(), F.lit(0).cast("bigint"))
+        slots["whole"] = f"IF({column} IS NULL, NULL, 0L)"
     elif kind == "decimal":
-        words = column.cast("string")
+        slots["words"] = f"CAST({column} AS STRING)"
     else:
-        plain = column.cast("string") if not isinstance(dtype, T.BinaryType) else F.hex(column)
-        words = P.digest_long(plain, F.when(text.is_iso_date(plain), F.lit("D")).otherwise(F.lit("#")))
-    return F.struct(
-        F.lit(position).alias("position"), whole.alias("whole"), real.alias("real"),
-        instant.alias("instant"), words.alias("words"),
-    )
+        # Long texts travel as the SHA-256 of the whole text; the leading letter keeps whether it is a date.
+        plain = f"hex({column})" if isinstance(dtype, T.BinaryType) else f"CAST({column} AS STRING)"
+        digest = f"concat(IF({_is_iso_date(plain)}, 'D', '#'), sha2({plain}, 256))"
+        slots["words"] = f"IF(octet_length({plain}) > {P.VERBATIM_BYTES}, {digest}, {plain})"
+    return Q.struct(position=str(position), **slots)
 
 
 def value_counts(df: DataFrame) -> DataFrame:
     """Count of every distinct value of every column: position, one value slot filled, n (missing: no slot filled)."""
-    entries = F.array(*[_entry(P.ref(f.name), f.dataType, i) for i, f in enumerate(df.schema.fields, 1)])
-    return (
-        df.select(F.inline(entries))
-        .groupBy("position", "whole", "real", "instant", "words")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _column_facts(df: DataFrame, overrides: Mapping[str, str]) -> Column:
-    """Array of what the schema alone says about each column."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(column_id(i)).alias("column_id"),
-                F.lit(f.name).alias("label"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.lit(_kind(f.dataType)).alias("kind"),
-                F.lit(overrides.get(f.name)).cast("string").alias("override"),
-            )
-            for i, f in enumerate(df.schema.fields, 1)
-        ]
-    )
+    long = entries(df, [_entry(f.name, f.dataType, i) for i, f in enumerate(df.schema.fields, 1)])
+    return long.groupBy("position", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _column_facts(df: DataFrame, overrides: Mapping[str, str]) -> DataFrame:
+    """What the schema alone says about each column."""
+    rows = [
+        {
+            "position": i, "column_id": column_id(i), "label": f.name, "dtype": f.dataType.simpleString(),
+            "kind": _kind(f.dataType), "override": overrides.get(f.name),
+        }
+        for i, f in enumerate(df.schema.fields, 1)
+    ]
+    schema = "position int, column_id string, label string, dtype string, kind string, override string"
+    return literal_table(df.sparkSession, rows, schema)
 
 
 def _exact_counts(df: DataFrame) -> DataFrame:
     """Counts per column from the distinct (column, value) entries."""
-    entry_slots = ["whole", "real", "instant", "words"]
-    counted = value_counts(df)
-    # A zero count per column keeps columns visible even when the table has no rows.
-    positions = F.sequence(F.lit(1), F.lit(len(df.columns)))
-    nothing = [F.lit(None).cast(counted.schema[slot].dataType).alias(slot) for slot in entry_slots]
-    zeros = df.sparkSession.range(1).select(
-        F.explode(positions).alias("position"), *nothing, F.lit(0).cast("bigint").alias("n")
-    )
-    has_value = F.lit(False)
-    for slot in entry_slots:
-        has_value = has_value | F.col(slot).isNotNull()
-    whole_numbers = F.when(F.col("real").isNotNull(), F.pmod(F.col("real"), F.lit(1.0)) <= F.lit(1e-8)).otherwise(
-        F.lit(True)
-    )
-    is_date = F.when(F.length("words") > P.VERBATIM_BYTES, F.startswith("words", F.lit("D"))).otherwise(
-        text.is_iso_date(F.col("words"))
-    )
-    return (
-        counted.unionByName(zeros)
-        .groupBy("position")
-        .agg(
-            F.sum(F.when(has_value, F.col("n")).otherwise(0)).alias("nonmissing"),
-            F.sum(F.when(has_value, F.lit(0)).otherwise(F.col("n"))).alias("missing"),
-            F.count_if(has_value).alias("unique_nonmissing"),
-            F.sum(F.when(F.abs("real") == F.lit(P.INFINITY), F.col("n")).otherwise(0)).alias("nonfinite"),
-            F.coalesce(F.bool_and(F.when(has_value, whole_numbers)), F.lit(True)).alias("whole_numbers"),
-            F.sum(F.when(is_date, F.col("n")).otherwise(0)).alias("iso_dates"),
-        )
-    )
+    has_value = f"({' OR '.join(f'{slot} IS NOT NULL' for slot in _SLOTS)})"
+    is_date = f"IF(length(words) > {P.VERBATIM_BYTES}, startswith(words, 'D'), {_is_iso_date('words')})"
+    # Wide decimals travel as text, so their wholeness is read from the text.
+    wide = any(_kind(f.dataType) == "decimal" for f in df.schema.fields)
+    text_is_whole = "words RLIKE '^-?[0-9]+([.]0*)?$'" if wide else "true"
+    whole = f"CASE WHEN real IS NOT NULL THEN pmod(real, 1D) <= 1e-8D WHEN words IS NOT NULL THEN {text_is_whole} ELSE true END"
+    aggregates = [
+        f"sum(IF({has_value}, n, 0L)) AS nonmissing",
+        f"sum(IF({has_value}, 0L, n)) AS missing",
+        f"count_if({has_value}) AS unique_nonmissing",
+        f"sum(IF(abs(real) = {Q.INFINITY}, n, 0L)) AS nonfinite",
+        f"coalesce(bool_and({whole}), true) AS whole_numbers",
+        f"sum(IF({is_date}, n, 0L)) AS iso_dates",
+    ]
+    return value_counts(df).groupBy("position").agg(*[F.expr(aggregate) for aggregate in aggregates])
 
 
 def _estimated_counts(df: DataFrame) -> DataFrame:
     """The same counts in one wide aggregate, with HyperLogLog instead of exact distinct counts."""
-    none = F.lit(0).cast("bigint")
     rows = []
     for i, field in enumerate(df.schema.fields, 1):
-        column, kind = P.ref(field.name), _kind(field.dataType)
-        number = P.as_number(column) if P.is_numeric(field.dataType) else None
-        value = number if kind == "real" else column
-        whole = F.lit(True)
-        if number is not None:
-            whole = F.coalesce(F.bool_and(F.when(number.isNotNull(), F.pmod(number, F.lit(1.0)) <= F.lit(1e-8))), whole)
+        column, kind, dtype = Q.named(field.name), _kind(field.dataType), field.dataType
+        numeric = P.is_numeric(dtype)
+        value = Q.number(field.name) if kind == "real" else column
+        whole = f"coalesce(bool_and(IF({Q.number(field.name)} IS NULL, NULL, pmod({Q.number(field.name)}, 1D) <= 1e-8D)), true)"
         rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.count(F.when(P.present(column, field.dataType), F.lit(1))).alias("nonmissing"),
-                F.count_if(P.missing(column, field.dataType)).alias("missing"),
-                (none if kind == "nested" else F.approx_count_distinct(value)).alias("unique_nonmissing"),
-                (none if number is None else F.count_if(P.is_infinite(column))).alias("nonfinite"),
-                whole.alias("whole_numbers"),
-                (F.count_if(text.is_iso_date(column)) if isinstance(field.dataType, T.StringType) else none).alias("iso_dates"),
+            Q.struct(
+                position=str(i),
+                nonmissing=f"count_if(NOT {Q.missing(field.name, dtype)})",
+                missing=f"count_if({Q.missing(field.name, dtype)})",
+                unique_nonmissing="0L" if kind == "nested" else f"approx_count_distinct({value})",
+                nonfinite=f"count_if({Q.infinite(field.name)})" if numeric else "0L",
+                whole_numbers=whole if numeric else "true",
+                iso_dates=f"count_if({_is_iso_date(column)})" if isinstance(dtype, T.StringType) else "0L",
             )
         )
     return aggregate_rows(df, rows)
 
 
-def _column_counts(df: DataFrame, overrides: Mapping[str, str], approximate: bool) -> DataFrame:
-    """Schema facts and value counts, one row per column."""
-    counts = _estimated_counts(df) if approximate else _exact_counts(df)
-    facts = F.element_at(_column_facts(df, overrides), F.col("position"))
-    return (
-        counts.withColumn("_facts", facts)
-        .select(
-            "position", "_facts.column_id", "_facts.label", "_facts.dtype", "_facts.kind", "_facts.override",
-            "nonmissing", "unique_nonmissing", "missing", "nonfinite", "whole_numbers", "iso_dates",
-        )
-        .withColumn("unique_nonmissing", F.when(F.col("kind") != "nested", F.col("unique_nonmissing")))
-    )
+_ID_NAME = f"(label RLIKE {Q.quoted(text.ID_NAME)})"
+_IS_NUMBER = "kind IN ('whole', 'real', 'decimal')"
+
+#: The decision list of roles by type, distinct count and name.
+_ROLE = f"""coalesce(override, CASE
+    WHEN kind = 'flag' THEN 'categorical'
+    WHEN kind = 'instant' THEN 'date'
+    WHEN kind = 'nested' THEN 'text'
+    WHEN {_IS_NUMBER} THEN CASE
+        WHEN {_ID_NAME} AND unique_nonmissing >= greatest(2L, floor(nonmissing * 0.8D)) THEN 'identifier'
+        WHEN unique_nonmissing <= 10 AND nonmissing >= 5 AND whole_numbers THEN 'ordinal'
+        ELSE 'numeric' END
+    WHEN nonmissing >= 2 AND iso_dates / nonmissing >= 0.9D THEN 'date'
+    WHEN {_ID_NAME} AND unique_nonmissing / greatest(1L, nonmissing) >= 0.8D THEN 'identifier'
+    WHEN unique_nonmissing <= 20 OR unique_nonmissing / greatest(1L, nonmissing) <= 0.2D THEN 'categorical'
+    ELSE 'text' END)"""
+_UNSURE_SCALE = f"(override IS NULL AND {_IS_NUMBER} AND role = 'ordinal')"
+_UNSURE_DATE = "(override IS NULL AND kind = 'text' AND role = 'date')"
+_NOTES = f"""CASE
+    WHEN override IS NOT NULL THEN array({Q.quoted(wording.NOTE_OVERRIDE)})
+    WHEN {_UNSURE_SCALE} THEN array({Q.quoted(wording.NOTE_ORDINAL)})
+    WHEN {_UNSURE_DATE} THEN array({Q.quoted(wording.NOTE_DATE)})
+    ELSE CAST(array() AS ARRAY<STRING>) END"""
 
 
 def profile(
@@ -207,45 +194,19 @@ def profile(
     for role in overrides.values():
         if role not in wording.ROLES:
             raise AnalysisError(f"Unknown role '{role}'.")
-    counts = _column_counts(df, overrides, approximate_distinct)
-    unique, filled = F.col("unique_nonmissing"), F.col("nonmissing")
-    id_name = F.rlike(F.col("label"), F.lit(text.ID_NAME))
-    uniqueness = unique / F.greatest(F.lit(1), filled)
-    numeric_role = (
-        F.when(id_name & (unique >= F.greatest(F.lit(2), F.floor(filled * F.lit(0.8)))), F.lit("identifier"))
-        .when((unique <= 10) & (filled >= 5) & F.col("whole_numbers"), F.lit("ordinal"))
-        .otherwise(F.lit("numeric"))
-    )
-    text_role = (
-        F.when((filled >= 2) & (F.col("iso_dates") / F.greatest(F.lit(1), filled) >= F.lit(0.9)), F.lit("date"))
-        .when(id_name & (uniqueness >= F.lit(0.8)), F.lit("identifier"))
-        .when((unique <= 20) | (uniqueness <= F.lit(0.2)), F.lit("categorical"))
-        .otherwise(F.lit("text"))
-    )
-    by_type = (
-        F.when(F.col("kind") == "flag", F.lit("categorical"))
-        .when(F.col("kind") == "instant", F.lit("date"))
-        .when(F.col("kind").isin("whole", "real", "decimal"), numeric_role)
-        .when(F.col("kind") == "nested", F.lit("text"))
-        .otherwise(text_role)
-    )
-    inferred = F.col("override").isNull()
-    unsure_scale = inferred & F.col("kind").isin("whole", "real", "decimal") & (F.col("role") == "ordinal")
-    unsure_date = inferred & (F.col("kind") == "text") & (F.col("role") == "date")
-    no_notes = F.array().cast("array<string>")
-    notes = (
-        F.when(~inferred, F.array(F.lit(wording.NOTE_OVERRIDE)))
-        .when(unsure_scale, F.array(F.lit(wording.NOTE_ORDINAL)))
-        .when(unsure_date, F.array(F.lit(wording.NOTE_DATE)))
-        .otherwise(no_notes)
-    )
+    counts = _estimated_counts(df) if approximate_distinct else _exact_counts(df)
+    # One row per column on both sides; columns of an empty table have no counts.
+    known = _column_facts(df, overrides).join(F.broadcast(counts), "position", "left")
     return (
-        counts.withColumn("role", F.coalesce("override", by_type))
-        .withColumn("role_uncertain", unsure_scale | unsure_date)
-        .withColumn("notes", notes)
-        .select(
-            "position", "column_id", "label", "role", "role_uncertain", "dtype", "nonmissing",
-            "unique_nonmissing", "missing", "nonfinite", "notes",
+        known.selectExpr(
+            "position", "column_id", "label", "dtype", "kind", "override",
+            *[f"coalesce({name}, 0L) AS {name}" for name in ("nonmissing", "unique_nonmissing", "missing", "nonfinite", "iso_dates")],
+            "coalesce(whole_numbers, true) AS whole_numbers",
+        )
+        .selectExpr("*", f"{_ROLE} AS role")
+        .selectExpr(
+            "position", "column_id", "label", "role", f"{_UNSURE_SCALE} OR {_UNSURE_DATE} AS role_uncertain", "dtype", "nonmissing",
+            "IF(kind = 'nested', NULL, unique_nonmissing) AS unique_nonmissing", "missing", "nonfinite", f"{_NOTES} AS notes",
         )
     )
 
@@ -275,11 +236,10 @@ def missingness(df: DataFrame) -> DataFrame:
     """Missing count and percentage of all rows per column: one scan, no shuffle beyond one row per task."""
     rows = []
     for i, field in enumerate(df.schema.fields, 1):
-        gaps = F.count_if(P.missing(P.ref(field.name), field.dataType))
+        gaps = f"count_if({Q.missing(field.name, field.dataType)})"
         rows.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(field.name).alias("variable"), gaps.alias("missing_count"),
-                P.percent(gaps, F.count(F.lit(1))).alias("missing_percent"),
+            Q.struct(
+                position=str(i), variable=Q.quoted(field.name), missing_count=gaps, missing_percent=Q.percent(gaps, "count(1)")
             )
         )
     return aggregate_rows(df, rows)
@@ -287,95 +247,79 @@ def missingness(df: DataFrame) -> DataFrame:
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, variable_names, data_types, missing_values, duplicate_rows."""
-    names = F.array(*[F.lit(name) for name in df.columns])
-    types = F.array(*[F.lit(field.dataType.simpleString()) for field in df.schema.fields])
-    gaps = F.array(*[F.count_if(P.missing(P.ref(f.name), f.dataType)) for f in df.schema.fields])
+    fields = df.schema.fields
+    names = f"array({', '.join(Q.quoted(f.name) for f in fields)})"
+    types = f"array({', '.join(Q.quoted(f.dataType.simpleString()) for f in fields)})"
+    gaps = f"array({', '.join(f'count_if({Q.missing(f.name, f.dataType)})' for f in fields)})"
     duplicates = duplicate_rows(df).select("duplicate_rows").scalar()
-    return df.agg(F.count(F.lit(1)).alias("rows"), gaps.alias("_gaps")).select(
-        "rows",
-        F.lit(len(df.columns)).alias("columns"),
-        names.alias("variable_names"),
-        F.map_from_arrays(names, types).alias("data_types"),
-        F.map_from_arrays(names, F.col("_gaps")).alias("missing_values"),
-        duplicates.alias("duplicate_rows"),
+    return (
+        df.agg(F.count(F.lit(1)).alias("rows"), F.expr(gaps).alias("_gaps"))
+        .selectExpr(
+            "rows", f"{len(fields)} AS columns", f"{names} AS variable_names", f"map_from_arrays({names}, {types}) AS data_types",
+            f"map_from_arrays({names}, _gaps) AS missing_values",
+        )
+        .withColumn("duplicate_rows", duplicates)
     )
 
 
+def _required(names: list[str], what: str) -> list[str]:
+    if not names:
+        raise AnalysisError(f"The table has no {what} column.")
+    return names
+
+
 def nonfinite_counts(df: DataFrame) -> DataFrame:
     """Finite, missing and non-finite counts per numeric column in one aggregate."""
-    names = P.numeric_columns(df)
-    counts = [
-        F.struct(
-            F.lit(name).alias("variable"),
-            F.count(P.finite(P.ref(name))).alias("n"),
-            F.count_if(P.missing(P.ref(name), P.type_of(df, name))).alias("missing_count"),
-            F.count_if(P.is_infinite(P.ref(name))).alias("nonfinite_count"),
+    rows = [
+        Q.struct(
+            variable=Q.quoted(name), n=f"count({Q.finite(name)})",
+            missing_count=f"count_if({Q.missing(name, P.type_of(df, name))})", nonfinite_count=f"count_if({Q.infinite(name)})",
         )
-        for name in names
+        for name in _required(P.numeric_columns(df), "numeric")
     ]
-    if not names:
-        raise AnalysisError("The table has no numeric column.")
-    return aggregate_rows(df, counts)
+    return aggregate_rows(df, rows)
 
 
 def iso_date_share(df: DataFrame) -> DataFrame:
     """Share of ISO-date-like values per text column."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not names:
-        raise AnalysisError("The table has no text column.")
-    shares = [
-        F.struct(
-            F.lit(name).alias("variable"),
-            F.count(P.ref(name)).alias("nonmissing"),
-            F.avg(text.is_iso_date(P.ref(name)).cast("int")).alias("iso_share"),
+    rows = [
+        Q.struct(
+            variable=Q.quoted(name), nonmissing=f"count({Q.named(name)})",
+            iso_share=f"avg(CAST({_is_iso_date(Q.named(name))} AS INT))",
         )
-        for name in names
+        for name in _required(names, "text")
     ]
-    return aggregate_rows(df, shares)
+    return aggregate_rows(df, rows)
 
 
 def integer_scale(df: DataFrame) -> DataFrame:
     """Whether all non-missing values of each numeric column are whole numbers (infinities are not)."""
-    names = P.numeric_columns(df)
-    if not names:
-        raise AnalysisError("The table has no numeric column.")
-    tests = []
-    for name in names:
-        number = P.as_number(P.ref(name))
-        rest = F.pmod(number, F.lit(1.0))
-        tests.append(
-            F.struct(
-                F.lit(name).alias("variable"),
-                F.coalesce(F.bool_and(F.when(number.isNotNull(), rest <= F.lit(1e-8))), F.lit(True)).alias("whole_numbers"),
-            )
-        )
-    return aggregate_rows(df, tests)
+    rows = []
+    for name in _required(P.numeric_columns(df), "numeric"):
+        whole = f"IF({Q.number(name)} IS NULL, NULL, pmod({Q.number(name)}, 1D) <= 1e-8D)"
+        rows.append(Q.struct(variable=Q.quoted(name), whole_numbers=f"coalesce(bool_and({whole}), true)"))
+    return aggregate_rows(df, rows)
 
 
 def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
     """Finite values outside the user's bounds per column; values are flagged, never removed."""
-    counts = []
+    rows = []
     for name, (low, high) in ranges.items():
         P.require_numeric(df, name)
         if low is not None and high is not None and low > high:
             raise AnalysisError(f"The supplied minimum exceeds the maximum for '{name}'.")
-        value = P.finite(P.ref(name))
-        outside = F.lit(False)
-        if low is not None:
-            outside = outside | (value < F.lit(float(low)))
-        if high is not None:
-            outside = outside | (value > F.lit(float(high)))
-        counts.append(
-            F.struct(
-                F.lit(name).alias("variable"),
-                F.lit(None if low is None else float(low)).cast("double").alias("minimum"),
-                F.lit(None if high is None else float(high)).cast("double").alias("maximum"),
-                F.count_if(outside).alias("outside_n"),
+        minimum, maximum = [f"CAST({'NULL' if b is None else repr(float(b))} AS DOUBLE)" for b in (low, high)]
+        outside = [f"{Q.finite(name)} < {minimum}"] * (low is not None) + [f"{Q.finite(name)} > {maximum}"] * (high is not None)
+        rows.append(
+            Q.struct(
+                variable=Q.quoted(name), minimum=minimum, maximum=maximum,
+                outside_n=f"count_if({' OR '.join(outside) or 'false'})",
             )
         )
-    if not counts:
+    if not rows:
         raise AnalysisError("No valid range was supplied.")
-    return aggregate_rows(df, counts)
+    return aggregate_rows(df, rows)
 
 
 # --- views of a profile ---------------------------------------------------------------------------------------
@@ -403,27 +347,12 @@ def eligible_variables(profiled: DataFrame) -> DataFrame:
     return profiled.select("column_id", "label", "role", use.alias("eligible_as")).where(F.col("eligible_as").isNotNull())
 
 
-def display_label(label: Column, units: Mapping[str, str] | None = None) -> Column:
-    """The label, followed by its unit in parentheses where one was given."""
-    shown = {name: unit.strip() for name, unit in (units or {}).items() if unit.strip()}
-    if not shown:
-        return label
-    lookup = F.create_map(*[F.lit(part) for pair in shown.items() for part in pair])
-    unit = F.try_element_at(lookup, label)
-    return F.when(unit.isNull(), label).otherwise(F.concat(label, F.lit(" ("), unit, F.lit(")")))
-
-
 def overview_table(profiled: DataFrame, language: str = "en", units: Mapping[str, str] | None = None) -> DataFrame:
     """Variable, localized role (marked when uncertain), valid n, missing n."""
-    names = wording.ROLE_LABELS[language]
-    lookup = F.create_map(*[F.lit(part) for pair in names.items() for part in pair])
-    mark = F.when(F.col("role_uncertain"), F.lit(" ?")).otherwise(F.lit(""))
-    return profiled.select(
-        "position",
-        display_label(F.col("label"), units).alias("variable"),
-        F.concat(lookup[F.col("role")], mark).alias("role"),
-        F.col("nonmissing").alias("valid_n"),
-        F.col("missing").alias("missing_n"),
+    return profiled.selectExpr(
+        "position", f"{Q.display_label('label', units)} AS variable",
+        f"concat({Q.choice('role', wording.ROLE_LABELS[language])}, IF(role_uncertain, ' ?', '')) AS role",
+        "nonmissing AS valid_n", "missing AS missing_n",
     )
 
 
@@ -431,19 +360,14 @@ def quality_table(
     profiled: DataFrame, outside: Mapping[str, int] | None = None, units: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Variable, missing n and %, non-finite n and, when ranges were given, the count outside them."""
-    table = profiled.select(
-        "position",
-        F.col("label").alias("_label"),
-        display_label(F.col("label"), units).alias("variable"),
-        F.col("missing").alias("missing_n"),
-        percent_text(P.percent(F.col("missing"), F.col("missing") + F.col("nonmissing"))).alias("missing_pct"),
-        F.col("nonfinite").alias("excluded_n"),
-    )
+    columns = [
+        "position", f"{Q.display_label('label', units)} AS variable", "missing AS missing_n",
+        f"{Q.percent_text(Q.percent('missing', 'missing + nonmissing'))} AS missing_pct", "nonfinite AS excluded_n",
+    ]
     if outside is not None:
-        lookup = F.create_map(*[F.lit(part) for pair in outside.items() for part in pair]) if outside else None
-        found = F.try_element_at(lookup, F.col("_label")) if lookup is not None else F.lit(None)
-        table = table.withColumn("outside_range_n", F.coalesce(found.cast("bigint"), F.lit(0)))
-    return table.drop("_label")
+        cases = "".join(f" WHEN label = {Q.quoted(name)} THEN {n}L" for name, n in outside.items())
+        columns.append(f"CASE{cases} ELSE 0L END AS outside_range_n" if cases else "0L AS outside_range_n")
+    return profiled.selectExpr(*columns)
 
 
 # --- fingerprint ----------------------------------------------------------------------------------------------

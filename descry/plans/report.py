@@ -6,17 +6,19 @@ else is returned as DataFrames that have not run yet.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import replace
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import cache, reduce
+from math import prod
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from descry import wording
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
-from descry.functions.formatting import count_text, percent_text, statistic_text
+from descry.functions import sqltext as Q
+from descry.functions.wide import literal_table
 from descry.operators import charts, compare, describe, facts, profile
 from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT
 from descry.plans.settings import REQUIRED_SECTIONS, ReportSettings
@@ -54,12 +56,34 @@ def _rekeyed(settings: ReportSettings, renames: Mapping[str, str]) -> ReportSett
     )
 
 
-def report(df: DataFrame, settings: ReportSettings | None = None, *, parsing: Mapping[str, object] | None = None) -> dict[str, DataFrame]:
+class Tables(Mapping[str, DataFrame]):
+    """Result tables by name; each is planned when first asked for."""
+
+    def __init__(self, plans: dict[str, Callable[[], DataFrame]]):
+        self._plans, self._tables = plans, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._plans[name]()
+        return self._tables[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._plans
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def report(df: DataFrame, settings: ReportSettings | None = None, *, parsing: Mapping[str, object] | None = None) -> Tables:
     """All result tables of a report.
 
-    Always: ``profile, quality, quality_counts, overview, facts, chart_specs, fingerprint, sections``; where there are
-    such columns ``numeric, numeric_text, categorical``; and by report type ``group, group_coverage, effect``,
-    ``relationship``, ``change`` or ``time, time_coverage``.
+    Always: ``profile, quality, quality_counts, constants, identifier_duplicates, overview, facts, chart_specs,
+    fingerprint, sections``; where there are such columns ``numeric, numeric_text, categorical, categorical_text,
+    range_violations``; and by report type ``group, group_coverage, effect``, ``relationship``, ``change`` or
+    ``time, time_coverage``.
     """
     settings = settings or ReportSettings()
     settings.check_selectors()
@@ -69,62 +93,78 @@ def report(df: DataFrame, settings: ReportSettings | None = None, *, parsing: Ma
     if absent:
         raise AnalysisError(f"Unknown columns: {', '.join(absent)}.")
     original_ids = profile.column_ids(df)
-    profile.validate_table(df.select(*[P.ref(name) for name in kept]))
-    ordered = df
-    data, renames = relabel(df.select(*[P.ref(name) for name in kept]), settings.label_overrides)
+    included = df.select(*[P.ref(name) for name in kept])
+    profile.validate_table(included, check_rows=False)
+    data, renames = relabel(included, settings.label_overrides)
     ids = {renames.get(name, name): original_ids[name] for name in kept}
     settings = _rekeyed(settings, renames)
     # The order columns need not be part of the report; they travel under names of their own.
     order_names = [f"__order_{i}" for i in range(len(order_keys))]
-    with_order = ordered.select(
+    with_order = df.select(
         *[P.ref(name).alias(renames.get(name, name)) for name in kept],
         *[P.ref(name).alias(alias) for name, alias in zip(order_keys, order_names)],
     )
 
     profiled, rows = _materialized_profile(data, settings, ids)
     by_label = {row["label"]: row for row in rows}
-    results: dict[str, DataFrame] = {"profile": profiled}
-
-    ranges = {n: b for n, b in settings.valid_ranges.items() if n in by_label and by_label[n]["role"] == "numeric"}
-    violations = profile.range_violations(data, ranges) if ranges else None
-    outside: dict[str, int] | None = None
-    if settings.valid_ranges:
-        outside = {row["variable"]: row["outside_n"] for row in violations.collect()} if violations is not None else {}
-        if violations is not None:
-            results["range_violations"] = violations
-    results["overview"] = profile.overview_table(profiled, settings.language, settings.units)
-    results["quality"] = profile.quality_table(profiled, outside, settings.units)
-    results["quality_counts"] = profile.duplicate_rows(data)
-    results["constants"] = profile.constant_columns(profiled)
-    results["identifier_duplicates"] = profile.identifier_duplicates(profiled)
-    results["fingerprint"] = profile.dataset_fingerprint(data, settings.as_dict() | {"parsing": dict(parsing or {})})
-
     numeric = [row["label"] for row in rows if row["role"] == "numeric"]
     categorical = [row["label"] for row in rows if row["role"] in ("categorical", "ordinal")]
-    found = [facts.dataset_fact(profiled), facts.missing_facts(profiled, settings.units)]
     if numeric:
         P.require_numeric(data, *numeric)
+    plans: dict[str, Callable[[], DataFrame]] = {}
+    tables = Tables(plans)
+
+    plans["profile"] = lambda: profiled
+    ranges = {n: b for n, b in settings.valid_ranges.items() if n in by_label and by_label[n]["role"] == "numeric"}
+    if ranges:
+        violations = profile.range_violations(data, ranges)
+        plans["range_violations"] = lambda: violations
+    plans["quality"] = lambda: _quality(tables, settings)
+    plans["quality_counts"] = lambda: profile.duplicate_rows(data)
+    plans["overview"] = lambda: profile.overview_table(profiled, settings.language, settings.units)
+    plans["constants"] = lambda: profile.constant_columns(profiled)
+    plans["identifier_duplicates"] = lambda: profile.identifier_duplicates(profiled)
+    plans["fingerprint"] = lambda: profile.dataset_fingerprint(data, settings.as_dict() | {"parsing": dict(parsing or {})})
+    if numeric:
         distinct = {} if settings.approximate_distinct else {n: by_label[n]["unique_nonmissing"] for n in numeric}
-        results["numeric"] = describe.numeric_profile(data, numeric, distinct_counts=distinct)
-        results["numeric_text"] = numeric_table(results["numeric"], settings.units)
-        found.append(facts.numeric_facts(results["numeric"], ids, settings.units))
+        plans["numeric"] = lambda: describe.numeric_profile(data, numeric, distinct_counts=distinct)
+        plans["numeric_text"] = lambda: numeric_table(tables["numeric"], settings.units)
     if categorical:
-        results["categorical"] = describe.categorical_profile(data, categorical)
-        results["categorical_text"] = categorical_tables(results["categorical"], settings.language)
-
-    primary, primary_fact = _selected_analysis(with_order, data, settings, by_label, order_names, results)
-    if primary_fact is not None:
-        found.append(primary_fact)
-    all_facts = reduce(DataFrame.unionByName, found)
-    results["facts"] = facts.with_sentences(all_facts, [settings.language])
-    if primary is not None:
-        primary["labels"] = [_shown(name, settings.units) for name in primary["labels"]]
-    results["chart_specs"] = charts.select_charts(
-        profiled, depth=settings.depth, primary=primary, preferred_kind=settings.preferred_chart,
-        language=settings.language, units=settings.units,
-    )
-    results["sections"] = section_filter(section_table(results, settings), settings.sections)
-    return results
+        plans["categorical"] = lambda: describe.categorical_profile(data, categorical)
+        plans["categorical_text"] = lambda: categorical_tables(tables["categorical"], settings.language)
+
+    analysis = _selected_analysis(with_order, data, settings, by_label, order_names, plans)
+
+    def found_facts() -> DataFrame:
+        found = [facts.dataset_fact(profiled), facts.missing_facts(profiled, settings.units)]
+        if numeric:
+            found.append(facts.numeric_facts(tables["numeric"], ids, settings.units))
+        if analysis is not None and analysis.fact is not None:
+            found.append(analysis.fact())
+        return facts.with_sentences(reduce(DataFrame.unionByName, found), [settings.language])
+
+    def chart_specs() -> DataFrame:
+        primary = analysis.chart() if analysis is not None else None
+        if primary is not None:
+            primary["labels"] = [_shown(name, settings.units) for name in primary["labels"]]
+        return charts.select_charts(
+            profiled, depth=settings.depth, primary=primary, preferred_kind=settings.preferred_chart,
+            language=settings.language, units=settings.units,
+        )
+
+    plans["facts"] = found_facts
+    plans["chart_specs"] = chart_specs
+    plans["sections"] = lambda: section_filter(section_table(tables, settings), settings.sections)
+    return tables
+
+
+def _quality(tables: Mapping[str, DataFrame], settings: ReportSettings) -> DataFrame:
+    """The quality table; counts outside ranges are one small row per checked column."""
+    outside = None
+    if settings.valid_ranges:
+        checked = tables["range_violations"].collect() if "range_violations" in tables else []
+        outside = {row["variable"]: row["outside_n"] for row in checked}
+    return profile.quality_table(tables["profile"], outside, settings.units)
 
 
 def _shown(name: str, units: Mapping[str, str]) -> str:
@@ -137,8 +177,19 @@ def _materialized_profile(
     """Run the profile once and keep its few rows, with ids by position in the whole table."""
     lazy = profile.profile(data, settings.role_overrides, approximate_distinct=settings.approximate_distinct)
     rows = sorted(lazy.collect(), key=lambda row: row["position"])
+    if all(row["nonmissing"] + row["missing"] == 0 for row in rows):
+        raise AnalysisError("The table must contain at least one data row.")
     rows = [Row(**{**row.asDict(), "column_id": ids[row["label"]]}) for row in rows]
-    return data.sparkSession.createDataFrame(rows, lazy.schema), rows
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lazy.schema.fields)
+    return literal_table(data.sparkSession, [row.asDict() for row in rows], schema), rows
+
+
+@dataclass(frozen=True)
+class _Analysis:
+    """What a selected analysis adds to the facts and charts, planned on demand."""
+
+    chart: Callable[[], dict[str, object]]
+    fact: Callable[[], DataFrame] | None
 
 
 def _selected_analysis(
@@ -147,106 +198,105 @@ def _selected_analysis(
     settings: ReportSettings,
     by_label: Mapping[str, Row],
     order_names: Sequence[str],
-    results: dict[str, DataFrame],
-) -> tuple[dict[str, object] | None, DataFrame | None]:
-    """Compute the analysis of the report type; returns its chart and its fact."""
+    plans: dict[str, Callable[[], DataFrame]],
+) -> _Analysis | None:
+    """Check the variables of the report type and plan its tables."""
 
-    def need(role: str | tuple[str, ...], *names: str) -> None:
-        roles = (role,) if isinstance(role, str) else role
+    def need(roles: tuple[str, ...], *names: str) -> None:
         for name in names:
             if name not in by_label or by_label[name]["role"] not in roles:
                 raise AnalysisError(f"'{name}' is not an eligible variable: its role must be {' or '.join(roles)}.")
 
-    def ids_of(*names: str) -> list[str]:
-        return [by_label[name]["column_id"] for name in names]
+    def small(*names: str) -> bool:
+        counts = [by_label[name]["unique_nonmissing"] for name in names]
+        return not settings.approximate_distinct and prod(counts) <= PERCENTILE_BUFFER_LIMIT
 
-    def known_small(*names: str) -> bool:
-        return not settings.approximate_distinct and all(
-            by_label[name]["unique_nonmissing"] <= PERCENTILE_BUFFER_LIMIT for name in names
-        )
+    def chart(kind: str, topic: str, names: Sequence[str], valid_n: Callable[[], int]) -> Callable[[], dict[str, object]]:
+        return lambda: {
+            "chart_id": f"chart_primary_{topic}", "kind": kind, "variable_ids": [by_label[n]["column_id"] for n in names],
+            "labels": list(names), "valid_n": valid_n(),
+        }
 
     if settings.report_type == "group":
         outcome, group = settings.outcome, settings.group
-        need("numeric", outcome)
+        need(("numeric",), outcome)
         need(("categorical", "ordinal"), group)
         k = by_label[group]["unique_nonmissing"]
         if settings.approximate_distinct:
             k = compare.require_group_count(data, group)
         if not 2 <= k <= 20:
             raise AnalysisError("The grouping variable must contain 2–20 observed groups.")
-        results["group"] = compare.group_statistics_detailed(
-            with_order, outcome, group, order_by=order_names, few_groups=True,
-            outcome_distinct=by_label[outcome]["unique_nonmissing"] if known_small(outcome) else None,
+        distinct = by_label[outcome]["unique_nonmissing"] if small(outcome) else None
+        plans["group"] = lambda: compare.group_statistics_detailed(
+            with_order, outcome, group, order_by=order_names, few_groups=True, outcome_distinct=distinct
         )
-        results["group_coverage"] = compare.group_coverage(data, outcome, group)
-        coverage = results["group_coverage"].head()
+        plans["group_coverage"] = lambda: compare.group_coverage(data, outcome, group)
+        covered = cache(lambda: compare.group_coverage(data, outcome, group).head()["valid_n"])
         fact = None
         if settings.independent_groups and k == 2:
-            results["effect"] = compare.cohens_d(with_order, outcome, group, order_by=order_names)
-            fact = facts.difference_fact(results["effect"], F.lit(coverage["valid_n"]))
-        chart = {"chart_id": "chart_primary_group", "kind": "box", "variable_ids": ids_of(outcome, group),
-                 "labels": [outcome, group], "valid_n": coverage["valid_n"]}
-        return chart, fact
+            effect = cache(lambda: compare.cohens_d(with_order, outcome, group, order_by=order_names))
+            plans["effect"] = effect
+            fact = lambda: facts.difference_fact(effect(), covered())
+        return _Analysis(chart("box", "group", [outcome, group], covered), fact)
     if settings.report_type == "relationships":
-        first, second = settings.relationship_first, settings.relationship_second
-        need("numeric", first, second)
-        results["relationship"] = compare.pearson_relationship(data, first, second)
-        n = results["relationship"].head()["n"]
-        chart = {"chart_id": "chart_primary_relationship", "kind": "scatter", "variable_ids": ids_of(first, second),
-                 "labels": [first, second], "valid_n": n}
-        return chart, facts.relationship_fact(results["relationship"])
-    if settings.report_type == "change":
-        pre, post = settings.pre, settings.post
-        need("numeric", pre, post)
-        # The difference of two columns may have as many values as their product, so only tiny ones are buffered.
-        small = known_small(pre, post) and (
-            by_label[pre]["unique_nonmissing"] * by_label[post]["unique_nonmissing"] <= PERCENTILE_BUFFER_LIMIT
+        pair = [settings.relationship_first, settings.relationship_second]
+        need(("numeric",), *pair)
+        P.require_distinct(*pair)
+        relationship = cache(lambda: compare.pearson_relationship(data, *pair))
+        plans["relationship"] = relationship
+        return _Analysis(
+            chart("scatter", "relationship", pair, lambda: relationship().head()["n"]),
+            lambda: facts.relationship_fact(relationship()),
         )
-        results["change"] = compare.paired_change_statistics(data, pre, post, buffered=small)
-        n = results["change"].where(F.col("measure") == "change").head()["n"]
-        chart = {"chart_id": "chart_primary_change", "kind": "paired", "variable_ids": ids_of(pre, post),
-                 "labels": [pre, post], "valid_n": n}
-        return chart, facts.change_fact(results["change"])
+    if settings.report_type == "change":
+        pair = [settings.pre, settings.post]
+        need(("numeric",), *pair)
+        P.require_distinct(*pair)
+        # The difference may have as many values as there are pairs of values, so only tiny columns are buffered.
+        change = cache(lambda: compare.paired_change_statistics(data, *pair, buffered=small(*pair)))
+        plans["change"] = change
+        n = lambda: data.agg(F.count_if(P.finite(P.ref(pair[0])).isNotNull() & P.finite(P.ref(pair[1])).isNotNull())).head()[0]
+        return _Analysis(chart("paired", "change", pair, n), lambda: facts.change_fact(change()))
     if settings.report_type == "time":
         date, outcome = settings.date_variable, settings.time_outcome
-        need("date", date)
-        need("numeric", outcome)
-        results["time"] = compare.date_mean_series(data, date, outcome)
-        results["time_coverage"] = compare.date_series_coverage(data, date, outcome)
-        n = results["time_coverage"].head()["valid_n"]
-        chart = {"chart_id": "chart_primary_time", "kind": "date_line", "variable_ids": ids_of(date, outcome),
-                 "labels": [date, outcome], "valid_n": n}
-        return chart, facts.time_fact(results["time_coverage"])
-    return None, None
+        need(("date",), date)
+        need(("numeric",), outcome)
+        plans["time"] = lambda: compare.date_mean_series(data, date, outcome)
+        coverage = cache(lambda: compare.date_series_coverage(data, date, outcome))
+        plans["time_coverage"] = coverage
+        return _Analysis(
+            chart("date_line", "time", [date, outcome], lambda: coverage().head()["valid_n"]), lambda: facts.time_fact(coverage())
+        )
+    return None
 
 
 # --- text tables ----------------------------------------------------------------------------------------------
 
 
+def _statistic_columns() -> list[str]:
+    return [f"{Q.statistic_text(name)} AS {text}" for name, text in zip(_STATISTICS, _STATISTIC_LABELS)]
+
+
 def numeric_table(numeric: DataFrame, units: Mapping[str, str] | None = None) -> DataFrame:
     """Formatted statistics per numeric column."""
-    return numeric.select(
-        "position", profile.display_label(F.col("variable"), units).alias("variable"), count_text(F.col("n")).alias("valid_n"),
-        *[statistic_text(F.col(name)).alias(text) for name, text in zip(_STATISTICS, _STATISTIC_LABELS)],
+    return numeric.selectExpr(
+        "position", f"{Q.display_label('variable', units)} AS variable", f"{Q.count_text('n')} AS valid_n", *_statistic_columns()
     )
 
 
 def categorical_tables(categorical: DataFrame, language: str = "en", *, tables: int | None = None) -> DataFrame:
     """Formatted frequencies; the remainder row carries the localized 'Other'. ``tables`` limits the display."""
     shown = categorical if tables is None else categorical.where(F.col("position") < tables)
-    label = F.when(F.col("is_remainder"), F.lit(wording.label(language, "other"))).otherwise(F.col("label"))
-    return shown.select(
-        F.concat(F.lit("categorical_"), F.col("position") + 1).alias("table_id"), "variable", F.col("rank").alias("row_no"),
-        label.alias("category"), count_text(F.col("count")).alias("count"), percent_text(F.col("percent")).alias("percent"),
+    return shown.selectExpr(
+        "concat('categorical_', position + 1) AS table_id", "variable", "rank AS row_no",
+        f"IF(is_remainder, {Q.quoted(wording.label(language, 'other'))}, label) AS category", f"{Q.count_text('count')} AS count",
+        f"{Q.percent_text('percent')} AS percent",
     )
 
 
 def group_table(group: DataFrame) -> DataFrame:
     """Formatted statistics per group."""
-    return group.select(
-        "group", "first_seen", count_text(F.col("n")).alias("valid_n"),
-        *[statistic_text(F.col(name)).alias(text) for name, text in zip(_STATISTICS, _STATISTIC_LABELS)],
-    )
+    return group.selectExpr("group", "first_seen", f"{Q.count_text('n')} AS valid_n", *_statistic_columns())
 
 
 def with_parts(table: DataFrame, row_no: str = "row_no", rows: int = ROWS_PER_PART) -> DataFrame:
@@ -254,16 +304,14 @@ def with_parts(table: DataFrame, row_no: str = "row_no", rows: int = ROWS_PER_PA
     return table.withColumn("part", (F.floor((F.col(row_no) - 1) / rows) + 1).cast("int"))
 
 
-def _cells(table: DataFrame, section: str, table_id: Column, row_no: Column, columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """A text table as one row per cell."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("column_no"), F.lit(label).alias("column_label"), F.col(name).cast("string").alias("value"))
-            for i, (name, label) in enumerate(columns, 1)
-        ]
-    )
-    return table.select(
-        F.lit(section).alias("section"), table_id.alias("table_id"), row_no.cast("bigint").alias("row_no"), F.inline(cells)
+def _cells(table: DataFrame, section: str, table_id: str, row_no: str, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """A text table as one row per cell; ``table_id`` and ``row_no`` are SQL."""
+    cells = [
+        Q.struct(column_no=str(i), column_label=Q.quoted(label), value=f"CAST({Q.named(name)} AS STRING)")
+        for i, (name, label) in enumerate(columns, 1)
+    ]
+    return table.selectExpr(
+        f"'{section}' AS section", f"{table_id} AS table_id", f"CAST({row_no} AS BIGINT) AS row_no", f"inline(array({', '.join(cells)}))"
     )
 
 
@@ -277,44 +325,44 @@ def section_table(results: Mapping[str, DataFrame], settings: ReportSettings) ->
 
     sentences = results["facts"].select("ordinal", "kind", "sentence")
     section_of = {
-        "executive": ["dataset"], "overview": ["dataset"], "quality": ["missingness"], "descriptive": ["numeric_descriptive"],
+        "overview": ["dataset"], "quality": ["missingness"], "descriptive": ["numeric_descriptive"],
         "primary": ["group_difference", "relationship", "paired_change", "date_series"],
     }
+    section_cases = {kind: section for section, kinds in section_of.items() for kind in kinds}
+    placed = sentences.selectExpr("*", f"{Q.choice('kind', section_cases)} AS place")
     parts = [
+        placed.selectExpr(
+            "place AS section", "'sentences' AS table_id", "ordinal + 1 AS row_no", "1 AS column_no", "'' AS column_label", "sentence AS value"
+        ),
+        _cells(sentences.where("kind = 'dataset'"), "executive", "'sentences'", "ordinal + 1", [("sentence", "")]),
         _cells(
-            sentences.where(F.col("kind").isin(*kinds)), section, F.lit("sentences"), F.col("ordinal") + 1, [("sentence", "")]
-        )
-        for section, kinds in section_of.items()
+            results["overview"], "overview", "'overview_variables'", "position", labelled("variable", "role", "valid_n", "missing_n")
+        ),
     ]
-    position = F.col("position")
-    parts.append(
-        _cells(results["overview"], "overview", F.lit("overview_variables"), position, labelled("variable", "role", "valid_n", "missing_n"))
-    )
     quality_columns = ["variable", "missing_n", "missing_pct", "excluded_n"]
     if "outside_range_n" in results["quality"].columns:
         quality_columns.append("outside_range_n")
-    parts.append(_cells(results["quality"], "quality", F.lit("quality_missing"), position, labelled(*quality_columns)))
+    parts.append(_cells(results["quality"], "quality", "'quality_missing'", "position", labelled(*quality_columns)))
     if "range_violations" in results:
         ranges = facts.range_sentences(results["range_violations"], language, settings.units)
-        parts.append(_cells(ranges, "quality", F.lit("range_sentences"), F.lit(1), [("sentence", "")]))
+        parts.append(_cells(ranges, "quality", "'range_sentences'", "1", [("sentence", "")]))
     if "numeric" in results:
         columns = labelled("variable", "valid_n", *_STATISTIC_LABELS)
-        parts.append(_cells(results["numeric_text"], "descriptive", F.lit("numeric_descriptives"), position + 1, columns))
+        parts.append(_cells(results["numeric_text"], "descriptive", "'numeric_descriptives'", "position + 1", columns))
     if "categorical" in results:
-        tables = categorical_tables(results["categorical"], language, tables=SHOWN_CATEGORICAL_TABLES)
-        columns = labelled("category", "count", "percent")
-        parts.append(_cells(tables, "descriptive", F.col("table_id"), F.col("row_no"), columns))
+        shown = categorical_tables(results["categorical"], language, tables=SHOWN_CATEGORICAL_TABLES)
+        parts.append(_cells(shown, "descriptive", "table_id", "row_no", labelled("category", "count", "percent")))
     if "group" in results:
-        # At most 20 groups: their order is the number of groups seen earlier.
+        # At most 20 groups: their order is their place in the sorted list of all.
         rows = group_table(results["group"])
-        order = F.array_sort(F.collect_list(F.struct("first_seen", "group")))
-        place = rows.agg(order.alias("o")).scalar()
-        numbered = rows.withColumn("row_no", F.array_position(place, F.struct("first_seen", "group")))
+        order = rows.agg(F.expr("array_sort(collect_list(struct(first_seen, `group`)))")).scalar()
+        numbered = rows.withColumn("row_no", F.array_position(order, F.struct("first_seen", "group")))
         columns = [("group", wording.label(language, "group")), *labelled("valid_n", *_STATISTIC_LABELS)]
-        parts.append(_cells(numbered, "primary", F.lit("group_summary"), F.col("row_no"), columns))
+        parts.append(_cells(numbered, "primary", "'group_summary'", "row_no", columns))
         if "effect" not in results:
-            reason = results["group"].sparkSession.range(1).select(F.lit(wording.sentence(language, "effect_unavailable")).alias("sentence"))
-            parts.append(_cells(reason, "primary", F.lit("sentences"), F.lit(1), [("sentence", "")]))
+            reason = {"sentence": wording.sentence(language, "effect_unavailable")}
+            reason = literal_table(rows.sparkSession, [reason], "sentence string")
+            parts.append(_cells(reason, "primary", "'sentences'", "1", [("sentence", "")]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from descry.errors import AnalysisError
 from descry.functions import predicates as P
+from descry.functions import sqltext as Q
 from descry.functions import text
 from descry.functions.wide import aggregate_rows
 
@@ -111,19 +112,20 @@ def infer_text_types(df: DataFrame, decimal: str = ".") -> DataFrame:
     """Per text column the counts of values that read as integers, numbers and booleans, and the type they allow."""
     rows = []
     for i, name in enumerate(df.columns, 1):
-        column = P.ref(name)
-        integer = F.rlike(column, F.lit(text.INTEGER_TEXT)) & F.trim(column).try_cast("bigint").isNotNull()
-        filled, integers = F.count(column), F.count_if(integer)
-        numbers = F.count(text.text_number(column, decimal))
-        flags = F.count_if(column.isin(*BOOLEAN_TOKENS))
+        column = Q.named(name)
+        spelled = f"replace({column}, {Q.quoted(decimal)}, '.')" if decimal != "." else column
+        filled = f"count({column})"
+        integers = f"count_if({column} RLIKE {Q.quoted(text.INTEGER_TEXT)} AND try_cast(trim({column}) AS BIGINT) IS NOT NULL)"
+        numbers = f"count_if({spelled} RLIKE {Q.quoted(text.NUMBER_TEXT)})"
+        flags = f"count_if({column} IN ({', '.join(map(Q.quoted, BOOLEAN_TOKENS))}))"
         inferred = (
-            F.when(filled == 0, F.lit("string")).when(integers == filled, F.lit("bigint"))
-            .when(numbers == filled, F.lit("double")).when(flags == filled, F.lit("boolean")).otherwise(F.lit("string"))
+            f"CASE WHEN {filled} = 0 THEN 'string' WHEN {integers} = {filled} THEN 'bigint' WHEN {numbers} = {filled} THEN 'double' "
+            f"WHEN {flags} = {filled} THEN 'boolean' ELSE 'string' END"
         )
         rows.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(name).alias("label"), filled.alias("nonmissing"),
-                integers.alias("integers"), numbers.alias("numbers"), flags.alias("booleans"), inferred.alias("inferred_type"),
+            Q.struct(
+                position=str(i), label=Q.quoted(name), nonmissing=filled, integers=integers, numbers=numbers, booleans=flags,
+                inferred_type=inferred,
             )
         )
     return aggregate_rows(df, rows)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from descry.functions import predicates as P
-from descry.functions.wide import literal_rows
 
 
 def size_gate(
@@ -36,7 +35,7 @@ def size_gate(
         )
         for name, limit, actual in checks
     ]
-    return counted.select(literal_rows(*structs))
+    return counted.select(F.inline(F.array(*structs)))
 
 
 def trim_trailing_blank(df: DataFrame, order_by: str) -> DataFrame:
