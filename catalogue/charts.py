@@ -9,7 +9,7 @@ from descry.operators import charts, profile
 @query("chart_histogram", f"""{DIRTY_SQL}, b AS (SELECT count(fv) AS n, min(fv) AS lo, max(fv) AS hi,
   least(20, greatest(5, CAST(floor(sqrt(count(fv))) AS BIGINT))) AS k FROM finite),
 placed AS (SELECT least(k - 1, CAST(floor((fv - lo) / (hi - lo) * k) AS BIGINT)) AS bin, count(*) AS c FROM finite, b WHERE fv IS NOT NULL GROUP BY 1)
-SELECT r.bin, round(lo + r.bin * ((hi - lo) / k), 6) AS lower, round(CASE WHEN r.bin + 1 = k THEN hi ELSE lo + (r.bin + 1) * ((hi - lo) / k) END, 6) AS upper,
+SELECT CAST(r.bin AS INTEGER) AS bin, round(lo + r.bin * ((hi - lo) / k), 6) AS lower, round(CASE WHEN r.bin + 1 = k THEN hi ELSE lo + (r.bin + 1) * ((hi - lo) / k) END, 6) AS upper,
   coalesce(c, 0) AS count FROM b, (SELECT CAST(unnest(range(20)) AS BIGINT) AS bin) r LEFT JOIN placed p ON p.bin = r.bin WHERE r.bin < k""")
 def chart_histogram(spark, folder):
     found = charts.histogram(events_dirty(spark, folder), "value")

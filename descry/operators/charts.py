@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry import wording
@@ -26,41 +27,27 @@ CHART_KINDS = ("histogram", "bar", "missingness", "box", "scatter", "date_line",
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Equal-width bins over the finite values, the last one closed: bin, lower, upper, count.
 
-    The number of bins is the square root of n, kept between 5 and 20. Bounds come from a one-row scalar subquery;
-    the second pass aggregates by bin in every task. Constant data get the range value +/- 0.5.
+    The number of bins is the square root of n, kept between 5 and 20. A first job brings back one row (n, minimum,
+    maximum); the second pass counts by bin in every task. Constant data get the range value +/- 0.5.
     """
     P.require_numeric(df, column)
-    values = df.select(P.finite(P.ref(column)).alias("x")).where(F.col("x").isNotNull())
-    bins = F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.sqrt(F.greatest(F.lit(1), F.count("x"))))))
-    low, high = F.coalesce(F.min("x"), F.lit(0.0)), F.coalesce(F.max("x"), F.lit(1.0))
-    pad = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-    bounds = values.agg(F.struct(bins.alias("bins"), (low - pad).alias("low"), (high + pad).alias("high")).alias("b"))
-    b = F.col("b")
-
-    def edge(index: Column) -> Column:
-        """Lower edge of a bin; the last edge is the maximum itself."""
-        inner = b["low"] + index * ((b["high"] - b["low"]) / b["bins"])
-        return F.when(index >= b["bins"], b["high"]).otherwise(inner)
-
-    guess = F.least(b["bins"] - 1, F.floor((F.col("x") - b["low"]) / (b["high"] - b["low"]) * b["bins"]))
+    values = df.select(P.finite(P.ref(column)).alias("x")).where("x IS NOT NULL")
+    found = values.selectExpr("count(1) AS n", "min(x) AS low", "max(x) AS high").head()
+    bins = min(20, max(5, isqrt(max(1, found["n"]))))
+    low, high = (0.0, 1.0) if found["n"] == 0 else (found["low"], found["high"])
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    edges = [low + i * ((high - low) / bins) for i in range(bins)] + [high]
     # Rounding may put a value next to its bin; the stated edges decide.
-    settled = (
-        F.when(F.col("x") < edge(F.col("guess")), F.col("guess") - 1)
-        .when((F.col("x") >= edge(F.col("guess") + 1)) & (F.col("guess") < b["bins"] - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
-    )
-    counts = (
-        values.withColumn("b", bounds.scalar())
-        .withColumn("guess", guess)
-        .groupBy(settled.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    known = "array(" + ", ".join(f"{edge!r}D" for edge in edges) + ")"
+    guess = f"CAST(least({bins - 1}, floor((x - {low!r}D) / {high - low!r}D * {bins}D)) AS INT)"
+    settled = f"guess + CASE WHEN x < {known}[guess] THEN -1 WHEN x >= {known}[guess + 1] AND guess < {bins - 1} THEN 1 ELSE 0 END"
+    counts = values.selectExpr("x", f"{guess} AS guess").groupBy(F.expr(settled).alias("bin")).agg(F.expr("count(1) AS count"))
     # At most 20 rows on either side.
-    every = bounds.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), b["bins"] - 1)).alias("bin"))
-    return every.join(F.broadcast(counts), "bin", "left").select(
-        "bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
-        F.coalesce("count", F.lit(0)).alias("count"),
+    every = literal_table(
+        df.sparkSession, [{"bin": i, "lower": edges[i], "upper": edges[i + 1]} for i in range(bins)], "bin int, lower double, upper double"
     )
+    return every.join(F.broadcast(counts), "bin", "left").selectExpr("bin", "lower", "upper", "coalesce(count, 0L) AS count")
 
 
 def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
@@ -115,19 +102,24 @@ def box_outliers(df: DataFrame, outcome: str, group: str) -> DataFrame:
 def scatter_sample(
     df: DataFrame, first: str, second: str, key: Sequence[str], *, points: int = SCATTER_POINTS, seed: int = SCATTER_SEED
 ) -> DataFrame:
-    """At most ``points`` finite pairs for display, chosen by a seeded hash of ``key``.
+    """At most ``points`` finite pairs for display, chosen by a seeded hash of ``key`` and the pair.
 
-    The choice does not depend on partitioning; each task keeps its own best ``points`` before they meet.
+    The choice does not depend on partitioning. A first pass counts pairs by the leading 20 bits of the hash, which
+    tells the bits that suffice; only those pairs are then ordered, so one task never receives ``points`` rows from
+    every other task.
     """
     P.require_distinct(first, second)
     P.require_numeric(df, first, second)
+    keys = [f"_k{i}" for i in range(len(key))]
     pairs = df.select(
-        *[P.ref(name).alias(f"_k{i}") for i, name in enumerate(key)],
+        *[P.ref(name).alias(alias) for name, alias in zip(key, keys)],
         P.finite(P.ref(first)).alias("x"), P.finite(P.ref(second)).alias("y"),
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    keys = [f"_k{i}" for i in range(len(key))]
-    order = F.xxhash64(F.lit(seed), *keys)
-    return pairs.orderBy(order, *keys, "x", "y").limit(points).select("x", "y")
+    ).where("x IS NOT NULL AND y IS NOT NULL")
+    hashed = f"shiftrightunsigned(xxhash64({', '.join([str(seed), *keys, 'x', 'y'])}), 1)"
+    pairs = pairs.selectExpr("*", f"{hashed} AS _hash").selectExpr("*", "shiftright(_hash, 43) AS _bits")
+    counts = pairs.groupBy("_bits").agg(F.expr("count(1) AS n")).selectExpr("_bits", "sum(n) OVER (ORDER BY _bits) AS upto")
+    enough = counts.selectExpr(f"coalesce(min(_bits) FILTER (WHERE upto >= {points}), max(_bits))").scalar()
+    return pairs.where(F.col("_bits") <= enough).orderBy("_hash", *keys, "x", "y").limit(points).select("x", "y")
 
 
 def missingness_chart(profiled: DataFrame, *, bars: int = MISSINGNESS_BARS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from descry.functions.dates import as_instant, iso_text
 from descry.functions import sqltext as Q
 from descry.functions.wide import aggregate_rows, entries
 from descry.operators.describe import defined
-from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT, exact_quantiles
+from descry.operators.quantiles import FEW_VALUES, exact_quantiles, quantiles_of_few_values
 
 #: Groups up to which per-group bounds may be broadcast.
 FEW_GROUPS = 1_000
@@ -80,30 +81,29 @@ def group_statistics_detailed(
 ) -> DataFrame:
     """n, mean, sd, median, min, max of finite outcomes per group; groups without any are kept.
 
-    ``outcome_distinct`` is the outcome's distinct count where a profile knows it; when small, the median is
-    part of the one aggregate. Otherwise ranks are narrowed. ``few_groups`` says whether the number of groups is
-    known to be small; when None, a job counts them up to 1,000.
+    ``outcome_distinct`` is the outcome's distinct count where a profile knows it; when small, medians come from the
+    counts of its values. Otherwise ranks are narrowed; ``few_groups`` then says whether the number of groups is
+    known to be small, and when it is None, a job counts them up to 1,000.
     """
     _check_outcome_and_group(df, outcome, group)
     group_type = P.type_of(df, group)
     rows = df.where(P.present(P.ref(group), group_type)).select(
         P.ref(group).alias("_group"), P.finite(P.ref(outcome)).alias("_value"), _order_key(df, order_by).alias("_order")
     )
-    in_buffer = outcome_distinct is not None and outcome_distinct <= PERCENTILE_BUFFER_LIMIT
     statistics = rows.groupBy("_group").agg(
         F.count("_value").alias("n"), F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("sd"),
-        (F.percentile("_value", F.lit(0.5)) if in_buffer else F.lit(None).cast("double")).alias("median"),
         F.min("_value").alias("min"), F.max("_value").alias("max"), F.min("_order").alias("first_seen"),
     )
-    if not in_buffer:
+    if outcome_distinct is not None and outcome_distinct <= FEW_VALUES:
+        medians = quantiles_of_few_values(rows, ["_group"], "_value", [0.5])
+    else:
         if few_groups is None:
             few_groups = count_groups(df, group, FEW_GROUPS) <= FEW_GROUPS
-        medians = exact_quantiles(rows, ["_group"], "_value", [0.5], few_keys=few_groups).select(
-            F.col("_group").alias("_g"), F.col("q0").alias("_median")
-        )
-        if few_groups:
-            medians = F.broadcast(medians)
-        statistics = statistics.join(medians, F.col("_group") == F.col("_g"), "left").withColumn("median", F.col("_median"))
+        medians = exact_quantiles(rows, ["_group"], "_value", [0.5], few_keys=few_groups)
+    medians = medians.select(F.col("_group").alias("_g"), F.col("q0").alias("median"))
+    if few_groups:
+        medians = F.broadcast(medians)
+    statistics = statistics.join(medians, F.col("_group") == F.col("_g"), "left")
     return statistics.select(
         P.label_text(F.col("_group"), group_type).alias("group"),
         "n", "mean", "sd", "median", "min", "max", "first_seen",
@@ -192,11 +192,11 @@ def pearson_relationship(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def paired_change_statistics(
-    df: DataFrame, pre: str, post: str, *, buffered: bool = False
+    df: DataFrame, pre: str, post: str, *, few_values: bool = False
 ) -> DataFrame:
     """n, mean, sd, median of pre, post and post minus pre on the identical finite pairs: three rows.
 
-    ``buffered`` states that pre, post and their difference are known to have few distinct values.
+    ``few_values`` states that pre, post and their difference are known to have few distinct values.
     """
     P.require_distinct(pre, post)
     P.require_numeric(df, pre, post)
@@ -209,15 +209,15 @@ def paired_change_statistics(
         rows.append(
             Q.struct(
                 position=str(i), measure=Q.quoted(name), n=f"count({value})", mean=f"avg({value})", sd=f"stddev_samp({value})",
-                median=f"percentile({value}, 0.5D)" if buffered else "CAST(NULL AS DOUBLE)", excluded_count=f"count_if(NOT {paired})",
+                excluded_count=f"count_if(NOT {paired})",
             )
         )
     table = aggregate_rows(pairs, rows)
-    if not buffered:
-        long = entries(pairs.where(paired), [Q.struct(position=str(i), value=value) for i, value in enumerate(measures.values())])
-        medians = exact_quantiles(long, ["position"], "value", [0.5], few_keys=True)
-        # Three rows on either side.
-        table = table.join(F.broadcast(medians.select("position", "q0")), "position", "left").withColumn("median", F.col("q0"))
+    long = entries(pairs.where(paired), [Q.struct(position=str(i), value=value) for i, value in enumerate(measures.values())])
+    quantiles = quantiles_of_few_values if few_values else partial(exact_quantiles, few_keys=True)
+    medians = quantiles(long, ["position"], "value", [0.5]).select("position", F.col("q0").alias("median"))
+    # Three rows on either side.
+    table = table.join(F.broadcast(medians), "position", "left")
     return table.select(
         "measure", "n", "mean", "sd", "median", "excluded_count", F.lit("post_minus_pre").alias("direction")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions.wide import aggregate_rows, entries
-from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT, exact_quantiles
+from descry.operators.quantiles import FEW_VALUES, exact_quantiles, quantiles_of_few_values
 
 #: Categories shown, and the label of the remainder.
 MAX_CATEGORIES = 20
@@ -49,26 +50,20 @@ def numeric_profile(
 ) -> DataFrame:
     """n, missing, non-finite, mean, sd, median, min, max on finite values, one row per numeric column.
 
-    The median is exact. Columns whose distinct count is known (from a profile) and small use Spark's
-    ``percentile`` inside the one aggregate; all others get it by narrowing ranks, again for all columns in one
-    pass per step. ``approximate_median`` uses a quantile sketch instead.
+    The median is exact. Columns whose distinct count is known (from a profile) and small get it from the counts of
+    their values; all others by narrowing ranks, for all columns in the same passes. ``approximate_median`` uses a
+    quantile sketch inside the one aggregate instead.
     """
     names = list(columns) if columns is not None else P.numeric_columns(df)
     if not names:
         raise AnalysisError("The table has no numeric column.")
     P.require_numeric(df, *names)
     known = distinct_counts or {}
-    buffered = {n for n in names if 0 <= known.get(n, -1) <= PERCENTILE_BUFFER_LIMIT}
 
     rows = []
     for i, name in enumerate(names):
         value = Q.finite(name)
-        if approximate_median:
-            median = f"percentile_approx({value}, 0.5D, 10000)"
-        elif name in buffered:
-            median = f"percentile({value}, 0.5D)"
-        else:
-            median = "CAST(NULL AS DOUBLE)"
+        median = f"percentile_approx({value}, 0.5D, 10000)" if approximate_median else "CAST(NULL AS DOUBLE)"
         rows.append(
             Q.struct(
                 position=str(i), variable=Q.quoted(name), n=f"count({value})", mean=f"avg({value})", sd=f"stddev_samp({value})",
@@ -77,16 +72,17 @@ def numeric_profile(
             )
         )
     table = aggregate_rows(df, rows)
-    narrowed = [] if approximate_median else [(i, n) for i, n in enumerate(names) if n not in buffered]
-    if narrowed:
-        long = entries(df, [Q.struct(position=str(i), value=Q.finite(n)) for i, n in narrowed])
-        medians = exact_quantiles(long, ["position"], "value", [0.5], few_keys=True)
+    if not approximate_median:
+        few = [n for n in names if 0 <= known.get(n, -1) <= FEW_VALUES]
+        many = [n for n in names if n not in few]
+        parts = []
+        for chosen, quantiles in ((few, quantiles_of_few_values), (many, partial(exact_quantiles, few_keys=True))):
+            if chosen:
+                long = entries(df, [Q.struct(position=str(names.index(n)), value=Q.finite(n)) for n in chosen])
+                parts.append(quantiles(long, ["position"], "value", [0.5]).select("position", "q0"))
         # At most one row per column on either side.
-        table = (
-            table.join(F.broadcast(medians.select("position", "q0")), "position", "left")
-            .withColumn("median", F.coalesce("median", "q0"))
-            .drop("q0")
-        )
+        medians = F.broadcast(reduce(DataFrame.unionByName, parts))
+        table = table.join(medians, "position", "left").withColumn("median", F.col("q0"))
     return table.select(
         "position", "variable", "n", "missing_count", "nonfinite_count", "mean", "sd", "median", "min", "max"
     )

@@ -1,8 +1,8 @@
 """Exact quantiles without gathering a group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is right for
-columns known to hold few distinct values and fails on a continuous column of a very large table. Here the
-wanted ranks are narrowed by counting instead:
+Spark's ``percentile`` over rows ships a buffer of distinct values from every task to one reducer. Two ways avoid
+that. Where a profile knows that there are few distinct values, they are counted first (map-side combined), and
+``percentile`` runs on the counts. Otherwise the wanted ranks are narrowed by counting:
 
 1. count values in coarse logarithmic cells (1024 per octave, so a few thousand cells in practice and about
    four million for any DOUBLE data at all) and find the cell of each wanted rank;
@@ -16,28 +16,37 @@ All binning functions are monotone, so the result is the exact order statistic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct values up to which Spark's own ``percentile`` buffer (value -> count) is known to be small.
-PERCENTILE_BUFFER_LIMIT = 1_000_000
+from descry.functions.sqltext import named
+
+#: Known distinct values per key up to which their counts may meet in one aggregation buffer.
+FEW_VALUES = 500_000
 
 _CELLS_PER_OCTAVE = 1024
 _SLICES = 1 << 21
 _OFFSET = 1_200_000  # larger than 1075 octaves below one * cells per octave
 
+#: Order-preserving coarse cell of a finite DOUBLE.
+_SIZE = f"(CAST(floor(log2(abs(_x)) * {_CELLS_PER_OCTAVE}D) AS INT) + {_OFFSET})"
+_CELL = f"CASE WHEN _x > 0D THEN {_SIZE} WHEN _x < 0D THEN -{_SIZE} ELSE 0 END"
+
+#: Order-preserving slice of a value within the bounds of its cell.
+_PLACE = f"CAST(floor((_x - _low) / (_high - _low) * {_SLICES}D) AS INT)"
+_SLICE = f"IF(_low < _high, least({_PLACE}, {_SLICES - 1}), 0)"
 
-def _cell(x: Column) -> Column:
-    """Order-preserving coarse cell of a finite DOUBLE."""
-    size = F.floor(F.log2(F.abs(x)) * F.lit(float(_CELLS_PER_OCTAVE))) + F.lit(_OFFSET)
-    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
+#: Wanted ranks re-based to the start of their bin; those outside the bin are dropped.
+_INSIDE = (
+    "filter(transform(_wanted, w -> named_struct('prob', w.prob, 'rest', w.rest - _before)), w -> w.rest >= 0 AND w.rest < _w)"
+)
 
 
-def _slice(x: Column, low: Column, high: Column) -> Column:
-    """Order-preserving slice of a value within the bounds of its cell."""
-    width = F.nullif(high - low, F.lit(0.0))
-    place = F.floor((x - low) / width * F.lit(float(_SLICES)))
-    return F.coalesce(F.least(place, F.lit(_SLICES - 1)), F.lit(0).cast("bigint"))
+def quantiles_of_few_values(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """The result of ``exact_quantiles`` for a value known to have at most ``FEW_VALUES`` distinct values per key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.expr("count(1) AS _w"))
+    found = [F.percentile(value, F.lit(float(p)), F.col("_w")).alias(f"q{i}") for i, p in enumerate(probs)]
+    return counts.groupBy(*keys).agg(F.sum("_w").alias("value_n"), *found)
 
 
 def exact_quantiles(
@@ -53,72 +62,62 @@ def exact_quantiles(
     broadcast of at most ``2 * len(probs)`` rows per key. With ``few_keys=False`` the input is first reduced to
     (keys, value, count), which all steps share, and the cells are joined by shuffling.
     """
-    x = F.col("_x")
-    base = df.select(*keys, F.col(value).alias("_x")).where(x.isNotNull())
+    base = df.select(*keys, F.col(value).alias("_x")).where("_x IS NOT NULL")
     if few_keys:
-        counted = base.withColumn("_w", F.lit(1).cast("bigint"))
+        counted = base.selectExpr(*map(named, keys), "_x", "1L AS _w", f"{_CELL} AS _cell")
     else:
-        counted = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_w"))
-    counted = counted.withColumn("_cell", _cell(x))
+        counted = base.groupBy(*keys, "_x").agg(F.expr("count(1) AS _w")).selectExpr("*", f"{_CELL} AS _cell")
 
     def small(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if few_keys else frame
 
+    def bins(frame: DataFrame, *by: str) -> DataFrame:
+        totals = [F.expr(text) for text in ("sum(_w) AS _w", "min(_x) AS _low", "max(_x) AS _high")]
+        return frame.groupBy(*keys, *by).agg(*totals)
+
     # Step 1: count per cell; keep the cells that hold a wanted rank, with the ranks counted from the cell's start.
-    cells = counted.groupBy(*keys, "_cell").agg(
-        F.sum("_w").alias("_w"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
+    ranks = ", ".join(
+        f"named_struct('prob', {i}, 'rest', CAST({side}({p!r}D * (_n - 1)) AS BIGINT))"
+        for i, p in enumerate(map(float, probs))
+        for side in ("floor", "ceil")
     )
-    everything = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    cells = _running_count(cells, everything.orderBy("_cell")).withColumn("_n", F.sum("_w").over(everything))
-    ranks = F.array(
-        *[
-            F.struct(F.lit(i).alias("prob"), side(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rest"))
-            for i, p in enumerate(probs)
-            for side in (F.floor, F.ceil)
-        ]
-    )
-    wanted = _keep_wanted(cells, F.array_distinct(ranks)).select(*keys, "_cell", "_low", "_high", "_n", "_wanted")
+    within = f"PARTITION BY {', '.join(map(named, keys)) or '0'}"
+    cells = bins(counted, "_cell").selectExpr("*", f"sum(_w) OVER ({within}) AS _n", _before(within, "_cell"))
+    cells = cells.selectExpr("*", f"array_distinct(array({ranks})) AS _wanted")
+    wanted = _holding_wanted(cells, keys, "_cell")
 
     # Step 2: the same per slice of the wanted cells.
-    slices = (
-        counted.join(small(wanted), [*keys, "_cell"])
-        .withColumn("_slice", _slice(x, F.col("_low"), F.col("_high")))
-        .groupBy(*keys, "_cell", "_n", "_wanted", "_slice")
-        .agg(F.sum("_w").alias("_w"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    )
-    slices = _running_count(slices, Window.partitionBy(*keys, "_cell").orderBy("_slice"))
-    wanted = _keep_wanted(slices, F.col("_wanted")).select(*keys, "_cell", "_slice", "_low", "_high", "_n", "_wanted")
+    at_cell = [*keys, "_cell"]
+    slices = counted.join(small(wanted), at_cell).selectExpr("*", f"{_SLICE} AS _slice")
+    slices = bins(slices, "_cell", "_n", "_wanted", "_slice")
+    wanted = _holding_wanted(_with_running_count(slices, at_cell, "_slice"), keys, "_cell", "_slice")
 
     # Step 3: the same per distinct value of the wanted slices.
-    values = (
-        counted.join(small(wanted), [*keys, "_cell"])
-        .where(x.between(F.col("_low"), F.col("_high")))
-        .groupBy(*keys, "_cell", "_slice", "_n", "_wanted", "_x")
-        .agg(F.sum("_w").alias("_w"))
-    )
-    values = _running_count(values, Window.partitionBy(*keys, "_cell", "_slice").orderBy("_x"))
-    found = _keep_wanted(values, F.col("_wanted")).select(*keys, "_n", "_x", F.explode("_wanted.prob").alias("_prob"))
+    values = counted.join(small(wanted), at_cell).where("_x BETWEEN _low AND _high")
+    values = values.groupBy(*at_cell, "_slice", "_n", "_wanted", "_x").agg(F.expr("sum(_w) AS _w"))
+    values = _with_running_count(values, [*at_cell, "_slice"], "_x").selectExpr("*", f"{_INSIDE} AS _held")
+    found = values.selectExpr(*map(named, keys), "_n", "_x", "explode(_held.prob) AS _prob")
 
-    def interpolated(i: int, p: float) -> Column:
-        mine = F.when(F.col("_prob") == i, x)
-        place = F.lit(p) * (F.max("_n") - 1)
-        return (F.min(mine) + (F.max(mine) - F.min(mine)) * (place - F.floor(place))).alias(f"q{i}")
+    def interpolated(i: int, p: float) -> str:
+        low, high = [f"{end}(_x) FILTER (WHERE _prob = {i})" for end in ("min", "max")]
+        place = f"{p!r}D * (max(_n) - 1)"
+        return f"{low} + ({high} - {low}) * ({place} - floor({place})) AS q{i}"
 
-    return found.groupBy(*keys).agg(
-        F.max("_n").alias("value_n"), *[interpolated(i, p) for i, p in enumerate(probs)]
-    )
+    results = [interpolated(i, p) for i, p in enumerate(map(float, probs))]
+    return found.groupBy(*keys).agg(F.expr("max(_n) AS value_n"), *[F.expr(text) for text in results])
 
 
-def _running_count(counts: DataFrame, ordered: WindowSpec) -> DataFrame:
-    """Add ``_before``: how many values precede this bin."""
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+def _before(within: str, order: str) -> str:
+    """How many values precede a bin."""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"coalesce(sum(_w) OVER ({within} ORDER BY {order} {frame}), 0L) AS _before"
 
 
-def _keep_wanted(bins: DataFrame, wanted: Column) -> DataFrame:
-    """Keep the bins that hold a wanted rank; ranks are re-based to the start of the bin."""
-    rest = F.transform(
-        wanted, lambda w: F.struct(w["prob"].alias("prob"), (w["rest"] - F.col("_before")).alias("rest"))
-    )
-    inside = F.filter(rest, lambda w: (w["rest"] >= 0) & (w["rest"] < F.col("_w")))
-    return bins.withColumn("_wanted", inside).where(F.size("_wanted") > 0)
+def _with_running_count(counts: DataFrame, within: list[str], order: str) -> DataFrame:
+    return counts.selectExpr("*", _before(f"PARTITION BY {', '.join(map(named, within))}", order))
+
+
+def _holding_wanted(bins: DataFrame, keys: list[str], *at: str) -> DataFrame:
+    """The bins that hold a wanted rank."""
+    kept = bins.selectExpr(*map(named, keys), *at, "_low", "_high", "_n", f"{_INSIDE} AS _wanted")
+    return kept.where("size(_wanted) > 0")

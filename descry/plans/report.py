@@ -20,7 +20,7 @@ from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions.wide import literal_table
 from descry.operators import charts, compare, describe, facts, profile
-from descry.operators.quantiles import PERCENTILE_BUFFER_LIMIT
+from descry.operators.quantiles import FEW_VALUES
 from descry.plans.settings import REQUIRED_SECTIONS, ReportSettings
 
 #: Frequency tables shown, rows per printed part of a table.
@@ -209,7 +209,7 @@ def _selected_analysis(
 
     def small(*names: str) -> bool:
         counts = [by_label[name]["unique_nonmissing"] for name in names]
-        return not settings.approximate_distinct and prod(counts) <= PERCENTILE_BUFFER_LIMIT
+        return not settings.approximate_distinct and prod(counts) <= FEW_VALUES
 
     def chart(kind: str, topic: str, names: Sequence[str], valid_n: Callable[[], int]) -> Callable[[], dict[str, object]]:
         return lambda: {
@@ -252,8 +252,8 @@ def _selected_analysis(
         pair = [settings.pre, settings.post]
         need(("numeric",), *pair)
         P.require_distinct(*pair)
-        # The difference may have as many values as there are pairs of values, so only tiny columns are buffered.
-        change = cache(lambda: compare.paired_change_statistics(data, *pair, buffered=small(*pair)))
+        # The difference may have as many values as there are pairs of values, so only tiny columns count as few.
+        change = cache(lambda: compare.paired_change_statistics(data, *pair, few_values=small(*pair)))
         plans["change"] = change
         n = lambda: data.agg(F.count_if(P.finite(P.ref(pair[0])).isNotNull() & P.finite(P.ref(pair[1])).isNotNull())).head()[0]
         return _Analysis(chart("paired", "change", pair, n), lambda: facts.change_fact(change()))

@@ -274,17 +274,11 @@ def ragged_audit(
         F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open_quotes"),
         F.min(F.struct("block", "place")).alias("first"),
     )
-    per_file = totals.groupBy("file").agg(
-        F.min_by("fields", "first").alias("columns"), F.sum("n").alias("lines"),
-        F.collect_list(F.struct("fields", "n")).alias("shapes"), F.sum("open_quotes").alias("open_quotes"),
-    )
-    fitting = F.aggregate(
-        F.filter("shapes", lambda s: s["fields"] == F.col("columns")), F.lit(0).cast("bigint"), lambda a, s: a + s["n"]
-    )
-    blank = F.aggregate(
-        F.filter("shapes", lambda s: s["fields"] == 0), F.lit(0).cast("bigint"), lambda a, s: a + s["n"]
-    )
-    return per_file.select(
-        "file", "columns", (F.col("lines") - 1).alias("records"), (F.col("lines") - fitting).alias("malformed"),
-        blank.alias("blank_lines"), "open_quotes",
+    # Both sides have one row per file and field count.
+    headers = totals.groupBy("file").agg(F.min_by("fields", "first").alias("columns"))
+    return totals.join(headers, "file").groupBy("file", "columns").agg(
+        (F.sum("n") - 1).alias("records"),
+        F.sum(F.when(F.col("fields") != F.col("columns"), F.col("n")).otherwise(0)).alias("malformed"),
+        F.sum(F.when(F.col("fields") == 0, F.col("n")).otherwise(0)).alias("blank_lines"),
+        F.sum("open_quotes").alias("open_quotes"),
     )
