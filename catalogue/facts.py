@@ -98,11 +98,11 @@ def range_sentences(spark, folder):
 
 
 _REQUESTS = "SELECT DISTINCT CASE WHEN event_id % 4 = 0 THEN 'fi' WHEN event_id % 4 = 1 THEN 'es' WHEN event_id % 4 = 2 THEN 'xx' ELSE 'en' END AS language, {key} AS key FROM {e}"
-_KEYS = "CASE WHEN event_id % 5 = 0 THEN 'variable' WHEN event_id % 5 = 1 THEN 'numeric' WHEN event_id % 5 = 2 THEN 'time' ELSE event_type END"
+_KEYS = "CASE WHEN event_id % 5 = 0 THEN 'group' WHEN event_id % 5 = 1 THEN 'time' WHEN event_id % 5 = 2 THEN 'detailed' ELSE event_type END"
 _LOOKED_UP = {
-    ("fi", "variable"): "Muuttuja", ("fi", "numeric"): "numeerinen", ("fi", "time"): "aikasarja", ("es", "variable"): "Variable",
-    ("es", "numeric"): "numérico", ("es", "time"): "serie por fecha", ("en", "variable"): "Variable", ("en", "numeric"): "numeric",
-    ("en", "time"): "date series",
+    ("fi", "group"): "ryhmävertailu", ("fi", "time"): "aikasarja", ("fi", "detailed"): "laaja", ("es", "group"): "comparación de grupos",
+    ("es", "time"): "serie por fecha", ("es", "detailed"): "detallado", ("en", "group"): "group comparison", ("en", "time"): "date series",
+    ("en", "detailed"): "detailed",
 }
 
 
@@ -112,7 +112,7 @@ SELECT r.language, r.key, coalesce(own.text, en.text, r.key) AS text FROM reques
 LEFT JOIN words en ON en.language = 'en' AND en.key = r.key""")
 def template_lookup(spark, folder):
     requests = spark.sql(_REQUESTS.format(key=_KEYS, e="{e}"), e=table(spark, folder, "events"))
-    return facts.look_up(requests, facts.labels(spark), "text").select("language", "key", "text")
+    return facts.look_up(requests, facts.labels(spark, "setting"), "text").select("language", "key", "text")
 
 
 # --- facts of many reports ------------------------------------------------------------------------------------

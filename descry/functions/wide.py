@@ -29,4 +29,4 @@ def entries(df: DataFrame, rows: Sequence[str]) -> DataFrame:
 def literal_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small fixed table inside the plan."""
     text = F.lit(json.dumps(list(rows), ensure_ascii=False))
-    return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))

@@ -117,6 +117,7 @@ def scatter_sample(
     ).where("x IS NOT NULL AND y IS NOT NULL")
     hashed = f"shiftrightunsigned(xxhash64({', '.join([str(seed), *keys, 'x', 'y'])}), 1)"
     pairs = pairs.selectExpr("*", f"{hashed} AS _hash").selectExpr("*", "shiftright(_hash, 43) AS _bits")
+    # At most 2**20 counts meet in the running sum.
     counts = pairs.groupBy("_bits").agg(F.expr("count(1) AS n")).selectExpr("_bits", "sum(n) OVER (ORDER BY _bits) AS upto")
     enough = counts.selectExpr(f"coalesce(min(_bits) FILTER (WHERE upto >= {points}), max(_bits))").scalar()
     return pairs.where(F.col("_bits") <= enough).orderBy("_hash", *keys, "x", "y").limit(points).select("x", "y")

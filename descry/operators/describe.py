@@ -116,32 +116,21 @@ def categorical_profile(
         F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
         F.count("label").alias("n_labels"),
     )
-    order = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("label"))
-    top = (
-        counts.where(F.col("label").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= max_categories)
-    )
+    # Missing labels rank last; each task keeps only its first labels per column before the ranking shuffle.
+    order = Window.partitionBy("position").orderBy(F.col("label").isNull(), F.col("count").desc(), F.col("label"))
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_categories)
+    above = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    top = top.withColumn("_above", F.coalesce(above, F.lit(0))).where("label IS NOT NULL")
+    names = f"array({', '.join(Q.quoted(name) for name in columns)})"
+    last = f"(n_labels > {max_categories} AND rank = {max_categories})"
     # One row per column, so the broadcast is bounded by the width of the table.
-    ranked = top.join(F.broadcast(totals), "position").withColumn("aggregated", F.col("n_labels") > max_categories)
-    shown = ranked.where(~F.col("aggregated") | (F.col("rank") < max_categories)).withColumn("is_remainder", F.lit(False))
-    remainder = (
-        ranked.where(F.col("aggregated"))
-        .groupBy("position", "valid_n", "missing_count", "n_labels", "aggregated")
-        .agg(F.sum(F.when(F.col("rank") < max_categories, F.col("count")).otherwise(0)).alias("_shown"))
-        .select(
-            "position", F.lit(REMAINDER).alias("label"), (F.col("valid_n") - F.col("_shown")).alias("count"),
-            F.lit(max_categories).alias("rank"), "valid_n", "missing_count", "n_labels", "aggregated",
-            F.lit(True).alias("is_remainder"),
-        )
-    )
-    names = F.expr(f"array({', '.join(Q.quoted(name) for name in columns)})")
-    return shown.unionByName(remainder).select(
-        "position",
-        names[F.col("position")].alias("variable"),
-        "rank", "label", "count",
-        P.percent(F.col("count"), F.col("valid_n")).alias("percent"),
-        "valid_n", "missing_count", "aggregated", "is_remainder",
+    return top.join(F.broadcast(totals), "position").selectExpr(
+        "position", f"{names}[position] AS variable", "rank", f"IF({last}, {Q.quoted(REMAINDER)}, label) AS label",
+        f"IF({last}, valid_n - _above, count) AS count", "valid_n", "missing_count",
+        f"n_labels > {max_categories} AS aggregated", f"{last} AS is_remainder",
+    ).selectExpr(
+        "position", "variable", "rank", "label", "count", f"{Q.percent('count', 'valid_n')} AS percent", "valid_n", "missing_count",
+        "aggregated", "is_remainder",
     )
 
 

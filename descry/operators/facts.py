@@ -27,11 +27,13 @@ def templates(spark: SparkSession) -> DataFrame:
     return _literal_table(spark, wording.SENTENCES, "template")
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    """language, key, text: table labels, role names and setting names."""
-    tables = [wording.LABELS, wording.ROLE_LABELS, wording.SETTING_LABELS]
-    frames = [_literal_table(spark, table, "text") for table in tables]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).dropDuplicates(["language", "key"])
+#: Families of labels; keys such as ``group`` mean different things in different families.
+LABEL_FAMILIES = {"label": wording.LABELS, "role": wording.ROLE_LABELS, "setting": wording.SETTING_LABELS}
+
+
+def labels(spark: SparkSession, family: str = "label") -> DataFrame:
+    """language, key, text of one family: table labels, role names or setting names."""
+    return _literal_table(spark, LABEL_FAMILIES[family], "text")
 
 
 def _literal_table(spark: SparkSession, table: Mapping[str, Mapping[str, str]], name: str) -> DataFrame:

@@ -124,10 +124,15 @@ def validate_narratives(blocks: DataFrame, facts: DataFrame, expected_language:
     ``expected_language`` is the requested language, a code or a column of ``blocks``.
     """
     language = F.lit(expected_language) if isinstance(expected_language, str) else expected_language
-    own = block_errors(blocks, language).select("response_id", F.explode_outer("errors").alias("code"))
-
     code = F.col("interpretation_code")
     has_code = F.coalesce(code != "", F.lit(False))
+    # A code without any citation can never be allowed.
+    cites = (F.size(text.fact_tokens(F.col("prose"))) > 0) | (F.coalesce(F.size("fact_ids"), F.lit(0)) > 0)
+    uncited = F.when(has_code & ~cites & ~is_empty(F.col("prose")), F.lit("unsupported_interpretation"))
+    own = block_errors(blocks, language).select(
+        "response_id", F.explode_outer(F.array_compact(F.array_append("errors", uncited))).alias("code")
+    )
+
     cited = _look_up_facts(_references(blocks), facts, ["allowed_interpretation_codes"])
     allowed = F.coalesce(F.col("listed") & F.array_contains("allowed_interpretation_codes", code), F.lit(False))
     checked = cited.groupBy("response_id", "block_no").agg(
@@ -145,14 +150,8 @@ def validate_narratives(blocks: DataFrame, facts: DataFrame, expected_language:
             )
         ).alias("code"),
     )
-    # A code without any citation can never be allowed.
-    no_citation = (F.size(text.fact_tokens(F.col("prose"))) == 0) & (F.coalesce(F.size("fact_ids"), F.lit(0)) <= 0)
-    uncited = blocks.where(has_code & no_citation & ~is_empty(F.col("prose"))).select(
-        "response_id", F.lit("unsupported_interpretation").alias("code")
-    )
     return (
         own.unionByName(by_reference)
-        .unionByName(uncited)
         .groupBy("response_id")
         .agg(F.array_sort(F.collect_set("code")).alias("errors"))
         .withColumn("valid", F.size("errors") == 0)

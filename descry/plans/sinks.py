@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from descry.functions import predicates as P
+from descry.session import scratch_path
 
 
 def _safe(column: Column, dtype: T.DataType) -> Column:
@@ -45,6 +46,13 @@ def read_results(spark: SparkSession, folder: str, names: list[str], *, format:
     return {name: spark.read.format(format).load(f"{folder}/{name}") for name in names}
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder, for inputs that are costly to compute: a report scans it often."""
+    path = scratch_path(df.sparkSession, "input")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def reuse_or_compute(
     spark: SparkSession, fingerprint: DataFrame, folder: str, compute: Callable[[], Mapping[str, DataFrame]]
 ) -> dict[str, DataFrame]:
