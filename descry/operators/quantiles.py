@@ -60,13 +60,15 @@ def exact_quantiles(
     ``few_keys=True`` states that the number of key combinations is bounded and small (one per column, or groups
     that passed a count check). Then each step re-reads only the needed columns and finds the wanted cells with a
     broadcast of at most ``2 * len(probs)`` rows per key. With ``few_keys=False`` the input is first reduced to
-    (keys, value, count), which all steps share, and the cells are joined by shuffling.
+    (keys, value, count) and laid out by key and cell once; all steps share that layout.
     """
     base = df.select(*keys, F.col(value).alias("_x")).where("_x IS NOT NULL")
     if few_keys:
         counted = base.selectExpr(*map(named, keys), "_x", "1L AS _w", f"{_CELL} AS _cell")
     else:
         counted = base.groupBy(*keys, "_x").agg(F.expr("count(1) AS _w")).selectExpr("*", f"{_CELL} AS _cell")
+        # Every step clusters by key and cell, so they share this one exchange.
+        counted = counted.repartition(*map(F.col, keys), F.col("_cell"))
 
     def small(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if few_keys else frame
