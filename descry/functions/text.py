@@ -15,7 +15,16 @@ LITERAL_NUMBER = r"(?<![\p{L}\p{N}_\]])[-+]?\p{Nd}+(?:[.,]\p{Nd}+)?(?:[eE][-+]?\
 NUMBER_TEXT = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity|nan)\s*$"
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+_SPACE = r"[\s\x1c-\x1f]"
+EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
+NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
+
+#: ISO_DATE of the stripped text in one anchored match, which gives up at the first character of other texts.
+PADDED_ISO_DATE = rf"(?Ud)^{_SPACE}*{ISO_DATE.removeprefix('(?d)^').removesuffix('$')}{_SPACE}*\z"
+
+#: Whether LITERAL_NUMBER occurs: a digit that follows no word character and no bracket (a sign is neither). The digit
+#: is tried first, so that the look-behind runs at digits only.
+HAS_LITERAL_NUMBER = r"\p{Nd}(?<![\p{L}\p{N}_\]]\p{Nd})"
 
 
 def strip(column: Column) -> Column:
@@ -23,8 +32,9 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, EDGE_SPACE, "")
 
 
-def is_iso_date(column: Column) -> Column:
-    return F.rlike(strip(column), F.lit(ISO_DATE))
+def is_blank(column: Column) -> Column:
+    """NULL or nothing but white space."""
+    return F.coalesce(~F.rlike(column, F.lit(NON_SPACE)), F.lit(True))
 
 
 def text_number(column: Column, decimal: str = ".") -> Column:
@@ -39,9 +49,10 @@ def fact_tokens(prose: Column) -> Column:
 
 
 def without_fact_tokens(prose: Column) -> Column:
-    return F.regexp_replace(prose, FACT_TOKEN, "")
+    """The text with its well-formed fact tokens removed."""
+    return F.when(F.contains(prose, F.lit(FACT_TOKEN_START)), F.regexp_replace(prose, FACT_TOKEN, "")).otherwise(prose)
 
 
 def has_literal_number(text: Column) -> Column:
     """Whether the text states a number outside fact tokens."""
-    return F.rlike(without_fact_tokens(text), F.lit(LITERAL_NUMBER))
+    return F.rlike(without_fact_tokens(text), F.lit(HAS_LITERAL_NUMBER))

@@ -57,7 +57,7 @@ def _references(blocks: DataFrame) -> DataFrame:
     listed = F.transform(
         F.coalesce("fact_ids", F.array().cast("array<string>")), lambda t: F.struct(t.alias("ref"), F.lit(True).alias("listed"))
     )
-    return blocks.where(~is_empty(F.col("prose"))).select(
+    return blocks.where(~text.is_blank(F.col("prose"))).select(
         "response_id", "report_id", "block_no", "interpretation_code",
         F.inline(F.array_distinct(F.concat(tokens, listed))),
     )
@@ -71,10 +71,6 @@ def unknown_facts(blocks: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def is_empty(prose: Column) -> Column:
-    return F.coalesce(text.strip(prose) == "", F.lit(True))
-
-
 def is_unresolved(prose: Column) -> Column:
     """A token was opened but none is well-formed."""
     return F.contains(prose, F.lit(text.FACT_TOKEN_START)) & (F.size(text.fact_tokens(prose)) == 0)
@@ -99,7 +95,7 @@ def uses_banned_term(prose: Column, language: Column) -> Column:
 def block_errors(blocks: DataFrame, expected_language: Column) -> DataFrame:
     """Errors that a block shows by itself, as an array column ``errors``; no join and no shuffle."""
     prose = F.col("prose")
-    empty = is_empty(prose)
+    empty = text.is_blank(prose)
 
     def flag(condition: Column, code: str) -> Column:
         return F.when(condition, F.lit(code))
@@ -128,7 +124,7 @@ def validate_narratives(blocks: DataFrame, facts: DataFrame, expected_language:
     has_code = F.coalesce(code != "", F.lit(False))
     # A code without any citation can never be allowed.
     cites = (F.size(text.fact_tokens(F.col("prose"))) > 0) | (F.coalesce(F.size("fact_ids"), F.lit(0)) > 0)
-    uncited = F.when(has_code & ~cites & ~is_empty(F.col("prose")), F.lit("unsupported_interpretation"))
+    uncited = F.when(has_code & ~cites & ~text.is_blank(F.col("prose")), F.lit("unsupported_interpretation"))
     own = block_errors(blocks, language).select(
         "response_id", F.explode_outer(F.array_compact(F.array_append("errors", uncited))).alias("code")
     )

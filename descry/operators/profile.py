@@ -67,7 +67,7 @@ _SLOTS = {"whole": "BIGINT", "real": "DOUBLE", "instant": "TIMESTAMP_NTZ", "word
 
 
 def _is_iso_date(value: str) -> str:
-    return f"regexp_replace({value}, {Q.quoted(text.EDGE_SPACE)}, '') RLIKE {Q.quoted(text.ISO_DATE)}"
+    return f"{value} RLIKE {Q.quoted(text.PADDED_ISO_DATE)}"
 
 
 def _entry(name: str, dtype: T.DataType, position: int) -> str:

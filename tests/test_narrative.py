@@ -57,6 +57,22 @@ def test_verdicts(spark, facts, partitions):
     assert got == {name: (errors, not errors) for name, (_, errors) in CASES.items()}
 
 
+@pytest.mark.parametrize(
+    "prose,number",
+    [
+        ("7", True), ("-7", True), ("a-7", True), ("a7", False), ("_7", False), ("]7", False), ("7a", True), ("x7 8", True),
+        ("a1.5", True), ("é5", False), ("数5", False), ("½5", False), ("+٣", True), ("none", False), ("", False), ("[[FACT:a1]]", False),
+        ("[[FACT:a1]]7", True), ("a[[FACT:b]]7", False), ("(7)", True), ("1,5%", True),
+    ],
+)
+def test_literal_numbers(spark, prose, number):
+    from descry.functions import text
+
+    full = F.rlike(text.without_fact_tokens(F.lit(prose)), F.lit(text.LITERAL_NUMBER))
+    row = spark.range(1).select(text.has_literal_number(F.lit(prose)), full).head()
+    assert (row[0], row[1]) == (number, number)
+
+
 def test_banned_terms_follow_the_expected_language(spark, facts):
     blocks = spark.createDataFrame([block("a", "Eso causó mejoras.", language="es")], BLOCKS)
     row = narrative.validate_narratives(blocks, facts, "es").head()
