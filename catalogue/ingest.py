@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogue.registry import DIRTY_KINDS, DIRTY_SQL, events_dirty, query, rounded, table
+from catalogue.registry import DIRTY_KINDS, DIRTY_SQL, events_dirty, query, table
 from descry.session import scratch_path
 from descry.sources import delimited, tables
 

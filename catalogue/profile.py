@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import (
-    DIRTY_KINDS, DIRTY_SQL, KINDS, big, dirty_profile_sql, events_dirty, profile_sql, query, rounded, table,
+    DIRTY_KINDS, DIRTY_SQL, KINDS, dirty_profile_sql, events_dirty, profile_sql, query, rounded, table,
 )
 from descry.functions.sqltext import display_label
 from descry.operators import charts, profile

@@ -31,10 +31,6 @@ def rounded(name: str, digits: int = 6, alias: str | None = None) -> Column:
     return F.round(F.col(name), digits).alias(alias or name)
 
 
-def big(name: str, alias: str | None = None) -> Column:
-    return F.col(name).cast("bigint").alias(alias or name)
-
-
 _DIRTY = """
 WITH base AS (
   SELECT event_id, ts, user_id,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from catalogue.compare import PAIRS_SQL
 from catalogue.registry import DIRTY_SQL, KINDS, events_dirty, profile_sql, query, rounded, table
 from descry import ReportSettings, report
-from descry.operators import describe, profile
 
 
 def orders_profile(spark, folder) -> DataFrame:

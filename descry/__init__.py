@@ -13,7 +13,7 @@ from descry.operators.describe import (
 )
 from descry.operators.facts import fact_payload, payload_json, suppress_small_cells, with_sentences
 from descry.operators.narrative import (
-    check_response_schema, expand_fact_tokens, parse_responses, unknown_facts, validate_narratives,
+    check_response_schema, expand_fact_tokens, has_broken_token, parse_responses, unknown_facts, validate_narratives,
 )
 from descry.operators.profile import (
     constant_columns, dataset_fingerprint, dataset_summary, duplicate_rows, eligible_variables, identifier_duplicates,
@@ -23,7 +23,7 @@ from descry.operators.profile import (
 from descry.operators.quantiles import exact_quantiles
 from descry.plans.report import relabel, report, section_filter
 from descry.plans.settings import ReportSettings
-from descry.plans.sinks import json_safe, read_results, result_json, reuse_or_compute, write_results
+from descry.plans.sinks import json_safe, materialized, read_results, result_json, reuse_or_compute, write_results
 from descry.sources.delimited import (
     header_audit, infer_text_types, lenient_scan, ragged_audit, separator_audit, strict_scan,
 )

@@ -69,10 +69,6 @@ def finite(column: Column) -> Column:
     return F.when(F.abs(number) < F.lit(INFINITY), number)
 
 
-def is_infinite(column: Column) -> Column:
-    return F.abs(column.cast("double")) == F.lit(INFINITY)
-
-
 def percent(part: Column, whole: Column) -> Column:
     """``part / whole * 100`` as DOUBLE, NULL for an empty denominator."""
     return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)

@@ -24,11 +24,6 @@ MAX_PROSE = 3_000
 RESPONSE_FIELDS = ["language", "blocks"]
 BLOCK_FIELDS = ["section_id", "fact_ids", "interpretation_code", "prose"]
 
-ERROR_CODES = (
-    "empty_prose", "literal_quantitative_claim", "unknown_fact", "unresolved_token", "unsupported_claim",
-    "unsupported_interpretation", "wrong_language",
-)
-
 
 def _look_up_facts(references: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     """Left-join facts to (report_id, ref) references, salted against hot reports; adds ``_known`` and the columns."""

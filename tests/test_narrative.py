@@ -81,6 +81,12 @@ def test_banned_terms_follow_the_expected_language(spark, facts):
     assert row["errors"] == ["wrong_language"]
 
 
+def test_broken_tokens_are_reported_apart(spark):
+    prose = ["[[FACT:large]] and [[FACT:x", "[[FACT:large]]", "none"]
+    df = spark.createDataFrame([(p,) for p in prose], "prose string")
+    assert [r[0] for r in df.select(narrative.has_broken_token(F.col("prose"))).collect()] == [True, False, False]
+
+
 def test_errors_of_all_blocks_meet_in_one_verdict(spark, facts):
     blocks = spark.createDataFrame([block("a", "[[FACT:large]]"), block("a", "2 more", no=2), block("a", "  ", no=3)], BLOCKS)
     rows = narrative.validate_narratives(blocks, facts, "en").collect()
