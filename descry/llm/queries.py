@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import bpe, exact, repetition, simhash
+from descry.llm import bpe, exact, mixing, repetition, simhash
 from descry.llm.common import ship, table
 
 QUERIES, ORACLES = {}, {}
@@ -17,6 +17,11 @@ def query(build):
     return build
 
 
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
