@@ -8,10 +8,10 @@ compared with the languages by cosine after the direction common to all language
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +23,26 @@ SYMBOLS = 27 + OTHERS
 #: Rows of n-gram vectors that a task keeps.
 KEPT_GRAMS = 20_000
 UNDEFINED = "und"
-_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+BLANK = 26
+
+
+def _letter(point: int) -> int:
+    letter = chr(point).lower()[0]
+    return BLANK if not letter.isalpha() else ord(letter) - 97 if "a" <= letter <= "z" else BLANK + 1 + ord(letter) % OTHERS
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Letter class of every code point that can be a letter; all others are blanks."""
+    return np.array([BLANK if 0xD800 <= point < 0xE000 else _letter(point) for point in range(0x33480)] + [BLANK], np.int32)
 
 
 def symbols(text: str) -> np.ndarray:
-    """Letter classes of a text, lower case, each run of other characters as one blank; empty if there is no letter."""
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters or not regex.search(r"\p{L}", letters):
-        return np.zeros(0, np.int64)
-    points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    plain = (points >= 97) & (points <= 122)
-    return np.where(plain, points - 97, np.where(points == 32, 26, 27 + points % OTHERS))
+    """Letter classes of a text, in lower case, each run of other characters as one blank; empty if there is no letter."""
+    table = _classes()
+    found = table[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32), len(table) - 1)]
+    found = found[np.append(True, (found[1:] != BLANK) | (found[:-1] != BLANK))]
+    return found if len(found) > 1 else found[:0]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:

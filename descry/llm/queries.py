@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import bpe, exact, language, mixing, repetition, simhash, urls
+from descry.llm import bpe, exact, language, mixing, repetition, simhash, toxicity, urls
 from descry.llm.common import ship, table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,15 @@ ORACLES["op9_exact_dedup"] = """
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM n"""
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Trained on the labels of the documents outside the held-out fold."""
+    known = table(spark, sf_dir, "labels").where(language.fold(3) != 1)
+    return toxicity.train(toxicity.labelled(table(spark, sf_dir, "documents"), known))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", (language.fold(3) == 1).alias("held_out"), "score", "predicted")
