@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import bpe, exact, language, mixing, repetition, simhash, toxicity, urls
+from descry.llm import bpe, exact, language, mixing, repetition, secrets, simhash, toxicity, urls
 from descry.llm.common import ship, table
 
 QUERIES, ORACLES = {}, {}
@@ -83,3 +83,18 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return found.select("doc_id", (language.fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base, counts = F.filter("spans", lambda s: s["kind"] != "crf"), map(number, secrets.KINDS)
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
