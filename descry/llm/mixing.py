@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from descry.llm.common import map_texts, word_count, written
 
@@ -243,12 +244,6 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     texts = texts.withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
     same = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*key, "__copy"]]
     joined = texts.alias("t").join(named.alias("r"), same).select(*[f"t.`{c}`" for c in docs.columns], "r.__ranges")
-    fields = [(f.name, f.dataType.simpleString(), pa.field(f.name, _arrow(f.dataType)).type) for f in docs.schema]
+    fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in docs.schema]
     out = map_texts(joined, _cut_setup, docs.columns, fields)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)

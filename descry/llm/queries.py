@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import bpe, exact, language, mixing, repetition, secrets, simhash, toxicity, urls
+from descry.llm import bpe, exact, language, lines, mixing, repetition, secrets, simhash, toxicity, urls
 from descry.llm.common import ship, table
 
 QUERIES, ORACLES = {}, {}
@@ -59,6 +59,11 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

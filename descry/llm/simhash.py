@@ -115,18 +115,17 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int32()), pa.array(fp[where], pa.int64())], names=["anchor", "fp"])
 
 
-def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of residents a and members b of the same group with at most ``bits`` different bits, block by block.
-
+def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: int, name: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of residents a and members b of the same group, with different names, whose fingerprints differ in
+    at most ``bits`` bits. They come block by block, all those of one resident together; the caller reduces each block.
     The arrays are sorted by group, residents first.
     """
-    starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(starts, append=len(group))
     homes = np.add.reduceat(resident.astype(np.int64), starts)
     each = np.repeat(size, homes)  # partners of each resident
     residents = np.flatnonzero(resident)
     first = np.repeat(starts, homes)
-    left, right = [], []
     total = np.cumsum(each)
     at = 0
     while at < len(residents):
@@ -134,11 +133,10 @@ def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: i
         to = max(at + 1, int(np.searchsorted(total, base + BLOCK, side="right")))
         a = np.repeat(residents[at:to], each[at:to])
         b = np.repeat(first[at:to] - (total[at:to] - each[at:to] - base), each[at:to]) + np.arange(len(a))
-        near = (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (fp[a] != fp[b])
-        left.append(a[near])
-        right.append(b[near])
+        near = (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (name[a] != name[b])
+        if near.any():
+            yield a[near], b[near]
         at = to
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key) -> Iterator[dict[str, np.ndarray]]:
@@ -160,8 +158,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key) -> Iterator[dict[str, n
 def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for part in whole_groups(batches, lambda c: c["anchor"] >> 1):
         fp = part["fp"].view(np.uint64)
-        a, b = close_pairs(part["anchor"] >> 1, part["anchor"] & 1 == 0, fp, bits)
-        if len(a):
+        for a, b in close_pairs(part["anchor"] >> 1, part["anchor"] & 1 == 0, fp, bits, fp):
             node, root = stars(part["fp"][a], part["fp"][b])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
 
