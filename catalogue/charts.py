@@ -28,6 +28,15 @@ def chart_box(spark, folder):
     return found.withColumns({name: rounded(name, 4) for name in ("q1", "median", "q3")} | {"first_seen": F.col("first_seen.o0")})
 
 
+@query("chart_box_many_groups", """WITH q AS (SELECT user_id AS g, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+  quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
+SELECT CAST(g AS VARCHAR) AS "group", n, round(q1, 4) AS q1, round(q2, 4) AS median, round(q3, 4) AS q3 FROM q""")
+def chart_box_many_groups(spark, folder):
+    """One box per user: far more groups than a chart shows, all of them in the result."""
+    found = charts.box_data(table(spark, folder, "events"), "value", "user_id", order_by=["event_id"], max_groups=1 << 30)
+    return found.select("group", "n", *[rounded(name, 4) for name in ("q1", "median", "q3")])
+
+
 @query("chart_box_outliers", f"""{DIRTY_SQL}, q AS (SELECT event_type AS g, quantile_cont(fv, 0.25) AS q1, quantile_cont(fv, 0.75) AS q3
   FROM finite WHERE event_type IS NOT NULL GROUP BY 1)
 SELECT g AS "group", fv AS value FROM finite JOIN q ON event_type = g WHERE fv < q1 - 1.5 * (q3 - q1) OR fv > q3 + 1.5 * (q3 - q1)""")

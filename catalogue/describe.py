@@ -132,5 +132,5 @@ def format_numbers(spark, folder):
 SELECT CAST(row_no AS INTEGER) AS row_no, label, n AS count, CAST(floor((row_no - 1) / CAST(5 AS DOUBLE)) + 1 AS INTEGER) AS part FROM r""")
 def table_chunks(spark, folder):
     """A frequency table in printed parts (5 rows each here, so that there are several)."""
-    found = describe.categorical_summary(table(spark, folder, "part"), "p_name", max_categories=1000)
+    found = describe.categorical_summary(table(spark, folder, "part"), "p_name", max_categories=None)
     return report.with_parts(found.select(F.col("rank").alias("row_no"), "label", "count"), rows=5)

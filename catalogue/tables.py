@@ -45,7 +45,7 @@ def report_group(spark, folder):
     settings = ReportSettings(
         report_type="group", outcome="value", group="kind", independent_groups=True, order_by=["event_id"],
     )
-    facts = report(events, settings)["facts"].where("id = 'group_difference_1'")
+    facts = report(events, settings)["facts"].where("kind = 'group_difference'")
     return facts.select(
         "id", "direction", "denominator", F.round(F.col("values")["mean_difference"], 6).alias("mean_difference"),
         F.round(F.col("values")["cohens_d"], 6).alias("cohens_d"),
@@ -58,6 +58,6 @@ def report_change(spark, folder):
     lines = table(spark, folder, "lineitem").selectExpr("l_extendedprice AS pre", "l_extendedprice * (1 - l_discount) AS post")
     settings = ReportSettings(report_type="change", pre="pre", post="post", paired_confirmed=True)
     values = F.col("values")
-    return report(lines, settings)["facts"].where("id = 'change_1'").select(
+    return report(lines, settings)["facts"].where("kind = 'paired_change'").select(
         "id", "denominator", *[F.round(values[name], 4).alias(name) for name in ("mean", "sd", "median")]
     )

@@ -13,7 +13,7 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions.wide import literal_table
-from descry.operators.compare import _order_key, require_group_count
+from descry.operators.compare import FEW_GROUPS, _order_key, require_group_count
 from descry.operators.quantiles import exact_quantiles
 
 # Sizes of the displays and the seed of the scatter sample.
@@ -50,11 +50,11 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return every.join(F.broadcast(counts), "bin", "left").selectExpr("bin", "lower", "upper", "coalesce(count, 0L) AS count")
 
 
-def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Rows (group, value) and one row per group with quartiles and fences; at most 20 groups are accepted."""
+def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str] | None, max_groups: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (group, value) and one row per group with quartiles and fences; more than ``max_groups`` groups are refused."""
     P.require_distinct(outcome, group)
     P.require_numeric(df, outcome)
-    require_group_count(df, group, low=1)
+    count = require_group_count(df, group, low=1, high=max_groups)
     group_type = P.type_of(df, group)
     rows = df.where(P.present(P.ref(group), group_type)).select(
         P.label_text(P.ref(group), group_type).alias("group"),
@@ -62,7 +62,7 @@ def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str]
         _order_key(df, order_by).alias("_order"),
     )
     groups = rows.groupBy("group").agg(F.count("value").alias("n"), F.min("_order").alias("first_seen"))
-    quartiles = exact_quantiles(rows, ["group"], "value", [0.25, 0.5, 0.75], few_keys=True)
+    quartiles = exact_quantiles(rows, ["group"], "value", [0.25, 0.5, 0.75], few_keys=count <= FEW_GROUPS)
     reach = F.lit(1.5) * (F.col("q2") - F.col("q0"))
     fences = groups.join(F.broadcast(quartiles), "group", "left").select(
         "group", "n", "first_seen", "q0", "q1", "q2",
@@ -71,12 +71,14 @@ def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str]
     return rows.select("group", "value"), fences
 
 
-def box_data(df: DataFrame, outcome: str, group: str, *, order_by: Sequence[str] | None = None) -> DataFrame:
+def box_data(
+    df: DataFrame, outcome: str, group: str, *, order_by: Sequence[str] | None = None, max_groups: int = 20
+) -> DataFrame:
     """Quartiles, whiskers at the most extreme values within 1.5 IQR, and the number of outliers per group."""
-    rows, fences = _box_parts(df, outcome, group, order_by)
+    rows, fences = _box_parts(df, outcome, group, order_by, max_groups)
     value = F.col("value")
     inside = F.when(value.between(F.col("low_fence"), F.col("high_fence")), value)
-    marked = rows.join(F.broadcast(fences), "group")  # checked: at most 20 groups
+    marked = rows.join(fences, "group")
     return (
         marked.groupBy("group", "n", "first_seen", "q0", "q1", "q2", "low_fence", "high_fence")
         .agg(
@@ -92,10 +94,10 @@ def box_data(df: DataFrame, outcome: str, group: str, *, order_by: Sequence[str]
     )
 
 
-def box_outliers(df: DataFrame, outcome: str, group: str) -> DataFrame:
+def box_outliers(df: DataFrame, outcome: str, group: str, *, max_groups: int = 20) -> DataFrame:
     """The values outside the fences, one row each."""
-    rows, fences = _box_parts(df, outcome, group, None)
-    marked = rows.join(F.broadcast(fences.select("group", "low_fence", "high_fence")), "group")
+    rows, fences = _box_parts(df, outcome, group, None, max_groups)
+    marked = rows.join(fences.select("group", "low_fence", "high_fence"), "group")
     return marked.where((F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence"))).select("group", "value")
 
 

@@ -43,7 +43,7 @@ def require_group_count(df: DataFrame, group: str, low: int = 2, high: int = 20)
     """Reject grouping variables without 2 to 20 observed groups; returns the number."""
     found = count_groups(df, group, high)
     if not low <= found <= high:
-        raise AnalysisError(f"The grouping variable must contain {low}–{high} observed groups.")
+        raise AnalysisError(f"The number of observed groups is not within {low}–{high}.")
     return found
 
 

@@ -28,7 +28,7 @@ def descriptive_statistics(df: DataFrame) -> DataFrame:
     """N, mean, sample SD, min, max of the non-missing values of every numeric column; infinities take part."""
     names = P.numeric_columns(df)
     if not names:
-        raise AnalysisError("The table has no numeric column.")
+        return df.sparkSession.createDataFrame([], "variable string, N bigint, mean double, std double, min double, max double")
     rows = []
     for name in names:
         value = Q.number(name)
@@ -94,7 +94,7 @@ def numeric_summary(df: DataFrame, column: str, *, approximate_median: bool = Fa
 
 
 def categorical_profile(
-    df: DataFrame, columns: Sequence[str], *, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str], *, max_categories: int | None = MAX_CATEGORIES
 ) -> DataFrame:
     """Frequencies per column, count descending then label ascending, percentages of all valid rows.
 
@@ -107,6 +107,8 @@ def categorical_profile(
     """
     if not columns:
         raise AnalysisError("No categorical column was selected.")
+    if max_categories is None:  # no limit
+        max_categories = (1 << 31) - 1
     if max_categories < 1:
         raise AnalysisError("max_categories must be at least 1.")
     long = entries(df, [Q.struct(position=str(i), label=Q.label(n, P.type_of(df, n))) for i, n in enumerate(columns)])
@@ -134,6 +136,6 @@ def categorical_profile(
     )
 
 
-def categorical_summary(df: DataFrame, column: str, *, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def categorical_summary(df: DataFrame, column: str, *, max_categories: int | None = MAX_CATEGORIES) -> DataFrame:
     """The rows of ``categorical_profile`` for one column."""
     return categorical_profile(df, [column], max_categories=max_categories).drop("position")

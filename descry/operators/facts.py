@@ -15,10 +15,9 @@ from descry import wording
 from descry.functions import sqltext as Q
 from descry.functions.wide import literal_table
 
-# Smallest cell that may be shared, facts per payload, characters of shared context.
+# Smallest cell that may be shared, facts per payload.
 SMALL_CELL = 5
 PAYLOAD_FACTS = 30
-CONTEXT_CHARACTERS = 2_000
 PLACEHOLDER = r"\{([a-z]+)\}"
 
 
@@ -46,13 +45,13 @@ def _literal_table(spark: SparkSession, table: Mapping[str, Mapping[str, str]],
 def look_up(requests: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Add ``value`` for each (language, key): that language's text, else the English one, else the key itself.
 
-    ``table`` is one of the wording tables above (at most a few hundred rows), hence the broadcasts.
+    ``table`` is one of the wording tables above or one of the caller; Spark decides by its size how to join.
     """
     own = table.select("language", "key", F.col(value).alias("_own"))
     english = table.where(F.col("language") == "en").select("key", F.col(value).alias("_english"))
     return (
-        requests.join(F.broadcast(own), ["language", "key"], "left")
-        .join(F.broadcast(english), "key", "left")
+        requests.join(own, ["language", "key"], "left")
+        .join(english, "key", "left")
         .withColumn(value, F.coalesce("_own", "_english", "key"))
         .drop("_own", "_english")
     )
@@ -229,7 +228,7 @@ def payload_json(
 ) -> DataFrame:
     """One JSON document per report with its at most 30 facts; context only when labels may be shared."""
     fact = F.struct("rank", "id", "token", "binding", "kind", "allowed_interpretation_codes")
-    context = study_context[:CONTEXT_CHARACTERS] if share_labels else ""
+    context = study_context if share_labels else ""
     return (
         payload.groupBy("report_id")
         .agg(F.array_sort(F.collect_list(fact)).alias("facts"))

@@ -154,8 +154,9 @@ def expand_fact_tokens(blocks: DataFrame, facts: DataFrame) -> DataFrame:
 
     Tokens are looked up one by one and the pieces put back in order; inserted text is never expanded again.
     """
-    pieces = F.split("prose", text.FACT_TOKEN, -1)
-    tokens = text.fact_tokens(F.col("prose"))
+    prose = F.coalesce("prose", F.lit(""))  # a block without prose stays, with an empty text
+    pieces = F.split(prose, text.FACT_TOKEN, -1)
+    tokens = text.fact_tokens(prose)
     parts = F.transform(
         pieces,
         lambda piece, i: F.struct(

@@ -23,8 +23,7 @@ from descry.operators import charts, compare, describe, facts, profile
 from descry.operators.quantiles import FEW_VALUES
 from descry.plans.settings import REQUIRED_SECTIONS, ReportSettings
 
-#: Frequency tables shown, rows per printed part of a table.
-SHOWN_CATEGORICAL_TABLES = 20
+#: Fixed value: rows per printed part of a table.
 ROWS_PER_PART = 35
 
 _STATISTICS = ("mean", "sd", "median", "min", "max")
@@ -223,12 +222,12 @@ def _selected_analysis(
         need(("categorical", "ordinal"), group)
         k = by_label[group]["unique_nonmissing"]
         if settings.approximate_distinct:
-            k = compare.require_group_count(data, group)
-        if not 2 <= k <= 20:
-            raise AnalysisError("The grouping variable must contain 2–20 observed groups.")
+            k = compare.require_group_count(data, group, high=settings.max_groups)
+        if not 2 <= k <= settings.max_groups:
+            raise AnalysisError(f"{k} groups were observed; a group report takes 2–{settings.max_groups}.")
         distinct = by_label[outcome]["unique_nonmissing"] if small(outcome) else None
         plans["group"] = lambda: compare.group_statistics_detailed(
-            with_order, outcome, group, order_by=order_names, few_groups=True, outcome_distinct=distinct
+            with_order, outcome, group, order_by=order_names, few_groups=k <= compare.FEW_GROUPS, outcome_distinct=distinct
         )
         plans["group_coverage"] = lambda: compare.group_coverage(data, outcome, group)
         covered = cache(lambda: compare.group_coverage(data, outcome, group).head()["valid_n"])
@@ -344,16 +343,20 @@ def section_table(results: Mapping[str, DataFrame], settings: ReportSettings) ->
         quality_columns.append("outside_range_n")
     parts.append(_cells(results["quality"], "quality", "'quality_missing'", "position", labelled(*quality_columns)))
     if "range_violations" in results:
+        order = ", ".join(map(Q.quoted, settings.valid_ranges))
         ranges = facts.range_sentences(results["range_violations"], language, settings.units)
-        parts.append(_cells(ranges, "quality", "'range_sentences'", "1", [("sentence", "")]))
+        parts.append(_cells(ranges, "quality", "'range_sentences'", f"array_position(array({order}), variable)", [("sentence", "")]))
     if "numeric" in results:
         columns = labelled("variable", "valid_n", *_STATISTIC_LABELS)
         parts.append(_cells(results["numeric_text"], "descriptive", "'numeric_descriptives'", "position + 1", columns))
     if "categorical" in results:
-        shown = categorical_tables(results["categorical"], language, tables=SHOWN_CATEGORICAL_TABLES)
+        shown = categorical_tables(results["categorical"], language, tables=settings.max_categorical_tables)
         parts.append(_cells(shown, "descriptive", "table_id", "row_no", labelled("category", "count", "percent")))
+        if settings.max_categorical_tables is not None:
+            omitted = results["categorical"].where(F.col("position") >= settings.max_categorical_tables).select("position", "variable").distinct()
+            parts.append(_cells(omitted, "descriptive", "'omitted_tables'", "position + 1", [("variable", "")]))
     if "group" in results:
-        # At most 20 groups: their order is their place in the sorted list of all.
+        # At most ``max_groups`` groups: their order is their place in the sorted list of all.
         rows = group_table(results["group"])
         order = rows.agg(F.expr("array_sort(collect_list(struct(first_seen, `group`)))")).scalar()
         numbered = rows.withColumn("row_no", F.array_position(order, F.struct("first_seen", "group")))

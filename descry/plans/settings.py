@@ -48,6 +48,10 @@ class ReportSettings:
     time_outcome: str | None = None
     preferred_chart: str | None = None
     approximate_distinct: bool = False
+    #: Most groups that a group report accepts, characters of study context, frequency tables shown; None: no limit.
+    max_groups: int = 20
+    max_context: int | None = None
+    max_categorical_tables: int | None = None
 
     def __post_init__(self) -> None:
         choices = {
@@ -60,8 +64,8 @@ class ReportSettings:
         unknown = set(self.sections) - set(CHOOSABLE_SECTIONS)
         if unknown:
             raise AnalysisError(f"Unknown sections: {', '.join(sorted(unknown))}.")
-        if len(self.study_context) > 2_000:
-            raise AnalysisError("The study context is limited to 2,000 characters.")
+        if self.max_context is not None and len(self.study_context) > self.max_context:
+            raise AnalysisError(f"The study context has more than {self.max_context} characters.")
 
     def check_selectors(self) -> None:
         """Reject a report type whose variables or confirmations are missing."""

@@ -42,7 +42,7 @@ def trim_trailing_blank(df: DataFrame, order_by: str) -> DataFrame:
     """Drop blank records after the last filled one; blank records in between stay.
 
     A record is blank when all its columns but ``order_by`` are missing or empty text. The last filled position is a
-    one-value scalar subquery, so rows are filtered where they are.
+    one-value scalar subquery, so rows are filtered where they are. Filled records stay whatever their order value; blank ones without one go.
     """
     filled = F.lit(False)
     for field in df.schema.fields:
@@ -52,7 +52,7 @@ def trim_trailing_blank(df: DataFrame, order_by: str) -> DataFrame:
                 has_value = has_value & (P.ref(field.name) != "")
             filled = filled | has_value
     last = df.where(filled).agg(F.max(P.ref(order_by))).scalar()
-    return df.where(P.ref(order_by) <= last)
+    return df.where(filled | (P.ref(order_by) <= last))
 
 
 def preview(df: DataFrame, order_by: Sequence[str] = (), rows: int = 20) -> DataFrame:

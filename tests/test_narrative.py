@@ -114,6 +114,8 @@ def test_expansion_is_single_pass_and_drops_unknown(spark, facts):
     }
     other = spark.createDataFrame([("d", "other", "en", 1, "s", [], None, "[[FACT:elsewhere]]")], BLOCKS)
     assert narrative.expand_fact_tokens(other, facts).head()["text"] == "Not here [[FACT:large]]."
+    empty = other.withColumn("prose", F.lit(None).cast("string"))
+    assert narrative.expand_fact_tokens(empty, facts).head()["text"] == ""  # the block is not lost
 
 
 def test_token_table(spark):

@@ -117,6 +117,8 @@ def test_trailing_blank_records(spark):
     df = spark.createDataFrame(rows, "i int, t string, x double").repartition(3)
     assert sorted(r["i"] for r in tables.trim_trailing_blank(df, "i").collect()) == [1, 2, 3, 4]
     assert tables.trim_trailing_blank(df.where("i > 4"), "i").count() == 0
+    unordered = df.unionByName(df.where("i = 4").withColumn("i", F.lit(None).cast(df.schema["i"].dataType)))
+    assert tables.trim_trailing_blank(unordered, "i").where("i IS NULL").count() == 1
 
 
 def test_preview(spark):
