@@ -242,9 +242,9 @@ def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) ->
     Null texts stay null, with 0 lines. Lines are cut at ``\\n``. A text of which all lines went is empty. See
     ``duplicate_lines`` for ties and repeated rows.
     """
-    gone = duplicate_lines(docs, similarity).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines"))
+    gone = duplicate_lines(docs, similarity).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__row": F.shiftrightunsigned(F.xxhash64("text"), 1)})
-    joined = keyed.join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__row") == F.col("row")), "left")
+    joined = keyed.join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__row") == F.col("__gone_row")), "left")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in docs.select(names).schema]
     fields += [("n_lines", "bigint", pa.int64()), ("n_dropped", "bigint", pa.int64())]
