@@ -187,9 +187,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
     longest = F.greatest(F.length("a"), F.length("b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    near = F.expr("levenshtein(a, b)")
-    short = F.abs(F.length("a") - F.length("b")) <= most
-    return pairs.join(left, "u").join(right, "v").where(short & (near <= most)).select("u", "v")
+    both = pairs.join(left, "u").join(right, "v").withColumn("most", most)
+    return both.where("levenshtein(a, b, most) >= 0").select("u", "v")  # -1 beyond most, found without the whole table
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
