@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descry.llm.common import map_texts
+from descry.llm.common import map_texts, written
 
 #: Dimensions; letter classes beside a-z and the blank, shared by all other letters by code point; temperature of the score.
 DIMENSIONS, OTHERS, SHARPNESS, SEED = 1024, 37, 8.0, 11
@@ -121,6 +121,7 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
     fields = [("lang", "string", pa.string()), ("gram", "bigint", pa.int64()), ("weight", "double", pa.float64())]
     sums = map_texts(labelled.where("lang IS NOT NULL").select("text", "lang"), _count_setup, None, fields)
     sums = sums.groupBy("lang", "gram").agg(F.round(F.sum("weight"), 6).alias("weight"))  # the order of addition leaves no trace
+    sums = written(sums, "grams")  # counted once, read once per language
     names, vectors, space = [], [], Space(dimensions)
     for lang in sorted(r["lang"] for r in sums.select("lang").distinct().collect()):
         rows = sums.where(F.col("lang") == lang).orderBy("gram").select("gram", "weight").toPandas()
