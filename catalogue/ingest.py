@@ -46,24 +46,49 @@ def csv_default_na_scan(spark, folder):
     return _by_code(delimited.lenient_scan(spark, path).typed())
 
 
-@query("csv_separator_audit")
-def csv_separator_audit(spark, folder):
-    """Files of the same orders with each separator, and with one column only."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    paths = [_written(spark, orders, "separators", sep=mark) for mark in delimited.SEPARATORS]
-    paths.append(_written(spark, orders.select("o_orderkey"), "separators"))
-    found = delimited.separator_audit(spark, paths)
-    return found.groupBy("separator", "verdict", "comma", "semicolon", "tab").agg(F.max("lines").alias("lines"))
+def _with_file(found: DataFrame, *columns: str) -> DataFrame:
+    """The audit's columns by the name of the file's folder; the folders are written by the query, so they are known."""
+    return found.select(F.element_at(F.split("file", "/"), -2).alias("folder"), *columns)
 
 
-@query("csv_header_audit")
+@query("csv_separator_audit", """WITH k AS (SELECT least(count(*) + 1, 12) AS n FROM orders), f(folder, comma, semicolon, tab, separator, verdict) AS (VALUES
+  ('comma', 2, NULL, NULL, ',', 'detected'), ('semicolon', NULL, 2, NULL, ';', 'detected'), ('tab', NULL, NULL, 2, chr(9), 'detected'), ('single', NULL, NULL, NULL, NULL, 'ambiguous'))
+SELECT folder, CAST(n AS BIGINT) AS lines, CAST(comma AS BIGINT) AS comma, CAST(semicolon AS BIGINT) AS semicolon, CAST(tab AS BIGINT) AS tab, separator, verdict FROM f, k""")
+def csv_separator_audit(spark, folder):
+    """Files of the same orders with each separator, and with one column only; one row per file."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").repartition(1)
+    base = scratch_path(spark, "separators")
+    for name, mark in zip(("comma", "semicolon", "tab"), delimited.SEPARATORS):
+        orders.write.csv(f"{base}/{name}", sep=mark, header=True)
+    orders.select("o_orderkey").write.csv(f"{base}/single", header=True)
+    found = delimited.separator_audit(spark, [f"{base}/{name}" for name in ("comma", "semicolon", "tab", "single")])
+    return _with_file(found, "lines", "comma", "semicolon", "tab", "separator", "verdict")
+
+
+@query("csv_header_audit", """SELECT * FROM (VALUES ('good', 3, 0, 0, false, 'ok'), ('blank', 3, 1, 0, false, 'blank_label'),
+  ('double', 3, 0, 1, false, 'duplicate_label'), ('tabbed', 3, 0, 0, false, 'ok')) AS t(folder, columns, blank_labels, duplicate_labels, has_nul, verdict)""")
 def csv_header_audit(spark, folder):
-    """Files of the same suppliers under good, blank and repeated labels."""
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    headers = [("key", "name", "balance"), ("key", " ", "balance"), ("key", "name", "name ")]
-    paths = [_written(spark, suppliers.toDF(*labels), "headers") for labels in headers]
-    found = delimited.header_audit(spark, paths)
-    return found.select("columns", "blank_labels", "duplicate_labels", "has_nul", "verdict").distinct()
+    """Files of the same suppliers under good, blank and repeated labels, one with tabs; one row per file."""
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(1)
+    base = scratch_path(spark, "headers")
+    headers = {"good": ("key", "name", "balance"), "blank": ("key", " ", "balance"), "double": ("key", "name", "name ")}
+    for name, labels in headers.items():
+        suppliers.toDF(*labels).write.csv(f"{base}/{name}", header=True)
+    suppliers.toDF(*headers["good"]).write.csv(f"{base}/tabbed", header=True, sep="\t")
+    found = delimited.header_audit(spark, [f"{base}/{name}" for name in (*headers, "tabbed")], separator=None)
+    return _with_file(found, "columns", "blank_labels", "duplicate_labels", "has_nul", "verdict")
+
+
+@query("csv_blank_lines", "SELECT CAST(event_id % 8 AS VARCHAR) AS part, count(*) AS blank_lines FROM events WHERE event_id % 101 = 0 GROUP BY 1")
+def csv_blank_lines(spark, folder):
+    """Lines that a strict scan refuses, per file."""
+    lines = table(spark, folder, "events").selectExpr(
+        "event_id % 8 AS part", "CASE WHEN event_id % 101 = 0 THEN repeat(' ', CAST(event_id % 3 AS INT)) ELSE concat_ws(',', event_id, event_type) END AS line"
+    )
+    path = scratch_path(spark, "blank")
+    lines.repartition("part").write.partitionBy("part").text(path)
+    found = delimited.blank_lines(spark, path)
+    return found.groupBy(F.regexp_extract("file", "part=([0-9]+)", 1).alias("part")).agg(F.sum("blank_lines").alias("blank_lines"))
 
 
 @query("csv_ragged_audit", """SELECT CAST(3 AS INTEGER) AS columns, count(*) AS records,

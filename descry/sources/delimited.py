@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions import text
-from descry.functions.wide import aggregate_rows
+from descry.functions.wide import aggregate_rows, literal_table
 
 # Candidate separators, lines inspected, bytes inspected for NUL, and the tokens the lenient scan
 # treats as missing.
@@ -38,9 +39,9 @@ def check_labels(labels: Sequence[str | None], max_columns: int | None = None) -
     """Strip header labels; reject empty headers, blank labels, duplicates regardless of case, and excess."""
     stripped = [(label or "").strip() for label in labels]
     if not any(stripped):
-        raise AnalysisError("The first row must contain column names.")
+        raise AnalysisError("There is no column name in the first line.")
     if not all(stripped):
-        raise AnalysisError("Every column must have a non-blank header.")
+        raise AnalysisError("A column lacks a name in the header.")
     if len({label.casefold() for label in stripped}) < len(stripped):
         raise AnalysisError("Column names must be unique regardless of case.")
     if max_columns is not None and len(stripped) > max_columns:
@@ -72,30 +73,64 @@ def strict_scan(
     spark: SparkSession,
     path: str | list[str],
     *,
-    separator: str = ",",
+    separator: str | None = ",",
     encoding: str = "UTF-8",
     decimal: str = ".",
     multiline: bool = False,
     reject_ragged: bool = True,
+    reject_blank: bool | None = None,
     max_columns: int | None = None,
 ) -> DelimitedScan:
     """Delimited files with a header; only the empty field is missing (``NA`` stays a value).
 
-    A row with too few or too many fields fails the job that reads it; with ``reject_ragged=False`` such rows are
-    kept and marked in ``_malformed``. All files share one header. ``multiline`` admits line breaks inside quotes,
-    at the price of unsplittable files.
+    Every file must have the header of the others: the reader checks it where it reads the start of a file, and the job
+    fails with the name of a file that differs. A row with too few or too many fields fails the job that reads it; with
+    ``reject_ragged=False`` such rows are kept and marked in ``_malformed``. The reader drops blank lines, so
+    ``reject_blank`` (by default with ``reject_ragged``, unless ``multiline``) first counts them in a pass of its own.
+    ``separator=None`` takes the one that all files show. ``multiline`` admits line breaks inside quotes, at the price of
+    unsplittable files.
     """
+    separator = common_separator(spark, path, encoding=encoding) if separator is None else separator
     first = _reader(spark, separator, encoding, multiline).option("header", False).csv(path).head()
     if first is None:
-        raise AnalysisError("The file is empty.")
-    labels = check_labels([first[0].removeprefix(_BOM) if first[0] else first[0], *list(first)[1:]], max_columns)
-    schema = T.StructType([T.StructField(label, T.StringType()) for label in labels])
-    reader = _reader(spark, separator, encoding, multiline).option("header", True).option("enforceSchema", True)
+        raise AnalysisError("There is no line in these files.")
+    raw = ["" if label is None else label for label in first]
+    labels = check_labels([raw[0].removeprefix(_BOM), *raw[1:]], max_columns)
+    if reject_blank or (reject_blank is None and reject_ragged and not multiline):
+        _require_no_blank_lines(spark, path, encoding)
+    # The header check compares names as they are written; they are trimmed afterwards.
+    schema = T.StructType([T.StructField(label, T.StringType()) for label in raw])
+    reader = _reader(spark, separator, encoding, multiline).option("header", True).option("enforceSchema", False)
     if reject_ragged:
-        return DelimitedScan(reader.schema(schema).option("mode", "FAILFAST").csv(path), labels, decimal)
+        return DelimitedScan(reader.schema(schema).option("mode", "FAILFAST").csv(path).toDF(*labels), labels, decimal)
     schema = schema.add("_malformed", T.StringType())
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
-    return DelimitedScan(reader.schema(schema).csv(path), labels, decimal)
+    return DelimitedScan(reader.schema(schema).csv(path).toDF(*labels, "_malformed"), labels, decimal)
+
+
+def blank_lines(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> DataFrame:
+    """Files with lines that the reader of delimited text drops, and their number: file, blank_lines."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    blank = lines.where(F.trim("value") == "").select(F.col("_metadata.file_path").alias("file"))
+    return blank.groupBy("file").agg(F.count(F.lit(1)).alias("blank_lines"))
+
+
+def _require_no_blank_lines(spark: SparkSession, path: str | list[str], encoding: str) -> None:
+    worst = blank_lines(spark, path, encoding=encoding).agg(F.count("*").alias("files"), F.min("file").alias("file")).head()
+    if worst["files"]:
+        raise AnalysisError(f"{worst['files']} file(s) have blank lines, which are malformed records, among them {worst['file']}.")
+
+
+def common_separator(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> str:
+    """The separator that all files show; files without a filled line have no say."""
+    judged = separator_audit(spark, path, encoding=encoding).where("verdict <> 'empty'")
+    found = judged.selectExpr(
+        "collect_set(separator) AS marks", "count_if(separator IS NULL) AS unclear", "min(IF(separator IS NULL, file, NULL)) AS file"
+    ).head()
+    if found["unclear"] or len(found["marks"]) != 1:
+        where = f", for example in {found['file']}" if found["file"] else ""
+        raise AnalysisError(f"The files do not show one common separator{where}; name it.")
+    return found["marks"][0]
 
 
 def lenient_scan(spark: SparkSession, path: str | list[str]) -> DelimitedScan:
@@ -162,6 +197,16 @@ def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFra
     )
 
 
+def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files without any byte: those of the listing, which the driver has anyway, that a scan leaves out. Reads no content."""
+    source = spark.read.format("binaryFile").load(path)
+    listed = literal_table(spark, [{"file": name} for name in source.inputFiles()], "file string")
+    scanned = source.select(F.col("_metadata.file_path").alias("scanned"))
+    # A local path may be spelled with one slash or three.
+    place = lambda name: F.regexp_replace(name, "^([a-z]+):/+", "$1:/")
+    return listed.join(scanned, place("file") == place("scanned"), "left_anti")
+
+
 def _first_lines(spark: SparkSession, path: str | list[str], count: int, encoding: str) -> DataFrame:
     """The first lines of every file. They lie in its first split, and each task keeps only ``count`` of them."""
     order = Window.partitionBy("file").orderBy("place")
@@ -173,7 +218,8 @@ def separator_audit(spark: SparkSession, path: str | list[str], *, encoding: str
     """The separator of every file, judged by its first 12 lines: file, lines, comma, semicolon, tab, separator, verdict.
 
     A separator is viable when it occurs equally often, and at all, in each non-blank line. One viable separator
-    wins; among several the strictly most frequent; else the file is ambiguous.
+    wins; among several the strictly most frequent; else the file is ambiguous. Files without a filled line, also those
+    without any byte, are empty.
     """
     names = {",": "comma", ";": "semicolon", "\t": "tab"}
     lines = _first_lines(spark, path, DETECTION_LINES, encoding)
@@ -183,6 +229,8 @@ def separator_audit(spark: SparkSession, path: str | list[str], *, encoding: str
         occurrences = F.when(filled, F.length("line") - F.length(F.replace("line", F.lit(mark), F.lit(""))))
         ranges += [F.min(occurrences).alias(f"{name}_min"), F.max(occurrences).alias(f"{name}_max")]
     counts = lines.groupBy("file").agg(F.count_if(filled).alias("lines"), *ranges)
+    empty = _empty_files(spark, path).withColumn("lines", F.lit(0).cast("bigint"))
+    counts = counts.unionByName(empty, allowMissingColumns=True)
 
     def viable(name: str) -> Column:
         steady = (F.col(f"{name}_min") > 0) & (F.col(f"{name}_min") == F.col(f"{name}_max"))
@@ -219,30 +267,34 @@ def field_count(line: Column, separator: str) -> Column:
 
 
 def header_audit(
-    spark: SparkSession, path: str | list[str], *, separator: str = ",", encoding: str = "UTF-8", max_columns: int = 250
+    spark: SparkSession, path: str | list[str], *, separator: str | None = ",", encoding: str = "UTF-8", max_columns: int = 250
 ) -> DataFrame:
     """Header problems and binary content per file: file, columns, blank_labels, duplicate_labels, has_nul, verdict.
 
-    Files without any byte do not appear; compare with the list of expected paths.
+    ``separator=None`` uses the one detected for each file (a comma where it is unclear). Files without any byte have no
+    columns and the verdict ``empty``.
     """
-    head = _first_lines(spark, path, 1, encoding).select(
-        "file", F.transform(split_fields(F.col("line"), separator), text.strip).alias("labels")
-    )
+    first = _first_lines(spark, path, 1, encoding).select("file", "line")
+    if separator is None:
+        marks = separator_audit(spark, path, encoding=encoding).select("file", "separator")
+        first = first.join(marks, "file", "left")
+        fields = reduce(
+            lambda other, mark: F.when(F.col("separator") == mark, split_fields(F.col("line"), mark)).otherwise(other),
+            SEPARATORS[1:], split_fields(F.col("line"), SEPARATORS[0]),
+        )
+    else:
+        fields = split_fields(F.col("line"), separator)
+    head = first.select("file", F.transform(fields, text.strip).alias("labels"))
     folded = F.transform("labels", F.lower)
     checked = head.select(
         "file", F.size("labels").alias("columns"),
         F.size(F.filter("labels", lambda label: label == "")).alias("blank_labels"),
         (F.size("labels") - F.size(F.array_distinct(folded))).alias("duplicate_labels"),
     )
-    # NUL within the first 4096 bytes: offsets are running sums over the first split of a file.
+    # NUL within the first 4096 bytes. Every line has a byte, its break, so each task keeps only that many lines of a file.
     order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.octet_length("line") + 1).over(order), F.lit(0))
-    sniffed = (
-        _lines(spark, path, encoding)
-        .where((F.col("block") == 0))
-        .withColumn("offset", offset)
-        .where(F.col("offset") < SNIFFED_BYTES)
-    )
+    sniffed = _first_lines(spark, path, SNIFFED_BYTES, encoding).withColumn("offset", offset).where(F.col("offset") < SNIFFED_BYTES)
     nul_at = F.locate("\x00", F.col("line"))
     nul = sniffed.groupBy("file").agg(
         F.bool_or((nul_at > 0) & (F.col("offset") + nul_at <= SNIFFED_BYTES)).alias("has_nul")
@@ -255,7 +307,11 @@ def header_audit(
         .when(F.col("columns") > max_columns, F.lit("too_many_columns"))
         .otherwise(F.lit("ok"))
     )
-    return checked.join(nul, "file").withColumn("verdict", verdict)
+    empty = _empty_files(spark, path).select(
+        "file", *[F.lit(0).alias(name) for name in ("columns", "blank_labels", "duplicate_labels")], F.lit(False).alias("has_nul"),
+        F.lit("empty").alias("verdict"),
+    )
+    return checked.join(nul, "file").withColumn("verdict", verdict).unionByName(empty)
 
 
 def ragged_audit(

@@ -125,3 +125,25 @@ def test_preview(spark):
     df = spark.range(50).selectExpr("50 - id as k").repartition(5)
     assert [r["k"] for r in tables.preview(df, ["k"]).collect()] == list(range(1, 21))
     assert tables.preview(df, rows=3).count() == 3
+
+
+def test_files_must_share_their_header(spark, tmp_path):
+    path = write(tmp_path, one="x,y\n1,2\n", two="y,x\n4,3\n")
+    with pytest.raises(Exception, match="two|one"):
+        delimited.strict_scan(spark, path).text.collect()
+
+
+def test_blank_lines_are_refused(spark, tmp_path):
+    path = write(tmp_path, one="x,y\n1,2\n\n3,4\n")
+    with pytest.raises(AnalysisError, match="one"):
+        delimited.strict_scan(spark, path)
+    assert delimited.strict_scan(spark, path, reject_blank=False).text.count() == 2
+
+
+def test_separator_is_found(spark, tmp_path):
+    path = write(tmp_path, one="x;y\n1,5;2\n", two="x;y\n2,5;3\n", none="")
+    assert delimited.strict_scan(spark, path, separator=None).text.count() == 2
+    audit = {r["file"].rsplit("/", 1)[1].split(".")[0]: r["verdict"] for r in delimited.separator_audit(spark, path).collect()}
+    assert audit == {"one": "detected", "two": "detected", "none": "empty"}
+    heads = {r["file"].rsplit("/", 1)[1].split(".")[0]: (r["columns"], r["verdict"]) for r in delimited.header_audit(spark, path, separator=None).collect()}
+    assert heads == {"one": (2, "ok"), "two": (2, "ok"), "none": (0, "empty")}
