@@ -181,29 +181,55 @@ def expand_fact_tokens(blocks: DataFrame, facts: DataFrame) -> DataFrame:
 def check_response_schema(responses: DataFrame) -> DataFrame:
     """Structural problems of raw JSON responses (``response_id``, ``body``): an array ``problems`` per response.
 
-    Checked: valid JSON object, no unknown fields, a known language, 1 to 8 blocks, required block fields, at most
-    30 fact ids and 3,000 characters of prose per block.
+    Checked: one JSON object and nothing after it, no unknown fields, a known language, 1 to 8 blocks, required block
+    fields, JSON types (texts, lists of texts; ``interpretation_code`` may be null), at most 30 fact ids and 3,000 characters
+    of prose per block. A body with a repeated field is no object.
     """
-    parsed = F.from_json(
-        F.col("body"),
-        "language STRING, blocks ARRAY<STRUCT<section_id: STRING, fact_ids: ARRAY<STRING>, "
-        "interpretation_code: STRING, prose: STRING>>",
-    )
-    loose = F.from_json(F.col("body"), "blocks ARRAY<MAP<STRING, STRING>>")
-    is_object = F.get_json_object("body", "$").startswith("{")
+    # Parsing stops behind the first value: only a body that is one value is one element of a list and one field.
+    alone = F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"body":'), "body", F.lit("}")))
+    one = F.coalesce(F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1, F.lit(False)) & field.isNotNull()
+
+    def part(value: Column, name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "variant")
+
+    def kind(value: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(value), F.lit("absent"))
+
+    def elements(value: Column) -> Column:
+        return F.when(kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+
+    def is_kind(value: Column, *kinds: str) -> Column:
+        return kind(value).isin(*kinds)
+
+    body, blocks = F.col("_body"), F.col("_blocks")
     root = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
-    blocks, raw_blocks = F.col("_parsed.blocks"), F.col("_loose.blocks")
 
     def some(condition) -> Column:
         return F.coalesce(F.exists(blocks, condition), F.lit(False))
 
+    def wrong_type(block: Column) -> Column:
+        listed = part(block, "fact_ids")
+        return (
+            ~kind(block).startswith("OBJECT") | ~is_kind(part(block, "section_id"), "STRING", "absent")
+            | ~is_kind(part(block, "prose"), "STRING", "absent")
+            | ~is_kind(part(block, "interpretation_code"), "STRING", "VOID", "absent")
+            | ~(is_kind(listed, "absent") | kind(listed).startswith("ARRAY"))
+            | F.coalesce(F.exists(elements(listed), lambda item: ~is_kind(item, "STRING")), F.lit(False))
+        )
+
+    def extra(block: Column) -> Column:
+        fields = F.json_object_keys(F.to_json(block))
+        return F.coalesce(F.size(F.array_except(fields, known)) > 0, F.lit(False))
+
+    def length(block: Column) -> Column:
+        return F.length(F.try_variant_get(block, "$.prose", "string"))
+
     known = F.array(*[F.lit(name) for name in BLOCK_FIELDS])
-    extra_in_block = F.coalesce(
-        F.exists(raw_blocks, lambda b: F.size(F.array_except(F.map_keys(b), known)) > 0), F.lit(False)
-    )
     extra_in_root = F.size(F.array_except(root, F.array(*[F.lit(n) for n in RESPONSE_FIELDS]))) > 0
     count = F.coalesce(F.size(blocks), F.lit(-1))
-    ok = F.coalesce(is_object, F.lit(False))
+    ok = one & F.coalesce(kind(body).startswith("OBJECT"), F.lit(False))
+    language = F.when(is_kind(part(body, "language"), "STRING"), F.try_variant_get(body, "$.language", "string"))
 
     def flag(condition: Column, code: str) -> Column:
         return F.when(ok & F.coalesce(condition, F.lit(False)), F.lit(code))
@@ -212,18 +238,19 @@ def check_response_schema(responses: DataFrame) -> DataFrame:
         F.array_compact(
             F.array(
                 F.when(~ok, F.lit("not_an_object")),
-                flag(extra_in_root | extra_in_block, "unknown_field"),
-                flag(~F.coalesce(F.col("_parsed.language"), F.lit("")).isin(*wording.LANGUAGES), "unknown_language"),
+                flag(extra_in_root | some(extra), "unknown_field"),
+                flag(~F.coalesce(language, F.lit("")).isin(*wording.LANGUAGES), "unknown_language"),
                 flag((count < 1) | (count > MAX_BLOCKS), "block_count"),
-                flag(some(lambda b: b["section_id"].isNull() | b["prose"].isNull()), "missing_field"),
-                flag(some(lambda b: F.size(b["fact_ids"]) > MAX_FACT_IDS), "too_many_fact_ids"),
-                flag(some(lambda b: F.length(b["prose"]) > MAX_PROSE), "prose_too_long"),
+                flag(some(lambda b: is_kind(part(b, "section_id"), "absent") | is_kind(part(b, "prose"), "absent")), "missing_field"),
+                flag(some(wrong_type), "wrong_type"),
+                flag(some(lambda b: F.size(elements(part(b, "fact_ids"))) > MAX_FACT_IDS), "too_many_fact_ids"),
+                flag(some(lambda b: length(b) > MAX_PROSE), "prose_too_long"),
             )
         )
     )
     return (
-        responses.withColumn("_parsed", parsed)
-        .withColumn("_loose", loose)
+        responses.withColumn("_body", F.try_parse_json("body"))
+        .withColumn("_blocks", elements(part(body, "blocks")))
         .select("response_id", problems.alias("problems"))
         .withColumn("conforms", F.size("problems") == 0)
     )

@@ -165,6 +165,14 @@ def test_one_report_may_own_most_narratives(spark, facts, partitions):
         ('{"language":"en","blocks":[{"section_id":"a"}]}', ["missing_field"]),
         ('{"language":"en","extra":1,"blocks":[{"section_id":"a","prose":"x"}]}', ["unknown_field"]),
         ('{"language":"en","blocks":[{"section_id":"a","prose":"x","more":1}]}', ["unknown_field"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":5}]}', ["wrong_type"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x","fact_ids":"a"}]}', ["wrong_type"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x","fact_ids":[1]}]}', ["wrong_type"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x"}]} more', ["not_an_object"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x"}]}]', ["not_an_object"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x"}]}}', ["not_an_object"]),
+        ('{"language":"en","blocks":[{"section_id":"a","prose":"x"}]},{}', ["not_an_object"]),
+        ('{"language":"en","blocks":["a"]}', ["missing_field", "wrong_type"]),
         ("[1]", ["not_an_object"]),
         ("no json", ["not_an_object"]),
     ],
