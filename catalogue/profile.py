@@ -195,10 +195,23 @@ def overview_table(spark, folder):
     return profile.overview_table(profile.profile(table(spark, folder, "lineitem")), "fi")
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", "SELECT count(*) AS rows, true AS reordered_is_same, true AS cell_differs, true AS column_differs, true AS setting_differs FROM lineitem")
 def dataset_fingerprint(spark, folder):
-    return profile.dataset_fingerprint(table(spark, folder, "lineitem"), {"language": "en"})
-
+    """What changes the fingerprint of the line items and what does not."""
+    lines = table(spark, folder, "lineitem")
+    last = lines.agg(F.max(F.struct("l_orderkey", "l_linenumber"))).scalar()
+    changed = lines.withColumn(
+        "l_quantity", F.when(F.struct("l_orderkey", "l_linenumber") == last, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).cast(lines.schema["l_quantity"].dataType)
+    )
+    settings = {"language": "en"}
+    variants = {
+        "base": (lines, settings), "reordered": (lines.repartition(7, "l_partkey"), settings), "cell": (changed, settings),
+        "column": (lines.drop("l_comment"), settings) if "l_comment" in lines.columns else (lines.drop("l_tax"), settings), "setting": (lines, {"language": "fi"}),
+    }
+    rows = [profile.dataset_fingerprint(df, chosen).withColumn("variant", F.lit(name)) for name, (df, chosen) in variants.items()]
+    found = reduce(DataFrame.unionByName, rows).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("variant", "fingerprint"))).alias("by"))
+    same = F.col("by")["base"] == F.col("by")["reordered"]
+    return found.select("rows", same.alias("reordered_is_same"), *[(F.col("by")["base"] != F.col("by")[name]).alias(f"{name}_differs") for name in ("cell", "column", "setting")])
 
 @query("compatible_charts", f"""WITH p AS ({profile_sql('orders', KINDS['orders'])})
 SELECT 'missingness' AS kind UNION ALL SELECT 'histogram' WHERE EXISTS (SELECT 1 FROM p WHERE role = 'numeric')
