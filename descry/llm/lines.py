@@ -242,6 +242,7 @@ def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) ->
     ``duplicate_lines`` for ties and repeated rows.
     """
     gone = duplicate_lines(docs, similarity).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
+    gone = written(gone, "gone")  # its size is then known before the join, so that texts move only where they must
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__row": F.shiftrightunsigned(F.xxhash64("text"), 1)})
     joined = keyed.join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__row") == F.col("__gone_row")), "left")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
