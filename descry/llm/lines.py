@@ -214,7 +214,8 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rest = written(_candidates(known.select("fp", "h1", F.coalesce("label", "h1").alias("label")), True), "close")
     groups = components(links.unionByName(_verified(rest, texts, similarity))).toDF("h1", "root")
     # The first occurrence of each group; only lines that are repeated or close to others can lose one.
-    named = distinct.join(groups, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    members = groups.unionByName(groups.select(F.col("root").alias("h1"), "root").distinct())
+    named = distinct.join(members, "h1", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "h1"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     lost = named.join(first, "root").select("h1", "h2", "stays")
     where = F.struct("doc", "row", "line")
