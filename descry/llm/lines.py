@@ -188,7 +188,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longest = F.greatest(F.length("a"), F.length("b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     both = pairs.join(left, "u").join(right, "v").withColumn("most", most)
-    return both.where("levenshtein(a, b, most) >= 0").select("u", "v")  # -1 beyond most, found without the whole table
+    # -1 beyond the bound, found without the whole table. Most pairs differ in few places, so narrow bands come first.
+    bands = [f"levenshtein(a, b, least(most, {width})) >= 0" for width in (16, 128)]
+    return both.where(" OR ".join([*bands, "levenshtein(a, b, most) >= 0"])).select("u", "v")
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
