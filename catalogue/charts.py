@@ -47,7 +47,7 @@ def chart_box_outliers(spark, folder):
 @query("scatter_sample", f"""{DIRTY_SQL} SELECT fv AS x, fp AS y FROM (SELECT event_id, fv, CASE WHEN isfinite(post_value) THEN post_value END AS fp FROM finite)
 WHERE fv IS NOT NULL AND fp IS NOT NULL ORDER BY md5('{charts.SCATTER_SEED}|' || event_id), event_id LIMIT {charts.SCATTER_POINTS}""")
 def scatter_sample(spark, folder):
-    return charts.scatter_sample(events_dirty(spark, folder), "value", "post_value", ["event_id"])
+    return charts.scatter_sample(events_dirty(spark, folder), "value", "post_value", ["event_id"], portable=True)
 
 
 @query("chart_missingness", f"""{dirty_profile_sql()} SELECT column_id, label, round(missing / CAST(missing + nonmissing AS DOUBLE) * 100, 6) AS missing_percent

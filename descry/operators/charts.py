@@ -102,9 +102,11 @@ def box_outliers(df: DataFrame, outcome: str, group: str, *, max_groups: int = 2
 
 
 def scatter_sample(
-    df: DataFrame, first: str, second: str, key: Sequence[str], *, points: int = SCATTER_POINTS, seed: int = SCATTER_SEED
+    df: DataFrame, first: str, second: str, key: Sequence[str], *, points: int = SCATTER_POINTS, seed: int = SCATTER_SEED,
+    portable: bool = False,
 ) -> DataFrame:
-    """At most ``points`` finite pairs for display, chosen by the MD5 of seed and ``key``; among equal keys by the pair.
+    """At most ``points`` finite pairs for display, chosen by a seeded hash of ``key`` and the pair; with ``portable`` by the
+    MD5 of seed and key, which other engines have too.
 
     The choice does not depend on partitioning. A first pass counts pairs by the leading 20 bits of the hash, which
     tells the bits that suffice; only those pairs are then ordered, so one task never receives ``points`` rows from
@@ -117,9 +119,12 @@ def scatter_sample(
         *[P.ref(name).alias(alias) for name, alias in zip(key, keys)],
         P.finite(P.ref(first)).alias("x"), P.finite(P.ref(second)).alias("y"),
     ).where("x IS NOT NULL AND y IS NOT NULL")
-    parts = ", ".join(f"coalesce(CAST({name} AS STRING), '')" for name in keys)
-    pairs = pairs.selectExpr("*", f"md5(CAST(concat_ws('|', '{seed}', {parts}) AS BINARY)) AS _hash")
-    pairs = pairs.selectExpr("*", "CAST(conv(left(_hash, 5), 16, 10) AS INT) AS _bits")
+    if portable:
+        parts = ", ".join(f"coalesce(CAST({name} AS STRING), '')" for name in keys)
+        hashed, bits = f"md5(CAST(concat_ws('|', '{seed}', {parts}) AS BINARY))", "CAST(conv(left(_hash, 5), 16, 10) AS BIGINT)"
+    else:
+        hashed, bits = f"shiftrightunsigned(xxhash64({', '.join([str(seed), *keys, 'x', 'y'])}), 1)", "shiftright(_hash, 43)"
+    pairs = pairs.selectExpr("*", f"{hashed} AS _hash").selectExpr("*", f"{bits} AS _bits")
     # At most 2**20 counts meet in the running sum.
     counts = pairs.groupBy("_bits").agg(F.expr("count(1) AS n")).selectExpr("_bits", "sum(n) OVER (ORDER BY _bits) AS upto")
     enough = counts.selectExpr(f"coalesce(min(_bits) FILTER (WHERE upto >= {points}), max(_bits))").scalar()
