@@ -282,6 +282,27 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.train(labelled.limit(0)).languages == [""]
 
 
+def test_toxicity_of_a_text_is_its_own():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(np.concatenate([rng.normal(0, 1, (toxicity.BUCKETS, toxicity.SIZE)), np.zeros((1, toxicity.SIZE))]).astype(np.float32),
+                           {w: rng.normal(0, 1, (w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS},
+                           np.zeros(36, np.float32), rng.normal(0, 1, 36).astype(np.float32))
+    table, buckets = model.projected(), toxicity.Buckets()
+    texts = [b"vile beast", b"", b"a kind word", b"one", b"", b" \n ", b"the last of all these words"]
+
+    def pooled(group):
+        first, second, starts = toxicity.encoded(group, buckets)
+        return model.pooled(first, second, starts, table)
+
+    alone = np.concatenate([pooled([t]) for t in texts])
+    assert np.allclose(pooled(texts), alone, atol=1e-5) and np.allclose(pooled(texts[::-1])[::-1], alone, atol=1e-5)
+    assert np.allclose(pooled([texts[0], b"vile", texts[0], texts[0]])[[0, 2, 3]], alone[[0, 0, 0]], atol=1e-5)
+    # Training: no window starts where it would reach into the next text.
+    first, _, starts = toxicity.encoded(texts, buckets)
+    for start, end, text in zip(starts, toxicity.window_ends(starts, len(first)), texts):
+        assert end - start == max(1, len(text.split())) and (first[end : start + len(text.split()) + max(toxicity.WIDTHS)] == toxicity.BUCKETS).all()
+
+
 def test_secrets(docs, empty):
     field = secrets.train(docs, secrets.Training(documents=50, windows=20, epochs=15))
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs, field).collect()}
