@@ -1,9 +1,12 @@
 """Fuzzy duplicates of lines across all documents.
 
-Lines are normalised (lower case, ASCII punctuation and white space as one blank). Equal lines collapse by a 128-bit digest. The distinct ones
-get a SimHash over their distinct words; lines whose fingerprints differ in at most three of 64 bits share at least two of five
-blocks, so each line goes to ten buckets. In a bucket every line is compared with all others, but only the link to the least
-close line is passed on; the edit similarity of each link is verified on the texts. Links that can still join two groups
+Lines are normalised (lower case, ASCII punctuation and white space as one blank). Equal lines collapse by a 128-bit digest.
+The distinct ones go to a bucket for each of several least hashes of their byte n-grams (``grams``, the way of the query and
+the pipeline); n grows with the length of the line, and a line that can be alike to one of the next class of lengths goes to
+the buckets of that class, too. Sketches in the rows drop most pairs that cannot be alike. The older way, ``words``, is a
+SimHash over the distinct words with ten buckets for fingerprints that differ in at most three of 64 bits; it finds little but
+equal lines. In a bucket every line is compared with all others, but only the link to the least close line is passed on; the
+edit similarity of each link is verified on the texts. Links that can still join two groups
 after that, all of them, are found and verified in a second turn among the lines that are close to any other. Of every
 connected group the first occurrence, by doc_id and line number, stays.
 """
@@ -23,10 +26,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from descry.llm.common import map_texts, utf8, written
 from descry.llm.components import components
+from descry.llm.minhash import band_keys, gram_signatures
 from descry.llm.simhash import close_pairs, whole_groups
 
 #: Bits in which fingerprints may differ; widths of the blocks, of which SHARED are equal then; least edit similarity.
 BITS, BLOCKS, SHARED, SIMILARITY = 3, (13, 13, 13, 13, 12), 2, 0.8
+#: Least lengths in characters of the classes of lines and the bytes of their n-grams; least hashes taken, a bucket each.
+LENGTHS, GRAMS, BUCKETS = (0, 12, 24, 64), (3, 5, 8, 14), 16
+#: Lines of this length on are compared by 56 bits of the SimHash of their words, shorter ones by the set of their letters.
+SHORT, SKETCH_BITS = 24, 22
 #: Bits per line of the membership filter and the largest filter that is sent to the executors; beyond it a join decides.
 FILTER_BITS, FILTER_BYTES = 16, 64 << 20
 _LAST = (1 << 63) - 1
@@ -87,7 +95,7 @@ def _digests(line: bytes) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _line_setup(_):
+def _line_setup(fingerprinted: bool):
     hashes = _WordHashes()
 
     def handle(batch: pa.RecordBatch) -> dict:
@@ -99,11 +107,74 @@ def _line_setup(_):
         at = np.array([i for i, _, _ in rows], np.int64)
         return {"doc": docs[at] if len(at) else at, "row": np.array([xxhash.xxh64_intdigest(t, 42) >> 1 for t in texts], np.int64)[at] if len(at) else at,
                 "line": np.array([n for _, n, _ in rows], np.int32), "h1": digest[:, 0], "h2": digest[:, 1],
-                "fp": line_fingerprints(lines, hashes) if lines else digest[:, 0]}
+                "fp": line_fingerprints(lines, hashes) if lines and fingerprinted else digest[:, 0]}
 
     return handle
 
 
+def _letters(line: str) -> int:
+    """The set of the characters in 56 bits; one edit changes two of them at most."""
+    mask = 0
+    for c in set(line):
+        mask |= 1 << ord(c) % 56
+    return mask
+
+
+def gram_buckets(lines: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in lines, bucket, sketch) for all buckets of each line. The lowest eight bits of a sketch are the length of a
+    short line, else 64 and the logarithm of the length."""
+    texts = [line.decode() for line in lines]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    lowest, highest = (np.searchsorted(LENGTHS, n, side="right") - 1 for n in (sizes, sizes * 5 // 4))
+    where, keys, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number, (least, width) in enumerate(zip(LENGTHS, GRAMS)):
+        at = np.flatnonzero((lowest <= number) & (number <= highest))
+        if not len(at):
+            continue
+        mine = [lines[i] for i in at]
+        key = band_keys(gram_signatures(mine, width, BUCKETS), 1, number + 1)
+        if least < SHORT:
+            sketch = np.array([_letters(texts[i]) << 8 for i in at], np.uint64) | sizes[at].astype(np.uint64)
+        else:
+            scale = np.minimum(np.log(sizes[at] / 16) / np.log(1.04), 191).astype(np.uint64)
+            sketch = line_fingerprints(mine, hashes).view(np.uint64) & ~np.uint64(255) | (np.uint64(64) + scale)
+        where.append(np.repeat(at, BUCKETS))
+        keys.append(key.view(np.int64).ravel())
+        sketches.append(np.repeat(sketch.view(np.int64), BUCKETS))
+    return np.concatenate(where), np.concatenate(keys), np.concatenate(sketches)
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines with these sketches can be alike: certain for short ones and for lengths, a bound on bits for others."""
+    m, n = (a & np.uint64(255)).astype(np.int64), (b & np.uint64(255)).astype(np.int64)
+    bits, apart, most = np.bitwise_count((a ^ b) >> np.uint64(8)), np.abs(m - n), np.maximum(m, n) // 5
+    return np.where(m < 64, (apart <= most) & (bits <= 2 * most), (apart <= 6) & (bits <= SKETCH_BITS))
+
+
+def _gram_setup(_):
+    hashes = _WordHashes()
+
+    def handle(batch: pa.RecordBatch) -> dict:
+        lines = list({line for text in utf8(batch) for line in normal_lines(text.decode()) if line})
+        at, key, sketch = gram_buckets(lines, hashes)
+        return {"key": key, "fp": sketch, "h1": np.array([_digests(line)[0] for line in lines], np.int64)[at] if lines else key}
+
+    return handle
+
+
+def _labelled_gram_setup(_):
+    hashes = _WordHashes()
+
+    def handle(batch: pa.RecordBatch) -> dict:
+        at, key, sketch = gram_buckets(utf8(batch, "line_text"), hashes)
+        return {"key": key, "fp": sketch, "h1": batch.column("h1").to_numpy()[at], "label": batch.column("label").to_numpy()[at]}
+
+    return handle
+
+
+_PLACED = [("key", "bigint", pa.int64()), ("fp", "bigint", pa.int64()), ("h1", "bigint", pa.int64())]
+
+
 def _spread(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.RecordBatch]:
     edges = np.cumsum([0, *BLOCKS])
     for batch in batches:
@@ -115,15 +186,17 @@ def _spread(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "h1", "label"][: len(columns)])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], every: bool, close) -> Iterator[pa.RecordBatch]:
     """Close lines of a bucket: for each line its least close one, or ``every`` pair of lines with different labels."""
     for part in whole_groups(batches, lambda c: c["key"]):
+        again = np.append(False, (part["key"][1:] == part["key"][:-1]) & (part["h1"][1:] == part["h1"][:-1]))
+        part = {column: values[~again] for column, values in part.items()} if again.any() else part
         key, name = part["key"], part["h1"]
         several = np.append(False, key[1:] == key[:-1]) | np.append(key[1:] == key[:-1], False)
         if not several.any():
             continue
         key, name, fp = key[several], name[several], part["fp"][several].view(np.uint64)
-        for a, b in close_pairs(key, np.ones(len(key), bool), fp, BITS, part["label"][several] if every else name):
+        for a, b in close_pairs(key, np.ones(len(key), bool), fp, close, part["label"][several] if every else name):
             u, v = name[a], name[b]
             if every:
                 u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
@@ -136,12 +209,16 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
 def _candidates(lines: DataFrame, every: bool) -> DataFrame:
     """Pairs (u, v) of close lines, u > v, repeated ones once."""
     kind = "key int, fp bigint, h1 bigint" + (", label bigint" if every else "")
-    placed = lines.mapInArrow(partial(_spread, labelled=every), kind)
-    found = placed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_compare, every=every), "u bigint, v bigint")
+    return bucket_pairs(lines.mapInArrow(partial(_spread, labelled=every), kind), every, BITS)
+
+
+def bucket_pairs(placed: DataFrame, every: bool, close) -> DataFrame:
+    """Pairs (u, v), u > v, of names h1 that share a key and are ``close`` by fp (see ``close_pairs``), repeated ones once."""
+    found = placed.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(partial(_compare, every=every, close=close), "u bigint, v bigint")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _bits(ids: np.ndarray, size: int) -> list[np.ndarray]:
+def places(ids: np.ndarray, size: int) -> list[np.ndarray]:
     """Two places of each id in a filter of ``size`` bits."""
     x = ids.view(np.uint64)
     return [((x * np.uint64(odd)) >> np.uint64(20)) % np.uint64(size) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -153,13 +230,13 @@ def _text_setup(state: bytes | None):
     def handle(batch: pa.RecordBatch) -> dict:
         lines = list({line for text in utf8(batch) for line in normal_lines(text.decode()) if line})
         h1 = np.array([_digests(line)[0] for line in lines], np.int64)
-        keep = np.arange(len(lines)) if member is None or not len(lines) else np.flatnonzero(np.logical_and(*(member[b] for b in _bits(h1, len(member)))))
+        keep = np.arange(len(lines)) if member is None or not len(lines) else np.flatnonzero(np.logical_and(*(member[b] for b in places(h1, len(member)))))
         return {"h1": h1[keep], "line_text": [lines[i].decode() for i in keep]}
 
     return handle
 
 
-def _membership(wanted: DataFrame, count: int) -> bytes | None:
+def membership(wanted: DataFrame, count: int) -> bytes | None:
     """A filter that lets pass all ids of ``wanted`` and few others; None if it would be too large to send around."""
     size = max(64, count * FILTER_BITS)
     if size // 8 > FILTER_BYTES:
@@ -169,10 +246,10 @@ def _membership(wanted: DataFrame, count: int) -> bytes | None:
     def fill(batches):
         mask = np.zeros(size, bool)
         for batch in batches:
-            for places in _bits(batch.column("h1").to_numpy(), size):
-                mask[places] = True
-        places = np.flatnonzero(mask)
-        yield pa.RecordBatch.from_arrays([pa.array(places // (1 << 13)), pa.array(places % (1 << 13))], names=["page", "bit"])
+            for at in places(batch.column("h1").to_numpy(), size):
+                mask[at] = True
+        filled = np.flatnonzero(mask)
+        yield pa.RecordBatch.from_arrays([pa.array(filled // (1 << 13)), pa.array(filled % (1 << 13))], names=["page", "bit"])
 
     # Set bits are sent page by page; the whole filter is at most FILTER_BYTES.
     pages = wanted.mapInArrow(fill, "page bigint, bit bigint").groupBy("page").agg(F.collect_set("bit").alias("bits"))
@@ -182,38 +259,71 @@ def _membership(wanted: DataFrame, count: int) -> bytes | None:
     return np.packbits(mask).tobytes()
 
 
+def _trigram_counts(text: str, size: int) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = (codes[:-2] * np.uint64(961) + codes[1:-1] * np.uint64(31) + codes[2:]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.bincount((grams >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size)
+
+
+def within_reach(a: str, b: str, most: int) -> bool:
+    """False only if the edit distance is over ``most``: one edit changes three of the trigrams of either text at most."""
+    if min(len(a), len(b)) < 3:
+        return True
+    size = max(1024, 1 << (4 * max(len(a), len(b))).bit_length())
+    return int(np.abs(_trigram_counts(a, size) - _trigram_counts(b, size)).sum()) <= 6 * most
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = zip(*(batch.column(name).to_pylist() for name in ("a", "b", "most")))
+        yield batch.filter(pa.array([within_reach(*v) for v in values], pa.bool_()))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are alike: edit distance at most (1 - similarity) times the longer length."""
     left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
     longest = F.greatest(F.length("a"), F.length("b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    both = pairs.join(left, "u").join(right, "v").withColumn("most", most)
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", most.alias("most"))
+    both = both.mapInArrow(_reached, "u bigint, v bigint, a string, b string, most int")
     # -1 beyond the bound, found without the whole table. Most pairs differ in few places, so narrow bands come first.
     bands = [f"levenshtein(a, b, least(most, {width})) >= 0" for width in (16, 128)]
     return both.where(" OR ".join([*bands, "levenshtein(a, b, most) >= 0"])).select("u", "v")
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, by: str = "words") -> DataFrame:
     """(doc, row, line): the lines that go. ``doc`` is the doc_id (the largest long for null), ``row`` a hash of the text.
 
     Lines without a word never go. Null texts have no lines. Repeated rows (same doc_id and text) lose the same lines, so
-    the first occurrence stays in each of them.
+    the first occurrence stays in each of them. Candidates are found ``by`` "grams" or "words"; see the module.
     """
+    if by not in ("grams", "words") or by == "grams" and similarity < SIMILARITY:
+        raise ValueError(f"Candidates are found by 'grams', for a similarity from {SIMILARITY} on, or by 'words'.")
+    grams = by == "grams"
     source = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     kinds = [("doc", "bigint", pa.int64()), ("row", "bigint", pa.int64()), ("line", "int", pa.int32()),
              ("h1", "bigint", pa.int64()), ("h2", "bigint", pa.int64()), ("fp", "bigint", pa.int64())]
-    occurrences = written(map_texts(source, _line_setup, None, kinds), "lines")
+    occurrences = written(map_texts(source, _line_setup, not grams, kinds), "lines")
     distinct = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct")
-    pairs = written(_candidates(distinct.select("fp", "h1"), False), "close")
+    if grams:
+        pairs = written(bucket_pairs(map_texts(source, _gram_setup, None, _PLACED), False, may_be_alike), "close")
+    else:
+        pairs = written(_candidates(distinct.select("fp", "h1"), False), "close")
     near = written(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct(), "near")
-    member = _membership(near, near.count())
+    member = membership(near, near.count())
     texts = map_texts(source, _text_setup, member, [("h1", "bigint", pa.int64()), ("line_text", "string", pa.string())])
     texts = written(texts.join(near, "h1", "left_semi").groupBy("h1").agg(F.first("line_text").alias("line_text")), "texts")
     links = written(_verified(pairs, texts, similarity), "links")
     labels = components(links)
-    known = distinct.join(near, "h1", "left_semi").select("fp", "h1").join(labels.toDF("h1", "label"), "h1", "left")
-    rest = written(_candidates(known.select("fp", "h1", F.coalesce("label", "h1").alias("label")), True), "close")
+    known = (texts if grams else distinct.join(near, "h1", "left_semi").select("fp", "h1")).join(labels.toDF("h1", "label"), "h1", "left")
+    known = known.withColumn("label", F.coalesce("label", "h1"))
+    if grams:
+        placed = map_texts(known, _labelled_gram_setup, None, [*_PLACED, ("label", "bigint", pa.int64())], "line_text")
+        rest = bucket_pairs(placed, True, may_be_alike)
+    else:
+        rest = _candidates(known.select("fp", "h1", "label"), True)
+    rest = written(rest, "close")
     groups = components(links.unionByName(_verified(rest, texts, similarity))).toDF("h1", "root")
     # The first occurrence of each group; only lines that are repeated or close to others can lose one.
     members = groups.unionByName(groups.select(F.col("root").alias("h1"), "root").distinct())
@@ -238,13 +348,13 @@ def _cut_setup(_):
     return handle
 
 
-def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, by: str = "words") -> DataFrame:
     """``docs`` with their texts less the duplicate lines, and n_lines and n_dropped (in place of columns of these names).
 
     Null texts stay null, with 0 lines. Lines are cut at ``\\n``. A text of which all lines went is empty. See
     ``duplicate_lines`` for ties and repeated rows.
     """
-    gone = duplicate_lines(docs, similarity).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
+    gone = duplicate_lines(docs, similarity, by).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
     gone = written(gone, "gone")  # its size is then known before the join, so that texts move only where they must
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__row": F.shiftrightunsigned(F.xxhash64("text"), 1)})
     joined = keyed.join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__row") == F.col("__gone_row")), "left")

@@ -61,7 +61,7 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return lines.without_duplicate_lines(table(spark, sf_dir, "documents"), by="grams").select("doc_id", "text", "n_lines", "n_dropped")
 
 
 @query

@@ -10,7 +10,7 @@ only spanning stars; components over these are those over all links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import accumulate, combinations
 
@@ -115,9 +115,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int32()), pa.array(fp[where], pa.int64())], names=["anchor", "fp"])
 
 
-def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: int, name: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: int | Callable, name: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (a, b) of residents a and members b of the same group, with different names, whose fingerprints differ in
-    at most ``bits`` bits. They come block by block, all those of one resident together; the caller reduces each block.
+    at most ``bits`` bits, or for which the function ``bits`` of two arrays of fingerprints holds. They come block by block, all those of one resident together; the caller reduces each block.
     The arrays are sorted by group, residents first.
     """
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -133,7 +133,7 @@ def close_pairs(group: np.ndarray, resident: np.ndarray, fp: np.ndarray, bits: i
         to = max(at + 1, int(np.searchsorted(total, base + BLOCK, side="right")))
         a = np.repeat(residents[at:to], each[at:to])
         b = np.repeat(first[at:to] - (total[at:to] - each[at:to] - base), each[at:to]) + np.arange(len(a))
-        near = (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (name[a] != name[b])
+        near = (bits(fp[a], fp[b]) if callable(bits) else np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (name[a] != name[b])
         if near.any():
             yield a[near], b[near]
         at = to

@@ -231,6 +231,38 @@ def test_line_dedup(docs, empty):
     assert lines.without_duplicate_lines(empty).count() == 0
 
 
+def test_line_dedup_by_edit_similarity_alone(docs, empty):
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word():
+        return "".join(rng.choice(list(letters), rng.integers(3, 9)))
+
+    rows = []
+    for i, size in enumerate([2, 3, 4, 6, 10, 15, 25, 40] * 4):
+        words = [word() for _ in range(size)]
+        at = int(rng.integers(0, size))
+        other = [*words[:at], words[at][:-1] + "#"[i % 2 :] + letters[i % 26], *words[at + 1 :]]
+        rows += [document(2 * i, " ".join(words) + "\nkept " + word() + word()), document(2 * i + 1, " ".join(other) + "\nkept " + word() + word())]
+    mine = docs.sparkSession.createDataFrame(rows, SCHEMA).repartition(4)
+    first = {}
+    for r in rows:
+        for n, line in enumerate(lines.normal_lines(r[1])):
+            first.setdefault(line.decode(), (r[0], n))
+    known = list(first)
+    group = list(range(len(known)))
+    for i, j in itertools.combinations(range(len(known)), 2):
+        a, b = known[i], known[j]
+        longest = max(len(a), len(b))
+        if 4 * longest <= 5 * min(len(a), len(b)) and edit_distance(a, b) <= int(0.2 * longest + 1e-9):
+            group = [group[i] if g == group[j] else g for g in group]
+    stays = {min(first[line] for line, h in zip(known, group) if h == g) for g in group}
+    want = {(r[0], n) for r in rows for n in range(2)} - stays
+    got = {(r["doc"], r["line"]) for r in lines.duplicate_lines(mine, by="grams").collect()}
+    assert got == want and len(want) > 25
+    assert lines.without_duplicate_lines(empty, by="grams").count() == 0
+
+
 def test_url_filter(spark):
     names = [("https://a.com/x/1", None), ("http://A.COM/x/2?q", None), ("no scheme", None), (None, None), ("http://b.org", None), ("x://b.org/p#f", None), ("http://c.b.org/p/s/9", "z")]
     pages = ship(spark).createDataFrame([(i, u, "h", h) for i, (u, h) in enumerate(names)] + [(0, names[0][0], "h", None)], "page_id bigint, url string, host string, path string")
