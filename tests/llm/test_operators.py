@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from descry.llm import bpe, exact, language, lines, mixing, repetition, secrets, simhash, toxicity, urls
+from descry.llm import bpe, exact, language, lines, mixing, repetition, secrets, shingles, simhash, toxicity, urls
 from descry.llm.common import ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,6 +112,44 @@ def test_anchors_lose_no_pair():
         assert len(homes) == len(fp) and all(homes[i] // 2 in reached[i] for i in homes)
 
 
+def test_near_copies_of_the_pipeline(docs, empty):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(60, 400)))]
+        for k in range(3):
+            copy = list(words)
+            for at in rng.choice(len(words), max(1, (k * len(words)) // 60), replace=False) if k else []:
+                copy[at] = "other" + str(rng.integers(0, 10**6))
+            rows.append(document(100 + 3 * i + k, " ".join(copy)))
+    rows += ROWS
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (PATTERN.findall((r[1] or "").lower()) for r in rows)]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {min((r[0] for r, h in zip(rows, group) if h == g and r[0] is not None), default=None) for g in group}
+    mine = docs.sparkSession.createDataFrame(rows, SCHEMA).repartition(4)
+    kept = corpus_pipeline.drop_near_copies(docs.sparkSession, mine, "")
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted({-1 if c is None else c for c in least} | {-1}) and kept.columns == docs.columns
+    assert shingles.near_copies(empty).count() == 0
+
+
+def test_trigrams_never_rule_out_alike_lines():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = "".join(rng.choice(list("abcé "), rng.integers(1, 40)))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 8))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = "z" * int(rng.integers(0, 2))
+        b = "".join(b)
+        assert lines.within_reach(a, b, edit_distance(a, b))
+    assert not lines.within_reach("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", 5)
+
+
 def test_exact_duplicates(docs, empty):
     normal = {id(r): re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in ROWS}
     groups = collections.defaultdict(list)
