@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,27 @@ def without_fact_tokens(prose: Column) -> Column:
 def has_literal_number(text: Column) -> Column:
     """Whether the text states a number outside fact tokens."""
     return F.rlike(without_fact_tokens(text), F.lit(HAS_LITERAL_NUMBER))
+
+
+@cache
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """The full case folding of Unicode, as Python knows it: characters that fold to one, what they fold to, and the others."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    folded = {c: c.casefold() for c in every if c.casefold() != c}
+    single = [c for c in folded if len(folded[c]) == 1]
+    return "".join(single), "".join(folded[c] for c in single), {c: t for c, t in folded.items() if len(t) > 1}
+
+
+def fold(column: Column) -> Column:
+    """The text for comparison regardless of case, by the full Unicode folding: ``Straße`` and ``STRASSE`` become equal.
+
+    ``lower`` is not enough: it keeps ``ß``, the long s and the final sigma. Folding goes character by character, so the
+    result does not depend on the neighbours. Texts of ASCII only take the short way.
+    """
+    source, target, several = _fold_table()
+    folded = F.translate(column, source, target)
+    expanded = folded
+    for character, text in several.items():
+        expanded = F.replace(expanded, F.lit(character), F.lit(text))
+    expanded = F.when(F.rlike(column, F.lit(f"[{''.join(several)}]")), expanded).otherwise(folded)
+    return F.when(F.rlike(column, F.lit(r"[^\x00-\x7F]")), expanded).otherwise(F.lower(column))

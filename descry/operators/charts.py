@@ -13,7 +13,7 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions.wide import literal_table
-from descry.operators.compare import FEW_GROUPS, _order_key, require_group_count
+from descry.operators.compare import FEW_GROUPS, _first_seen, _order_key, require_group_count
 from descry.operators.quantiles import exact_quantiles
 
 # Sizes of the displays and the seed of the scatter sample.
@@ -61,7 +61,7 @@ def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str]
         P.finite(P.ref(outcome)).alias("value"),
         _order_key(df, order_by).alias("_order"),
     )
-    groups = rows.groupBy("group").agg(F.count("value").alias("n"), F.min("_order").alias("first_seen"))
+    groups = rows.groupBy("group").agg(F.count("value").alias("n"), _first_seen(order_by))
     quartiles = exact_quantiles(rows, ["group"], "value", [0.25, 0.5, 0.75], few_keys=count <= FEW_GROUPS)
     reach = F.lit(1.5) * (F.col("q2") - F.col("q0"))
     fences = groups.join(F.broadcast(quartiles), "group", "left").select(

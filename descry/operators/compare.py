@@ -14,19 +14,32 @@ from descry.functions.dates import as_instant, iso_text
 from descry.functions import sqltext as Q
 from descry.functions.wide import aggregate_rows, entries
 from descry.operators.describe import defined
+from descry.operators.exact_sums import exact_moments, exact_totals
 from descry.operators.quantiles import FEW_VALUES, exact_quantiles, quantiles_of_few_values
+from descry.sources.positions import row_position
 
 #: Groups up to which per-group bounds may be broadcast.
 FEW_GROUPS = 1_000
 
 
 def _order_key(df: DataFrame, order_by: Sequence[str] | None) -> Column:
-    """What 'first' means: the given order columns, or nothing (then groups are ordered by label)."""
+    """What 'first' means: the given order columns, else the place in the files that the rows come from, else nothing (then
+    groups are ordered by label). One order column comes as it is: its least value is found by hashing, that of structs by
+    sorting."""
     if not order_by:
-        return F.lit(None).cast("string")
+        position = row_position(df)
+        return F.lit(None).cast("string") if position is None else position
+    if len(order_by) == 1:
+        return P.ref(order_by[0])
     return F.struct(*[P.ref(name).alias(f"o{i}") for i, name in enumerate(order_by)])
 
 
+def _first_seen(order_by: Sequence[str] | None) -> Column:
+    """The least order key of a group (column ``_order``): a struct, or null where there is no order."""
+    least = F.min("_order")
+    return (F.struct(least.alias("o0")) if order_by and len(order_by) == 1 else least).alias("first_seen")
+
+
 def _check_outcome_and_group(df: DataFrame, outcome: str, group: str) -> None:
     P.require_distinct(outcome, group)
     P.type_of(df, group)
@@ -47,26 +60,37 @@ def require_group_count(df: DataFrame, group: str, low: int = 2, high: int = 20)
     return found
 
 
+def _with_moments(statistics: DataFrame, rows: DataFrame, few_groups: bool) -> DataFrame:
+    """``statistics`` (_group, ...) with mean and variance of ``_value`` from exact sums."""
+    moments = exact_moments(rows, ["_group"], "_value", few_keys=few_groups).select(F.col("_group").alias("_of"), "mean", "variance")
+    # At most FEW_GROUPS rows where it is broadcast.
+    return statistics.join(F.broadcast(moments) if few_groups else moments, F.col("_group").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def group_statistics(
-    df: DataFrame, outcome: str, group: str, *, order_by: Sequence[str] | None = None
+    df: DataFrame, outcome: str, group: str, *, order_by: Sequence[str] | None = None, reproducible: bool = False
 ) -> DataFrame:
     """N, mean, std, min, max per group over rows with both values; infinities take part.
 
-    ``first_seen`` holds the smallest order key of the group; sort by it for first-seen order.
+    ``first_seen`` holds the smallest order key of the group; sort by it for first-seen order. Without ``order_by`` the key is
+    the row's place in its file (see ``row_position``), and null where the rows come from no file. ``reproducible`` takes
+    mean and std from exact sums, so that their bits do not depend on partitioning.
     """
     _check_outcome_and_group(df, outcome, group)
     group_type = P.type_of(df, group)
     value = P.as_number(P.ref(outcome))
-    return (
-        df.where(P.present(P.ref(group), group_type) & value.isNotNull())
-        .select(P.ref(group).alias("_group"), value.alias("_value"), _order_key(df, order_by).alias("_order"))
-        .groupBy("_group")
-        .agg(
-            F.count("_value").alias("N"), defined(F.avg("_value")).alias("mean"),
-            defined(F.stddev_samp("_value")).alias("std"), F.min("_value").alias("min"), F.max("_value").alias("max"),
-            F.min("_order").alias("first_seen"),
-        )
-        .select(P.label_text(F.col("_group"), group_type).alias("group"), "N", "mean", "std", "min", "max", "first_seen")
+    rows = df.where(P.present(P.ref(group), group_type) & value.isNotNull()).select(
+        P.ref(group).alias("_group"), value.alias("_value"), _order_key(df, order_by).alias("_order")
+    )
+    found = rows.groupBy("_group").agg(
+        F.count("_value").alias("N"), F.min("_value").alias("min"), F.max("_value").alias("max"), _first_seen(order_by),
+        *[] if reproducible else [F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("std")],
+    )
+    if reproducible:
+        found = _with_moments(found, rows, False).withColumn("std", F.sqrt("variance"))
+    return found.select(
+        P.label_text(F.col("_group"), group_type).alias("group"), "N", defined(F.col("mean")).alias("mean"), defined(F.col("std")).alias("std"),
+        "min", "max", "first_seen",
     )
 
 
@@ -78,9 +102,11 @@ def group_statistics_detailed(
     order_by: Sequence[str] | None = None,
     outcome_distinct: int | None = None,
     few_groups: bool | None = None,
+    reproducible: bool = False,
 ) -> DataFrame:
     """n, mean, sd, median, min, max of finite outcomes per group; groups without any are kept.
 
+    ``reproducible`` takes mean and sd from exact sums, so that their bits do not depend on partitioning.
     ``outcome_distinct`` is the outcome's distinct count where a profile knows it; when small, medians come from the
     counts of its values. Otherwise ranks are narrowed; ``few_groups`` then says whether the number of groups is
     known to be small, and when it is None, a job counts them up to 1,000.
@@ -91,8 +117,8 @@ def group_statistics_detailed(
         P.ref(group).alias("_group"), P.finite(P.ref(outcome)).alias("_value"), _order_key(df, order_by).alias("_order")
     )
     statistics = rows.groupBy("_group").agg(
-        F.count("_value").alias("n"), F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("sd"),
-        F.min("_value").alias("min"), F.max("_value").alias("max"), F.min("_order").alias("first_seen"),
+        F.count("_value").alias("n"), F.min("_value").alias("min"), F.max("_value").alias("max"), _first_seen(order_by),
+        *[] if reproducible else [F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("sd")],
     )
     if outcome_distinct is not None and outcome_distinct <= FEW_VALUES:
         medians = quantiles_of_few_values(rows, ["_group"], "_value", [0.5])
@@ -100,6 +126,8 @@ def group_statistics_detailed(
         if few_groups is None:
             few_groups = count_groups(df, group, FEW_GROUPS) <= FEW_GROUPS
         medians = exact_quantiles(rows, ["_group"], "_value", [0.5], few_keys=few_groups)
+    if reproducible:
+        statistics = _with_moments(statistics, rows, bool(few_groups)).withColumn("sd", F.sqrt("variance"))
     medians = medians.select(F.col("_group").alias("_g"), F.col("q0").alias("median"))
     if few_groups:
         medians = F.broadcast(medians)
@@ -124,24 +152,26 @@ def cohens_d(
     *,
     order_by: Sequence[str] | None = None,
     infinite_as_missing: bool = True,
+    reproducible: bool = False,
 ) -> DataFrame:
     """First-seen minus second group: mean difference and pooled-SD Cohen's d, one row.
 
-    Groups follow their first appearance among complete cases. Where d is undefined, ``reason`` says why:
+    Groups follow their first appearance among complete cases: by ``order_by``, else by the place in the files that the rows
+    come from, else by label. ``reproducible`` takes the moments from exact sums. Where d is undefined, ``reason`` says why:
     ``not_two_groups``, ``group_too_small`` (fewer than two values) or ``zero_pooled_variance``.
     """
     _check_outcome_and_group(df, outcome, group)
     group_type = P.type_of(df, group)
     value = P.finite(P.ref(outcome)) if infinite_as_missing else P.as_number(P.ref(outcome))
-    groups = (
-        df.where(P.present(P.ref(group), group_type) & value.isNotNull())
-        .select(P.ref(group).alias("_group"), value.alias("_value"), _order_key(df, order_by).alias("_order"))
-        .groupBy("_group")
-        .agg(
-            F.count("_value").alias("n"), F.avg("_value").alias("mean"), F.var_samp("_value").alias("variance"),
-            F.min("_order").alias("first_seen"),
-        )
+    rows = df.where(P.present(P.ref(group), group_type) & value.isNotNull()).select(
+        P.ref(group).alias("_group"), value.alias("_value"), _order_key(df, order_by).alias("_order")
+    )
+    groups = rows.groupBy("_group").agg(
+        F.count("_value").alias("n"), _first_seen(order_by),
+        *[] if reproducible else [F.avg("_value").alias("mean"), F.var_samp("_value").alias("variance")],
     )
+    if reproducible:
+        groups = _with_moments(groups, rows, False)
     described = F.struct(
         "first_seen", P.label_text(F.col("_group"), group_type).alias("label"), "n", "mean", "variance"
     )
@@ -167,18 +197,36 @@ def cohens_d(
     )
 
 
-def pearson_relationship(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Pearson r on pairwise finite rows with n, excluded_count and the reason where r is undefined."""
+def _exact_covariance(pairs: DataFrame) -> DataFrame:
+    """One row (covariance, sd_x, sd_y) of the complete pairs (x, y), from exact sums."""
+    long = entries(pairs, [Q.struct(position=str(i), value=name) for i, name in enumerate(("x", "y"))])
+    moments = exact_moments(long, ["position"], "value", few_keys=True)
+    both = moments.agg(*[
+        F.max(F.when(F.col("position") == i, F.col(part))).alias(f"{part}_{name}") for part in ("n", "mean", "variance") for i, name in enumerate("xy")
+    ])
+    products = pairs.join(F.broadcast(both), F.lit(True)).selectExpr("(x - mean_x) * (y - mean_y) AS product")  # one row
+    total = exact_totals(products, [], f"IF(abs(product) < {Q.INFINITY}, product, NULL)")
+    return both.join(F.broadcast(total), F.lit(True), "left").selectExpr(
+        "IF(n_x > 1, coalesce(total, 0D) / (n_x - 1), NULL) AS covariance", "sqrt(variance_x) AS sd_x", "sqrt(variance_y) AS sd_y")
+
+
+def pearson_relationship(df: DataFrame, first: str, second: str, *, reproducible: bool = False) -> DataFrame:
+    """Pearson r on pairwise finite rows with n, excluded_count and the reason where r is undefined.
+
+    ``reproducible`` takes r from exact sums, so that its bits do not depend on partitioning.
+    """
     P.require_distinct(first, second)
     P.require_numeric(df, first, second)
     x, y = P.finite(P.ref(first)), P.finite(P.ref(second))
     pair = x.isNotNull() & y.isNotNull()
     px, py = F.when(pair, x), F.when(pair, y)
     sums = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count(px).alias("n"), F.covar_samp(px, py).alias("covariance"),
-        F.stddev_samp(px).alias("sd_x"), F.stddev_samp(py).alias("sd_y"),
+        F.count(F.lit(1)).alias("rows"), F.count(px).alias("n"),
+        *[] if reproducible else [F.covar_samp(px, py).alias("covariance"), F.stddev_samp(px).alias("sd_x"), F.stddev_samp(py).alias("sd_y")],
         (F.min(px) == F.max(px)).alias("flat_x"), (F.min(py) == F.max(py)).alias("flat_y"),
     )
+    if reproducible:
+        sums = sums.join(F.broadcast(_exact_covariance(df.where(pair).select(x.alias("x"), y.alias("y")))), F.lit(True), "left")  # one row each
     reason = F.when(F.col("n") < 3, F.lit("fewer_than_three_pairs")).when(
         F.col("flat_x") | F.col("flat_y"), F.lit("zero_variance")
     )
@@ -192,11 +240,11 @@ def pearson_relationship(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def paired_change_statistics(
-    df: DataFrame, pre: str, post: str, *, few_values: bool = False
+    df: DataFrame, pre: str, post: str, *, few_values: bool = False, reproducible: bool = False
 ) -> DataFrame:
     """n, mean, sd, median of pre, post and post minus pre on the identical finite pairs: three rows.
 
-    ``few_values`` states that pre, post and their difference are known to have few distinct values.
+    ``reproducible`` takes means and sds from exact sums. ``few_values`` states that pre, post and their difference are known to have few distinct values.
     """
     P.require_distinct(pre, post)
     P.require_numeric(df, pre, post)
@@ -218,6 +266,9 @@ def paired_change_statistics(
     medians = quantiles(long, ["position"], "value", [0.5]).select("position", F.col("q0").alias("median"))
     # Three rows on either side.
     table = table.join(F.broadcast(medians), "position", "left")
+    if reproducible:
+        moments = exact_moments(long, ["position"], "value", few_keys=True).selectExpr("position", "mean", "sqrt(variance) AS sd")
+        table = table.drop("mean", "sd").join(F.broadcast(moments), "position", "left")
     return table.select(
         "measure", "n", "mean", "sd", "median", "excluded_count", F.lit("post_minus_pre").alias("direction")
     )
@@ -231,16 +282,19 @@ def _dated(df: DataFrame, date: str, outcome: str) -> DataFrame:
     )
 
 
-def date_mean_series(df: DataFrame, date: str, outcome: str) -> DataFrame:
-    """Mean and count of finite outcomes by date, ascending; times are not truncated, nothing is interpolated."""
-    return (
-        _dated(df, date, outcome)
-        .where(F.col("instant").isNotNull() & F.col("value").isNotNull())
-        .groupBy("instant")
-        .agg(F.avg("value").alias("mean"), F.count("value").alias("count"))
-        .orderBy("instant")
-        .select(iso_text(F.col("instant")).alias("date"), "mean", "count")
-    )
+def date_mean_series(df: DataFrame, date: str, outcome: str, *, reproducible: bool = False) -> DataFrame:
+    """Mean and count of finite outcomes by date, ascending; times are not truncated, nothing is interpolated.
+
+    ``reproducible`` takes the means from exact sums.
+    """
+    rows = _dated(df, date, outcome).where(F.col("instant").isNotNull() & F.col("value").isNotNull())
+    if reproducible:
+        counts = rows.groupBy("instant").agg(F.count("value").alias("count"))
+        totals = exact_totals(rows, ["instant"], "value").toDF("_of", "total")
+        means = counts.join(totals, F.col("instant") == F.col("_of"), "left").selectExpr("instant", "coalesce(total, 0D) / count AS mean", "count")
+    else:
+        means = rows.groupBy("instant").agg(F.avg("value").alias("mean"), F.count("value").alias("count"))
+    return means.orderBy("instant").select(iso_text(F.col("instant")).alias("date"), "mean", "count")
 
 
 def date_series_coverage(df: DataFrame, date: str, outcome: str) -> DataFrame:

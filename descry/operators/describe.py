@@ -12,6 +12,7 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions.wide import aggregate_rows, entries
+from descry.operators.exact_sums import exact_moments
 from descry.operators.quantiles import FEW_VALUES, exact_quantiles, quantiles_of_few_values
 
 #: Categories shown, and the label of the remainder.
@@ -24,8 +25,17 @@ def defined(statistic: Column) -> Column:
     return F.nanvl(statistic, F.lit(None).cast("double"))
 
 
-def descriptive_statistics(df: DataFrame) -> DataFrame:
-    """N, mean, sample SD, min, max of the non-missing values of every numeric column; infinities take part."""
+def _exact_means(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(position, mean, sd) of each of the SQL ``values`` from exact sums; one row per value."""
+    long = entries(df, [Q.struct(position=str(i), value=value) for i, value in enumerate(values)]).where("value IS NOT NULL")
+    return exact_moments(long, ["position"], "value", few_keys=True).selectExpr("position", "mean", "sqrt(variance) AS sd")
+
+
+def descriptive_statistics(df: DataFrame, *, reproducible: bool = False) -> DataFrame:
+    """N, mean, sample SD, min, max of the non-missing values of every numeric column; infinities take part.
+
+    ``reproducible`` takes mean and SD from exact sums, so that their bits do not depend on partitioning.
+    """
     names = P.numeric_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], "variable string, N bigint, mean double, std double, min double, max double")
@@ -38,7 +48,12 @@ def descriptive_statistics(df: DataFrame) -> DataFrame:
                 std=f"nanvl(stddev_samp({value}), NULL)", min=f"min({value})", max=f"max({value})",
             )
         )
-    return aggregate_rows(df, rows)
+    table = aggregate_rows(df, rows)
+    if reproducible:
+        places = f"array_position(array({', '.join(map(Q.quoted, names))}), variable) - 1"
+        moments = F.broadcast(_exact_means(df, [Q.number(name) for name in names]).toDF("position", "mean", "std"))  # one row per column
+        table = table.drop("mean", "std").join(moments, F.expr(places) == F.col("position"), "left")
+    return table.select("variable", "N", "mean", "std", "min", "max")
 
 
 def numeric_profile(
@@ -47,12 +62,14 @@ def numeric_profile(
     *,
     distinct_counts: Mapping[str, int] | None = None,
     approximate_median: bool = False,
+    reproducible: bool = False,
 ) -> DataFrame:
     """n, missing, non-finite, mean, sd, median, min, max on finite values, one row per numeric column.
 
     The median is exact. Columns whose distinct count is known (from a profile) and small get it from the counts of
     their values; all others by narrowing ranks, for all columns in the same passes. ``approximate_median`` uses a
-    quantile sketch inside the one aggregate instead.
+    quantile sketch inside the one aggregate instead. ``reproducible`` takes mean and sd from exact sums, in two more passes,
+    so that their bits do not depend on partitioning.
     """
     names = list(columns) if columns is not None else P.numeric_columns(df)
     if not names:
@@ -83,14 +100,16 @@ def numeric_profile(
         # At most one row per column on either side.
         medians = F.broadcast(reduce(DataFrame.unionByName, parts))
         table = table.join(medians, "position", "left").withColumn("median", F.col("q0"))
+    if reproducible:
+        table = table.drop("mean", "sd").join(F.broadcast(_exact_means(df, [Q.finite(name) for name in names])), "position", "left")
     return table.select(
         "position", "variable", "n", "missing_count", "nonfinite_count", "mean", "sd", "median", "min", "max"
     )
 
 
-def numeric_summary(df: DataFrame, column: str, *, approximate_median: bool = False) -> DataFrame:
+def numeric_summary(df: DataFrame, column: str, *, approximate_median: bool = False, reproducible: bool = False) -> DataFrame:
     """The row of ``numeric_profile`` for one column."""
-    return numeric_profile(df, [column], approximate_median=approximate_median).drop("position")
+    return numeric_profile(df, [column], approximate_median=approximate_median, reproducible=reproducible).drop("position")
 
 
 def categorical_profile(

@@ -78,9 +78,9 @@ def has_broken_token(prose: Column) -> Column:
 
 def uses_banned_term(prose: Column, language: Column) -> Column:
     """The text outside fact tokens holds a term that is banned in the language."""
-    folded = F.lower(text.without_fact_tokens(prose))
+    folded = text.fold(text.without_fact_tokens(prose))
     by_language = F.create_map(
-        *[part for code, terms in wording.BANNED_TERMS.items() for part in (F.lit(code), F.array(*[F.lit(t) for t in terms]))]
+        *[part for code, terms in wording.BANNED_TERMS.items() for part in (F.lit(code), F.array(*[F.lit(t.casefold()) for t in terms]))]
     )
     return F.coalesce(
         F.exists(F.try_element_at(by_language, language), lambda term: F.contains(folded, term)), F.lit(False)

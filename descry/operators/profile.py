@@ -12,7 +12,7 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -373,28 +373,36 @@ def quality_table(
 # --- fingerprint ----------------------------------------------------------------------------------------------
 
 
-def dataset_fingerprint(df: DataFrame, settings: Mapping[str, object] | None = None) -> DataFrame:
-    """An order-insensitive key of content, included columns and settings, for reuse of stored results.
-
-    Row hashes are combined by XOR and by an exact sum, next to the row count, in one aggregate without a shuffle
-    of rows; the three are hashed with the settings by SHA-256.
-    """
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of the content of a row. The position of a missing cell counts, because xxhash64 skips NULLs."""
     keys = [P.identity_key(P.ref(f.name), f.dataType) for f in df.schema.fields]
-    # The position of a missing cell must count, because xxhash64 skips NULLs.
-    gaps = F.array(*[key.isNull() for key in keys])
-    row_hash = F.xxhash64(gaps, *keys)
+    return F.xxhash64(F.array(*[key.isNull() for key in keys]), *keys)
+
+
+def combined_hashes(rows: Column, hash_xor: Column, hash_sum: Column) -> list[Column]:
+    """Totals of the counts, XORs and exact sums of parts of a table; those of the parts give those of the whole."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    return [F.coalesce(F.sum(rows), F.lit(0)).alias("rows"), F.coalesce(F.bit_xor(hash_xor), F.lit(0)).alias("hash_xor"),
+            F.coalesce(F.sum(hash_sum).cast("decimal(38,0)"), zero).alias("hash_sum")]
+
+
+def fingerprint_of(totals: DataFrame, schema: T.StructType, settings: Mapping[str, object] | None = None) -> DataFrame:
+    """(rows, fingerprint) from the totals of row hashes (rows, hash_xor, hash_sum), the columns and the settings."""
     declared = json.dumps(
-        {"columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields], "settings": dict(settings or {})},
+        {"columns": [[f.name, f.dataType.simpleString()] for f in schema.fields], "settings": dict(settings or {})},
         sort_keys=True, ensure_ascii=False, default=str,
     )
     prefix = hashlib.sha256(declared.encode("utf-8")).hexdigest()
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor(row_hash), F.lit(0)).alias("hash_xor"),
-        F.coalesce(F.sum(row_hash.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"),
-    ).select(
-        "rows",
-        F.sha2(
-            F.concat_ws("|", F.lit(prefix), F.col("rows"), F.col("hash_xor"), F.col("hash_sum")), 256
-        ).alias("fingerprint"),
-    )
+    text = F.concat_ws("|", F.lit(prefix), F.col("rows"), F.col("hash_xor"), F.col("hash_sum"))
+    return totals.select("rows", F.sha2(text, 256).alias("fingerprint"))
+
+
+def dataset_fingerprint(df: DataFrame, settings: Mapping[str, object] | None = None) -> DataFrame:
+    """An order-insensitive key of content, included columns and settings, for reuse of stored results.
+
+    Row hashes are combined by XOR and by an exact sum, next to the row count, in one aggregate without a shuffle
+    of rows; the three are hashed with the settings by SHA-256. ``folder_fingerprint`` keeps the parts of a growing folder.
+    """
+    hashed = row_hash(df)
+    totals = df.select(hashed.alias("_hash")).agg(*combined_hashes(F.lit(1).cast("bigint"), F.col("_hash"), F.col("_hash").cast("decimal(20,0)")))
+    return fingerprint_of(totals, df.schema, settings)

@@ -126,7 +126,7 @@ def report(df: DataFrame, settings: ReportSettings | None = None, *, parsing: Ma
     plans["fingerprint"] = lambda: profile.dataset_fingerprint(data, settings.as_dict() | {"parsing": dict(parsing or {})})
     if numeric:
         distinct = {} if settings.approximate_distinct else {n: by_label[n]["unique_nonmissing"] for n in numeric}
-        plans["numeric"] = lambda: describe.numeric_profile(data, numeric, distinct_counts=distinct)
+        plans["numeric"] = lambda: describe.numeric_profile(data, numeric, distinct_counts=distinct, reproducible=settings.reproducible)
         plans["numeric_text"] = lambda: numeric_table(tables["numeric"], settings.units)
     if categorical:
         plans["categorical"] = lambda: describe.categorical_profile(data, categorical)
@@ -227,13 +227,14 @@ def _selected_analysis(
             raise AnalysisError(f"{k} groups were observed; a group report takes 2–{settings.max_groups}.")
         distinct = by_label[outcome]["unique_nonmissing"] if small(outcome) else None
         plans["group"] = lambda: compare.group_statistics_detailed(
-            with_order, outcome, group, order_by=order_names, few_groups=k <= compare.FEW_GROUPS, outcome_distinct=distinct
+            with_order, outcome, group, order_by=order_names, few_groups=k <= compare.FEW_GROUPS, outcome_distinct=distinct,
+            reproducible=settings.reproducible,
         )
         plans["group_coverage"] = lambda: compare.group_coverage(data, outcome, group)
         covered = cache(lambda: compare.group_coverage(data, outcome, group).head()["valid_n"])
         fact = None
         if settings.independent_groups and k == 2:
-            effect = cache(lambda: compare.cohens_d(with_order, outcome, group, order_by=order_names))
+            effect = cache(lambda: compare.cohens_d(with_order, outcome, group, order_by=order_names, reproducible=settings.reproducible))
             plans["effect"] = effect
             fact = lambda: facts.difference_fact(effect(), covered())
         return _Analysis(chart("box", "group", [outcome, group], covered), fact)
@@ -241,7 +242,7 @@ def _selected_analysis(
         pair = [settings.relationship_first, settings.relationship_second]
         need(("numeric",), *pair)
         P.require_distinct(*pair)
-        relationship = cache(lambda: compare.pearson_relationship(data, *pair))
+        relationship = cache(lambda: compare.pearson_relationship(data, *pair, reproducible=settings.reproducible))
         plans["relationship"] = relationship
         return _Analysis(
             chart("scatter", "relationship", pair, lambda: relationship().head()["n"]),
@@ -252,7 +253,7 @@ def _selected_analysis(
         need(("numeric",), *pair)
         P.require_distinct(*pair)
         # The difference may have as many values as there are pairs of values, so only tiny columns count as few.
-        change = cache(lambda: compare.paired_change_statistics(data, *pair, few_values=small(*pair)))
+        change = cache(lambda: compare.paired_change_statistics(data, *pair, few_values=small(*pair), reproducible=settings.reproducible))
         plans["change"] = change
         n = lambda: data.agg(F.count_if(P.finite(P.ref(pair[0])).isNotNull() & P.finite(P.ref(pair[1])).isNotNull())).head()[0]
         return _Analysis(chart("paired", "change", pair, n), lambda: facts.change_fact(change()))
@@ -260,7 +261,7 @@ def _selected_analysis(
         date, outcome = settings.date_variable, settings.time_outcome
         need(("date",), date)
         need(("numeric",), outcome)
-        plans["time"] = lambda: compare.date_mean_series(data, date, outcome)
+        plans["time"] = lambda: compare.date_mean_series(data, date, outcome, reproducible=settings.reproducible)
         coverage = cache(lambda: compare.date_series_coverage(data, date, outcome))
         plans["time_coverage"] = coverage
         return _Analysis(

@@ -48,6 +48,8 @@ class ReportSettings:
     time_outcome: str | None = None
     preferred_chart: str | None = None
     approximate_distinct: bool = False
+    #: Means, standard deviations and what follows from them by exact sums: the same bits for any partitioning, two more passes.
+    reproducible: bool = False
     #: Most groups that a group report accepts, characters of study context, frequency tables shown; None: no limit.
     max_groups: int = 20
     max_context: int | None = None

@@ -285,7 +285,7 @@ def header_audit(
     else:
         fields = split_fields(F.col("line"), separator)
     head = first.select("file", F.transform(fields, text.strip).alias("labels"))
-    folded = F.transform("labels", F.lower)
+    folded = F.transform("labels", text.fold)
     checked = head.select(
         "file", F.size("labels").alias("columns"),
         F.size(F.filter("labels", lambda label: label == "")).alias("blank_labels"),
