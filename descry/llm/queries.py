@@ -81,7 +81,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Trained on the labels of the documents outside the held-out fold."""
     known = table(spark, sf_dir, "labels").where(language.fold(3) != 1)
-    return toxicity.train(toxicity.labelled(table(spark, sf_dir, "documents"), known))
+    return toxicity.train(table(spark, sf_dir, "documents"), known)
 
 
 @query

@@ -340,16 +340,16 @@ def test_toxicity(docs, empty, spark):
     plain = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
     texts = [(i, " ".join(rng.choice(plain, 30)) + (" vile beast" if i % 3 == 0 else " kind beast"), "en", int(i % 3 == 0)) for i in range(400)]
     labelled = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, toxic int")
-    model = toxicity.train(labelled, toxicity.Training(epochs=8))
+    model = toxicity.train(labelled, labelled, toxicity.Training(epochs=8))
     test = spark.createDataFrame([(i, " ".join(rng.choice(plain, 60)) + (" vile" if i % 2 else "")) for i in range(100)], "doc_id bigint, text string")
     got = toxicity.score(test, model).collect()
     assert sum(r["predicted"] == r["doc_id"] % 2 for r in got) >= 95
     every = toxicity.score(docs, model).collect()
     assert len(every) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in every)
     assert toxicity.score(empty, model).count() == 0 and toxicity.not_rejected(docs, model).columns == docs.columns
-    one = toxicity.train(labelled.where("toxic = 0"))
+    one = toxicity.train(labelled, labelled.where("toxic = 0"))
     assert toxicity.score(docs, one).where("predicted = 1").count() == 0
-    assert toxicity.train(labelled.limit(0)).languages == [""]
+    assert toxicity.train(labelled.limit(0), labelled).languages == [""]
 
 
 def test_toxicity_of_a_text_is_its_own():
