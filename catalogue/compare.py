@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import DIRTY_SQL, events_dirty, query, rounded, table
 from descry.operators import compare
+from descry.plans.sinks import materialized
+from descry.session import scratch_path
+from descry.sources.delimited import strict_scan
 
 PAIRS_SQL = "pairs AS (SELECT l_extendedprice AS pre, l_extendedprice * (1 - l_discount) AS post FROM lineitem)"
 
@@ -80,6 +83,66 @@ def cohens_d(spark, folder):
     return found.withColumns({"mean_difference": rounded("mean_difference"), "cohens_d": rounded("cohens_d")})
 
 
+#: The place of a row in its file: DuckDB reads a file's rows in order.
+_IN_FILE = "SELECT *, row_number() OVER () - 1 AS place FROM lineitem"
+
+
+@query("cohens_d_file_order", f"""WITH l AS ({_IN_FILE}), g AS (SELECT l_linestatus AS label, count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v,
+  min(place) AS o FROM l GROUP BY l_linestatus),
+r AS (SELECT *, row_number() OVER (ORDER BY o) AS rn FROM g),
+p AS (SELECT max(label) FILTER (WHERE rn = 1) AS group_1, max(label) FILTER (WHERE rn = 2) AS group_2, max(n) FILTER (WHERE rn = 1) AS n_1,
+  max(n) FILTER (WHERE rn = 2) AS n_2, max(m) FILTER (WHERE rn = 1) - max(m) FILTER (WHERE rn = 2) AS d,
+  sqrt(sum((n - 1) * v) / (sum(n) - 2)) AS s FROM r)
+SELECT group_1, group_2, n_1, n_2, round(d, 6) AS mean_difference, round(d / s, 6) AS cohens_d, CAST(NULL AS VARCHAR) AS reason FROM p""")
+def cohens_d_file_order(spark, folder):
+    """The first group is the one that the file shows first; no order column is named. Moments come from exact sums."""
+    found = compare.cohens_d(table(spark, folder, "lineitem").repartition(5), "l_quantity", "l_linestatus", reproducible=True)
+    return found.withColumns({"mean_difference": rounded("mean_difference"), "cohens_d": rounded("cohens_d")})
+
+
+@query("group_statistics_file_order", f"""WITH l AS ({_IN_FILE}) SELECT l_returnflag AS "group", count(l_tax) AS "N", round(avg(l_tax), 6) AS mean,
+  round(stddev_samp(l_tax), 6) AS std, min(l_tax) AS min, max(l_tax) AS max, min(place) AS first_seen FROM l GROUP BY l_returnflag""")
+def group_statistics_file_order(spark, folder):
+    found = compare.group_statistics(table(spark, folder, "lineitem"), "l_tax", "l_returnflag", reproducible=True)
+    return found.withColumns({"mean": rounded("mean"), "std": rounded("std"), "first_seen": F.col("first_seen.row")})
+
+
+@query("group_statistics_csv_order", f"""WITH l AS ({_IN_FILE}), d AS (SELECT l_shipdate::DATE::VARCHAR AS day, min(place) AS place, count(*) AS n FROM l GROUP BY 1)
+SELECT day, CAST(rank() OVER (ORDER BY place) AS INTEGER) AS seen, n FROM d QUALIFY seen <= 50""")
+def group_statistics_csv_order(spark, folder):
+    """The first fifty days that the lines of CSV files show, read in small splits: the report's order of groups."""
+    path = scratch_path(spark, "ordered")
+    days = table(spark, folder, "lineitem").selectExpr("CAST(CAST(l_shipdate AS DATE) AS STRING) AS day", "l_tax")
+    days.write.csv(path, header=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        found = compare.group_statistics(strict_scan(spark, path).typed(), "l_tax", "day")
+        found = materialized(found.select("group", "N", "first_seen"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.orderBy("first_seen").limit(50).selectExpr("`group` AS day", "rank() OVER (ORDER BY first_seen) AS seen", "N AS n")
+
+
+@query("reproducible_group_statistics", f"""{DIRTY_SQL}, g AS (SELECT event_type, fv, event_id FROM finite WHERE event_type IS NOT NULL)
+SELECT event_type AS "group", count(fv) AS n, round(fsum(fv) / count(fv), 6) AS mean, round(stddev_samp(fv), 6) AS sd, 1 AS variants FROM g GROUP BY event_type""")
+def reproducible_group_statistics(spark, folder):
+    """Mean and sd of each group under three partitionings: how many different pairs of doubles come out."""
+    events = events_dirty(spark, folder)
+    parts = [events, events.repartition(7, "event_id"), events.repartition(29)]
+    found = [compare.group_statistics_detailed(part, "value", "event_type", order_by=["event_id"], reproducible=True).select("group", "n", "mean", "sd") for part in parts]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("group").agg(
+        F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), F.round(F.max("sd"), 6).alias("sd"), F.count_distinct("mean", "sd").cast("int").alias("variants"))
+
+
+@query("reproducible_pearson", f"""{DIRTY_SQL}, p AS (SELECT fv AS x, post_value AS y FROM finite WHERE fv IS NOT NULL AND post_value IS NOT NULL)
+SELECT 'value' AS first, 'post_value' AS second, count(*) AS n, (SELECT count(*) FROM dirty) - count(*) AS excluded_count,
+  round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS r, CAST(NULL AS VARCHAR) AS reason FROM p""")
+def reproducible_pearson(spark, folder):
+    return compare.pearson_relationship(events_dirty(spark, folder), "value", "post_value", reproducible=True).withColumn("r", rounded("r"))
+
+
 @query("cohens_d_undefined", """SELECT CAST(NULL AS VARCHAR) AS group_1, CAST(NULL AS VARCHAR) AS group_2, CAST(NULL AS BIGINT) AS n_1,
   CAST(NULL AS BIGINT) AS n_2, CAST(NULL AS DOUBLE) AS mean_difference, CAST(NULL AS DOUBLE) AS cohens_d,
   CASE WHEN count(DISTINCT o_orderstatus) <> 2 THEN 'not_two_groups' ELSE 'unexpected' END AS reason FROM orders""")
@@ -112,6 +175,12 @@ def paired_change(spark, folder):
     return found.withColumns({name: rounded(name, 4) for name in ("mean", "sd", "median")})
 
 
+@query("reproducible_paired_change", f"WITH {PAIRS_SQL} {_change('pre', 'pre')} UNION ALL {_change('post', 'post')} UNION ALL {_change('change', 'post - pre')}")
+def reproducible_paired_change(spark, folder):
+    found = compare.paired_change_statistics(priced_lines(spark, folder), "pre", "post", reproducible=True)
+    return found.withColumns({name: rounded(name, 4) for name in ("mean", "sd", "median")})
+
+
 @query("paired_change_incomplete", f"""{DIRTY_SQL}, p AS (SELECT fv AS pre, post_value AS post FROM finite WHERE fv IS NOT NULL AND post_value IS NOT NULL)
 """ + " UNION ALL ".join(
     f"""SELECT '{name}' AS measure, count(*) AS n, round(avg({value}), 6) AS mean, round(stddev_samp({value}), 6) AS sd,

@@ -1,5 +1,6 @@
 """Queries on delimited text. The files are written by Spark from the test tables into the shared folder."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,37 +47,71 @@ def csv_default_na_scan(spark, folder):
     return _by_code(delimited.lenient_scan(spark, path).typed())
 
 
-def _with_file(found: DataFrame, *columns: str) -> DataFrame:
-    """The audit's columns by the name of the file's folder; the folders are written by the query, so they are known."""
-    return found.select(F.element_at(F.split("file", "/"), -2).alias("folder"), *columns)
+def _by_folder(found: DataFrame, *columns: str) -> DataFrame:
+    """The audit's verdicts by the folder of the files, which the query has written; equal ones once, with the most lines."""
+    return found.groupBy(F.element_at(F.split("file", "/"), -2).alias("folder"), *columns)
 
 
 @query("csv_separator_audit", """WITH k AS (SELECT least(count(*) + 1, 12) AS n FROM orders), f(folder, comma, semicolon, tab, separator, verdict) AS (VALUES
   ('comma', 2, NULL, NULL, ',', 'detected'), ('semicolon', NULL, 2, NULL, ';', 'detected'), ('tab', NULL, NULL, 2, chr(9), 'detected'), ('single', NULL, NULL, NULL, NULL, 'ambiguous'))
 SELECT folder, CAST(n AS BIGINT) AS lines, CAST(comma AS BIGINT) AS comma, CAST(semicolon AS BIGINT) AS semicolon, CAST(tab AS BIGINT) AS tab, separator, verdict FROM f, k""")
 def csv_separator_audit(spark, folder):
-    """Files of the same orders with each separator, and with one column only; one row per file."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").repartition(1)
+    """Files of the same orders with each separator, and with one column only; every file of a folder must look alike."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     base = scratch_path(spark, "separators")
     for name, mark in zip(("comma", "semicolon", "tab"), delimited.SEPARATORS):
         orders.write.csv(f"{base}/{name}", sep=mark, header=True)
     orders.select("o_orderkey").write.csv(f"{base}/single", header=True)
     found = delimited.separator_audit(spark, [f"{base}/{name}" for name in ("comma", "semicolon", "tab", "single")])
-    return _with_file(found, "lines", "comma", "semicolon", "tab", "separator", "verdict")
+    return _by_folder(found, "comma", "semicolon", "tab", "separator", "verdict").agg(F.max("lines").alias("lines"))
 
 
-@query("csv_header_audit", """SELECT * FROM (VALUES ('good', 3, 0, 0, false, 'ok'), ('blank', 3, 1, 0, false, 'blank_label'),
-  ('double', 3, 0, 1, false, 'duplicate_label'), ('tabbed', 3, 0, 0, false, 'ok')) AS t(folder, columns, blank_labels, duplicate_labels, has_nul, verdict)""")
+@query("csv_header_audit", """SELECT folder, columns, blank_labels, duplicate_labels, false AS has_nul, verdict, count(*) > 0 AS found FROM supplier, (VALUES
+  ('good', 3, 0, 0, 'ok'), ('blank', 3, 1, 0, 'blank_label'), ('double', 3, 0, 1, 'duplicate_label'), ('folded', 3, 0, 1, 'duplicate_label'),
+  ('tabbed', 3, 0, 0, 'ok')) AS t(folder, columns, blank_labels, duplicate_labels, verdict) GROUP BY ALL""")
 def csv_header_audit(spark, folder):
-    """Files of the same suppliers under good, blank and repeated labels, one with tabs; one row per file."""
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(1)
+    """Files of the same suppliers under good, blank and repeated labels (also by case folding), one with tabs."""
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     base = scratch_path(spark, "headers")
-    headers = {"good": ("key", "name", "balance"), "blank": ("key", " ", "balance"), "double": ("key", "name", "name ")}
+    headers = {"good": ("key", "name", "balance"), "blank": ("key", " ", "balance"), "double": ("key", "name", "name "), "folded": ("key", "Maß", "MASS")}
     for name, labels in headers.items():
         suppliers.toDF(*labels).write.csv(f"{base}/{name}", header=True)
     suppliers.toDF(*headers["good"]).write.csv(f"{base}/tabbed", header=True, sep="\t")
     found = delimited.header_audit(spark, [f"{base}/{name}" for name in (*headers, "tabbed")], separator=None)
-    return _with_file(found, "columns", "blank_labels", "duplicate_labels", "has_nul", "verdict")
+    return _by_folder(found, "columns", "blank_labels", "duplicate_labels", "has_nul", "verdict").agg((F.count("*") > 0).alias("found"))
+
+
+@query("csv_binary_audit", """SELECT 'part=' || event_id % 8 AS folder, 2 AS columns, event_id % 8 < 3 AS has_nul, CASE WHEN event_id % 8 < 3 THEN 'binary' ELSE 'ok' END AS verdict
+FROM events GROUP BY ALL UNION ALL SELECT 'none', 0, false, 'empty'""")
+def csv_binary_audit(spark, folder):
+    """Files with NUL in their second line (the first three parts), with NUL only beyond the bytes looked at, and without any byte."""
+    events = table(spark, folder, "events").selectExpr("event_id % 8 AS part", "event_id AS place", "row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS n")
+    lines = events.selectExpr("part", "place", "concat(place, ',', IF(part < 3 AND n = 1 OR part = 3 AND n > 60, chr(0), 'x'), repeat('y', 90)) AS line")
+    headers = events.selectExpr("part", "-1L AS place", "'key,fill' AS line").distinct()
+    base = scratch_path(spark, "binary")
+    files = lines.unionByName(headers).repartition("part").sortWithinPartitions("part", "place")
+    files.select("part", "line").write.partitionBy("part").text(f"{base}/filled")
+    table(spark, folder, "events").where("event_id < 0").select("event_type").write.text(f"{base}/none")
+    found = delimited.header_audit(spark, [f"{base}/filled/part=*", f"{base}/none"])
+    return _by_folder(found, "columns", "has_nul", "verdict").agg(F.count("*").alias("files")).drop("files")
+
+
+@query("csv_gb18030_scan", """SELECT lang, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(label)) AS BIGINT) AS letters, min(label) AS first_label FROM (
+  SELECT doc_id, lang, '组别 €' || lang || ' ß;' || doc_id % 7 AS label FROM documents) GROUP BY lang""")
+def csv_gb18030_scan(spark, folder):
+    """Texts of many alphabets in an encoding that Spark's reader does not take."""
+    labelled = table(spark, folder, "documents").selectExpr("doc_id", "lang", "concat('组别 €', lang, ' ß;', doc_id % 7) AS label")
+
+    def encoded(batches):
+        for batch in batches:
+            columns = [pa.array([None if v is None else str(v).encode("gb18030").decode("latin-1") for v in c.to_pylist()], pa.string()) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    path = scratch_path(spark, "gb18030")
+    octets = labelled.mapInArrow(encoded, "doc_id string, lang string, label string").toDF("doc_id", "lang", "标签".encode("gb18030").decode("latin-1"))
+    octets.write.options(header=True, quote='"', escape='"', encoding="ISO-8859-1").csv(path)
+    found = delimited.strict_scan(spark, path, encoding="GB18030").typed()
+    return found.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"), F.sum(F.length("标签")).alias("letters"), F.min("标签").alias("first_label"))
 
 
 @query("csv_blank_lines", "SELECT CAST(event_id % 8 AS VARCHAR) AS part, count(*) AS blank_lines FROM events WHERE event_id % 101 = 0 GROUP BY 1")

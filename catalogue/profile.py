@@ -10,7 +10,9 @@ from catalogue.registry import (
 )
 from descry.functions.sqltext import display_label
 from descry.operators import charts, profile
+from descry.plans import incremental
 from descry.plans.report import relabel
+from descry.session import scratch_path
 
 ROLE_TABLES = ("orders", "events", "part", "documents", "labels", "customer", "conversations", "lineitem")
 NUMERIC_DIRTY = ("event_id", "user_id", "value", "post_value")
@@ -218,3 +220,60 @@ SELECT 'missingness' AS kind UNION ALL SELECT 'histogram' WHERE EXISTS (SELECT 1
 UNION ALL SELECT 'bar' WHERE EXISTS (SELECT 1 FROM p WHERE role IN ('categorical', 'ordinal'))""")
 def compatible_charts(spark, folder):
     return charts.compatible_chart_kinds(profile.profile(table(spark, folder, "orders")))
+
+
+def _growing(spark, folder, name: str):
+    """A folder of orders that has been summarised once and then had files added, with what reads a list of its files."""
+    orders = table(spark, folder, "orders")
+    base = scratch_path(spark, name)
+    orders.where("o_orderkey % 4 < 3").repartition(4, "o_custkey").write.parquet(f"{base}/data/first")
+
+    def read(files):
+        return spark.read.parquet(*files)
+
+    def grow():
+        orders.where("o_orderkey % 4 = 3").write.parquet(f"{base}/data/second")
+
+    return f"{base}/data", f"{base}/store", read, grow
+
+
+@query("folder_fingerprint", """SELECT count(*) AS rows, true AS same_as_whole, true AS only_new_read FROM orders""")
+def folder_fingerprint(spark, folder):
+    """The fingerprint of a folder that grew, from stored parts and the new files alone, against that of the whole."""
+    data, store, read, grow = _growing(spark, folder, "growing")
+    first = incremental.update_folder(spark, data, store, read, incremental.file_hashes)
+    grow()
+    second = incremental.update_folder(spark, data, store, read, incremental.file_hashes)
+    whole = profile.dataset_fingerprint(read([row["file"] for row in second.rows.select("file").collect()]))
+    parts = incremental.folder_fingerprint(spark, data, store, read)
+    compared = parts.join(whole.toDF("whole_rows", "whole"), F.col("rows") == F.col("whole_rows"))  # one row each
+    return compared.select("rows", (F.col("fingerprint") == F.col("whole")).alias("same_as_whole"), F.lit(second.files_kept == first.files_read).alias("only_new_read"))
+
+
+@query("folder_distinct_counts", """SELECT 'o_custkey' AS variable, count(o_custkey) AS nonmissing, count(*) - count(o_custkey) AS missing, true AS within_bound FROM orders
+UNION ALL SELECT 'o_orderpriority', count(o_orderpriority), count(*) - count(o_orderpriority), true FROM orders""")
+def folder_distinct_counts(spark, folder):
+    """Distinct counts of a folder that grew, from sketches of its files; within the stated bound of the exact ones."""
+    data, store, read, grow = _growing(spark, folder, "distinct")
+    columns = ["o_custkey", "o_orderpriority"]
+    incremental.folder_distinct_counts(spark, data, store, read, columns)
+    grow()
+    found = incremental.folder_distinct_counts(spark, data, store, read, columns)
+    exact = profile.profile(table(spark, folder, "orders").select(*columns)).selectExpr("label", "unique_nonmissing AS exact")
+    close = F.abs(F.col("unique_nonmissing") - F.col("exact")) <= incremental.HLL_ERROR * F.col("exact") + 1
+    return found.join(exact, F.col("variable") == F.col("label")).select("variable", "nonmissing", "missing", close.alias("within_bound"))
+
+
+@query("folder_quantiles", " UNION ALL ".join(
+    f"SELECT CAST({p} AS DOUBLE) AS probability, count(*) AS n, true AS within_bound FROM orders" for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
+def folder_quantiles(spark, folder):
+    """Quantiles of a folder that grew, from sketches of its files; their exact ranks are within the stated bound."""
+    data, store, read, grow = _growing(spark, folder, "quantiles")
+    probabilities = [0.05, 0.25, 0.5, 0.75, 0.95]
+    incremental.folder_quantiles(spark, data, store, read, ["o_totalprice"], probabilities)
+    grow()
+    found = incremental.folder_quantiles(spark, data, store, read, ["o_totalprice"], probabilities)
+    ranks = table(spark, folder, "orders").join(F.broadcast(found), F.lit(True)).groupBy("probability", "n").agg(  # five rows
+        F.avg((F.col("o_totalprice") < F.col("quantile")).cast("int")).alias("low"), F.avg((F.col("o_totalprice") <= F.col("quantile")).cast("int")).alias("high"))
+    bound = incremental.KLL_RANK_ERROR
+    return ranks.select("probability", "n", ((F.col("low") - bound <= F.col("probability")) & (F.col("probability") <= F.col("high") + bound)).alias("within_bound"))

@@ -64,7 +64,8 @@ def _box_parts(df: DataFrame, outcome: str, group: str, order_by: Sequence[str]
     groups = rows.groupBy("group").agg(F.count("value").alias("n"), _first_seen(order_by))
     quartiles = exact_quantiles(rows, ["group"], "value", [0.25, 0.5, 0.75], few_keys=count <= FEW_GROUPS)
     reach = F.lit(1.5) * (F.col("q2") - F.col("q0"))
-    fences = groups.join(F.broadcast(quartiles), "group", "left").select(
+    few = count <= FEW_GROUPS  # else Spark decides by size
+    fences = groups.join(F.broadcast(quartiles) if few else quartiles, "group", "left").select(
         "group", "n", "first_seen", "q0", "q1", "q2",
         (F.col("q0") - reach).alias("low_fence"), (F.col("q2") + reach).alias("high_fence"),
     )

@@ -1,7 +1,8 @@
 """Delimited text: strict and lenient scans, type inference, and per-file audits of whole directories.
 
 Scans go through Spark's CSV reader with every column as text; types are decided afterwards from counts. Audits
-read files as text lines, so that they see what the CSV reader would silently drop, pad or cut.
+look at text lines, so that they see what the CSV reader would silently drop, pad or cut; those of separators and headers
+read only the first lines of a file.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +19,12 @@ from descry.errors import AnalysisError
 from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions import text
-from descry.functions.wide import aggregate_rows, literal_table
+from descry.functions.wide import aggregate_rows
+from descry.sources.heads import decode_columns, first_lines, redecoded, spark_encoding
 
-# Candidate separators, lines inspected, bytes inspected for NUL, and the tokens the lenient scan
-# treats as missing.
+# Candidate separators, lines inspected, and the tokens the lenient scan treats as missing.
 SEPARATORS = (",", ";", "\t")
 DETECTION_LINES = 12
-SNIFFED_BYTES = 4096
 MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -51,7 +51,7 @@ def check_labels(labels: Sequence[str | None], max_columns: int | None = None) -
 
 def _reader(spark: SparkSession, separator: str, encoding: str, multiline: bool):
     return (
-        spark.read.option("sep", separator).option("encoding", encoding).option("multiLine", multiline)
+        spark.read.option("sep", separator).option("encoding", spark_encoding(encoding)).option("multiLine", multiline)
         .option("quote", '"').option("escape", '"').option("nullValue", "").option("columnPruning", False)
     )
 
@@ -87,7 +87,8 @@ def strict_scan(
     fails with the name of a file that differs. A row with too few or too many fields fails the job that reads it; with
     ``reject_ragged=False`` such rows are kept and marked in ``_malformed``. The reader drops blank lines, so
     ``reject_blank`` (by default with ``reject_ragged``, unless ``multiline``) first counts them in a pass of its own.
-    ``separator=None`` takes the one that all files show. ``multiline`` admits line breaks inside quotes, at the price of
+    ``separator=None`` takes the one that all files show. ``encoding`` may be one that Spark does not read, such as GB18030:
+    files are then cut into fields by their bytes, and the fields are decoded in Python. ``multiline`` admits line breaks inside quotes, at the price of
     unsplittable files.
     """
     separator = common_separator(spark, path, encoding=encoding) if separator is None else separator
@@ -95,22 +96,23 @@ def strict_scan(
     if first is None:
         raise AnalysisError("There is no line in these files.")
     raw = ["" if label is None else label for label in first]
-    labels = check_labels([raw[0].removeprefix(_BOM), *raw[1:]], max_columns)
+    spelled = raw if spark_encoding(encoding) == encoding else [redecoded(label, encoding) for label in raw]
+    labels = check_labels([spelled[0].removeprefix(_BOM), *spelled[1:]], max_columns)
     if reject_blank or (reject_blank is None and reject_ragged and not multiline):
         _require_no_blank_lines(spark, path, encoding)
     # The header check compares names as they are written; they are trimmed afterwards.
     schema = T.StructType([T.StructField(label, T.StringType()) for label in raw])
     reader = _reader(spark, separator, encoding, multiline).option("header", True).option("enforceSchema", False)
     if reject_ragged:
-        return DelimitedScan(reader.schema(schema).option("mode", "FAILFAST").csv(path).toDF(*labels), labels, decimal)
+        return DelimitedScan(decode_columns(reader.schema(schema).option("mode", "FAILFAST").csv(path).toDF(*labels), encoding), labels, decimal)
     schema = schema.add("_malformed", T.StringType())
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
-    return DelimitedScan(reader.schema(schema).csv(path).toDF(*labels, "_malformed"), labels, decimal)
+    return DelimitedScan(decode_columns(reader.schema(schema).csv(path).toDF(*labels, "_malformed"), encoding), labels, decimal)
 
 
 def blank_lines(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> DataFrame:
     """Files with lines that the reader of delimited text drops, and their number: file, blank_lines."""
-    lines = spark.read.option("encoding", encoding).text(path)
+    lines = spark.read.option("encoding", spark_encoding(encoding)).text(path)
     blank = lines.where(F.trim("value") == "").select(F.col("_metadata.file_path").alias("file"))
     return blank.groupBy("file").agg(F.count(F.lit(1)).alias("blank_lines"))
 
@@ -191,27 +193,27 @@ def decimal_numbers(df: DataFrame, columns: Sequence[str], decimal: str = ",") -
 
 def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """Every line with its file; ``place`` increases along each split of a file."""
-    return spark.read.option("encoding", encoding).text(path).select(
+    return spark.read.option("encoding", spark_encoding(encoding)).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", "^" + _BOM, "").alias("line"), F.monotonically_increasing_id().alias("place"),
     )
 
 
-def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files without any byte: those of the listing, which the driver has anyway, that a scan leaves out. Reads no content."""
-    source = spark.read.format("binaryFile").load(path)
-    listed = literal_table(spark, [{"file": name} for name in source.inputFiles()], "file string")
-    scanned = source.select(F.col("_metadata.file_path").alias("scanned"))
-    # A local path may be spelled with one slash or three.
-    place = lambda name: F.regexp_replace(name, "^([a-z]+):/+", "$1:/")
-    return listed.join(scanned, place("file") == place("scanned"), "left_anti")
+def _separators(heads: DataFrame) -> DataFrame:
+    """``heads`` (see ``first_lines``) with filled, comma, semicolon, tab, separator and sep_verdict; no shuffle."""
+    names = {",": "comma", ";": "semicolon", "\t": "tab"}
+    judged = heads.withColumn("filled", F.filter(F.slice("lines", 1, DETECTION_LINES), lambda line: text.strip(line) != ""))
 
+    def viable(mark: str) -> Column:
+        counts = F.transform("filled", lambda line: F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit(""))))
+        steady = (F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts))
+        return F.when(steady, F.array_min(counts)).cast("bigint")
 
-def _first_lines(spark: SparkSession, path: str | list[str], count: int, encoding: str) -> DataFrame:
-    """The first lines of every file. They lie in its first split, and each task keeps only ``count`` of them."""
-    order = Window.partitionBy("file").orderBy("place")
-    first_split = _lines(spark, path, encoding).where(F.col("block") == 0)
-    return first_split.withColumn("line_no", F.row_number().over(order)).where(F.col("line_no") <= count)
+    judged = judged.withColumns({name: viable(mark) for mark, name in names.items()})
+    best = F.greatest(*[F.col(name) for name in names.values()])
+    winners = F.array_compact(F.array(*[F.when(F.col(n) == best, F.lit(mark)) for mark, n in names.items()]))
+    verdict = F.when(F.size("filled") == 0, F.lit("empty")).when(F.col("separator").isNotNull(), F.lit("detected")).otherwise(F.lit("ambiguous"))
+    return judged.withColumn("separator", F.when(F.size(winners) == 1, F.get(winners, F.lit(0)))).withColumn("sep_verdict", verdict)
 
 
 def separator_audit(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> DataFrame:
@@ -219,35 +221,10 @@ def separator_audit(spark: SparkSession, path: str | list[str], *, encoding: str
 
     A separator is viable when it occurs equally often, and at all, in each non-blank line. One viable separator
     wins; among several the strictly most frequent; else the file is ambiguous. Files without a filled line, also those
-    without any byte, are empty.
+    without any byte, are empty. Of each file only the head is read.
     """
-    names = {",": "comma", ";": "semicolon", "\t": "tab"}
-    lines = _first_lines(spark, path, DETECTION_LINES, encoding)
-    filled = text.strip(F.col("line")) != ""
-    ranges = []
-    for mark, name in names.items():
-        occurrences = F.when(filled, F.length("line") - F.length(F.replace("line", F.lit(mark), F.lit(""))))
-        ranges += [F.min(occurrences).alias(f"{name}_min"), F.max(occurrences).alias(f"{name}_max")]
-    counts = lines.groupBy("file").agg(F.count_if(filled).alias("lines"), *ranges)
-    empty = _empty_files(spark, path).withColumn("lines", F.lit(0).cast("bigint"))
-    counts = counts.unionByName(empty, allowMissingColumns=True)
-
-    def viable(name: str) -> Column:
-        steady = (F.col(f"{name}_min") > 0) & (F.col(f"{name}_min") == F.col(f"{name}_max"))
-        return F.when(steady, F.col(f"{name}_min")).cast("bigint")
-
-    best = F.greatest(*[F.col(name) for name in names.values()])
-    winners = F.array_compact(F.array(*[F.when(F.col(n) == best, F.lit(mark)) for mark, n in names.items()]))
-    return (
-        counts.select("file", "lines", *[viable(name).alias(name) for name in names.values()])
-        .withColumn("_winners", winners)
-        .select(
-            "file", "lines", *names.values(),
-            F.when(F.size("_winners") == 1, F.col("_winners")[0]).alias("separator"),
-            F.when(F.col("lines") == 0, F.lit("empty")).when(F.size("_winners") == 1, F.lit("detected"))
-            .otherwise(F.lit("ambiguous")).alias("verdict"),
-        )
-    )
+    found = _separators(first_lines(spark, path, DETECTION_LINES, encoding=encoding))
+    return found.select("file", F.size("filled").cast("bigint").alias("lines"), "comma", "semicolon", "tab", "separator", F.col("sep_verdict").alias("verdict"))
 
 
 def split_fields(line: Column, separator: str) -> Column:
@@ -271,47 +248,39 @@ def header_audit(
 ) -> DataFrame:
     """Header problems and binary content per file: file, columns, blank_labels, duplicate_labels, has_nul, verdict.
 
-    ``separator=None`` uses the one detected for each file (a comma where it is unclear). Files without any byte have no
-    columns and the verdict ``empty``.
+    ``separator=None`` uses the one detected for each file (a comma where it is unclear). Labels are compared regardless of
+    case by full folding, as a scan does. Files without any byte have no columns and the verdict ``empty``. Of each file only
+    the head is read; a header line beyond a megabyte is ``line_too_long``.
     """
-    first = _first_lines(spark, path, 1, encoding).select("file", "line")
+    heads = first_lines(spark, path, DETECTION_LINES if separator is None else 1, encoding=encoding)
+    first = F.get("lines", F.lit(0))
     if separator is None:
-        marks = separator_audit(spark, path, encoding=encoding).select("file", "separator")
-        first = first.join(marks, "file", "left")
+        heads = _separators(heads)
         fields = reduce(
-            lambda other, mark: F.when(F.col("separator") == mark, split_fields(F.col("line"), mark)).otherwise(other),
-            SEPARATORS[1:], split_fields(F.col("line"), SEPARATORS[0]),
+            lambda other, mark: F.when(F.col("separator") == mark, split_fields(first, mark)).otherwise(other),
+            SEPARATORS[1:], split_fields(first, SEPARATORS[0]),
         )
     else:
-        fields = split_fields(F.col("line"), separator)
-    head = first.select("file", F.transform(fields, text.strip).alias("labels"))
+        fields = split_fields(first, separator)
+    head = heads.select("file", F.transform(fields, text.strip).alias("labels"), "has_nul", (F.col("cut") & (F.size("lines") == 1)).alias("too_long"))
     folded = F.transform("labels", text.fold)
     checked = head.select(
-        "file", F.size("labels").alias("columns"),
-        F.size(F.filter("labels", lambda label: label == "")).alias("blank_labels"),
-        (F.size("labels") - F.size(F.array_distinct(folded))).alias("duplicate_labels"),
-    )
-    # NUL within the first 4096 bytes. Every line has a byte, its break, so each task keeps only that many lines of a file.
-    order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("line") + 1).over(order), F.lit(0))
-    sniffed = _first_lines(spark, path, SNIFFED_BYTES, encoding).withColumn("offset", offset).where(F.col("offset") < SNIFFED_BYTES)
-    nul_at = F.locate("\x00", F.col("line"))
-    nul = sniffed.groupBy("file").agg(
-        F.bool_or((nul_at > 0) & (F.col("offset") + nul_at <= SNIFFED_BYTES)).alias("has_nul")
+        "file", F.when(F.col("labels").isNull(), 0).otherwise(F.size("labels")).alias("columns"),
+        F.when(F.col("labels").isNull(), 0).otherwise(F.size(F.filter("labels", lambda label: label == ""))).alias("blank_labels"),
+        F.when(F.col("labels").isNull(), 0).otherwise(F.size("labels") - F.size(F.array_distinct(folded))).alias("duplicate_labels"),
+        "has_nul", "too_long",
     )
     verdict = (
-        F.when(F.col("has_nul"), F.lit("binary"))
+        F.when(F.col("columns") == 0, F.lit("empty"))
+        .when(F.col("has_nul"), F.lit("binary"))
+        .when(F.col("too_long"), F.lit("line_too_long"))
         .when(F.col("blank_labels") == F.col("columns"), F.lit("no_header"))
         .when(F.col("blank_labels") > 0, F.lit("blank_label"))
         .when(F.col("duplicate_labels") > 0, F.lit("duplicate_label"))
         .when(F.col("columns") > max_columns, F.lit("too_many_columns"))
         .otherwise(F.lit("ok"))
     )
-    empty = _empty_files(spark, path).select(
-        "file", *[F.lit(0).alias(name) for name in ("columns", "blank_labels", "duplicate_labels")], F.lit(False).alias("has_nul"),
-        F.lit("empty").alias("verdict"),
-    )
-    return checked.join(nul, "file").withColumn("verdict", verdict).unionByName(empty)
+    return checked.withColumn("verdict", verdict).drop("too_long")
 
 
 def ragged_audit(

@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _readable(df: DataFrame, *names: str) -> bool:
-    """Whether the table still knows these facts of the files it comes from."""
+def _known_of_files(df: DataFrame) -> list[str]:
+    """What the table still knows of the files that its rows come from."""
+    if not df.inputFiles():
+        return []
     try:
-        df.select(*[F.col(f"_metadata.{name}") for name in names])
-    except AnalysisException:
-        return False
-    return True
+        return df.select("_metadata").schema[0].dataType.fieldNames()
+    except AnalysisException:  # a union, an aggregate, or two sources
+        return []
 
 
 def _keeps_order(df: DataFrame) -> bool:
@@ -42,9 +43,9 @@ def row_position(df: DataFrame) -> Column | None:
     rows have not been moved between tasks, so a table that was shuffled or cached has none. Neither have unions, joins and
     aggregates, which mix rows of several places. With several files the order is that of their paths.
     """
-    path = F.col("_metadata.file_path").alias("file")
-    if _readable(df, "file_path", "row_index"):
+    path, known = F.col("_metadata.file_path").alias("file"), _known_of_files(df)
+    if "row_index" in known:
         return F.struct(path, F.lit(0).cast("bigint").alias("block"), F.col("_metadata.row_index").alias("row"))
-    if _readable(df, "file_path", "file_block_start") and _keeps_order(df):
+    if "file_block_start" in known and _keeps_order(df):
         return F.struct(path, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return None

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from descry import AnalysisError
-from descry.sources import delimited, tables
+from descry.functions import text
+from descry.operators import compare
+from descry.sources import delimited, heads, positions, tables
 
 
 def write(folder, **files):
@@ -145,5 +147,84 @@ def test_separator_is_found(spark, tmp_path):
     assert delimited.strict_scan(spark, path, separator=None).text.count() == 2
     audit = {r["file"].rsplit("/", 1)[1].split(".")[0]: r["verdict"] for r in delimited.separator_audit(spark, path).collect()}
     assert audit == {"one": "detected", "two": "detected", "none": "empty"}
-    heads = {r["file"].rsplit("/", 1)[1].split(".")[0]: (r["columns"], r["verdict"]) for r in delimited.header_audit(spark, path, separator=None).collect()}
-    assert heads == {"one": (2, "ok"), "two": (2, "ok"), "none": (0, "empty")}
+    audited = {r["file"].rsplit("/", 1)[1].split(".")[0]: (r["columns"], r["verdict"]) for r in delimited.header_audit(spark, path, separator=None).collect()}
+    assert audited == {"one": (2, "ok"), "two": (2, "ok"), "none": (0, "empty")}
+
+
+def test_encodings_that_spark_does_not_read(spark, tmp_path):
+    path = write(tmp_path, a='组别;分数\n"甲;乙";1,5\n乙; 2\n'.encode("gb18030"))
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    scan = delimited.strict_scan(spark, path, separator=";", encoding="GB18030", decimal=",")
+    assert scan.labels == ["组别", "分数"] and [tuple(r) for r in scan.typed().collect()] == [("甲;乙", 1.5), ("乙", 2.0)]
+    assert delimited.header_audit(spark, path, separator=";", encoding="gb18030").head()["verdict"] == "ok"
+    assert delimited.ragged_audit(spark, path, separator=";", encoding="gb18030").head()["malformed"] == 0
+    with pytest.raises(ValueError):
+        heads.spark_encoding("cp037")
+
+
+def test_only_heads_are_read(spark, tmp_path, monkeypatch):
+    lines = [f"{i},{'x' * 50}" for i in range(60_000)]
+    path = write(tmp_path, long="a,b\n" + "\n".join(lines), endless="z" * (3 << 20), old="a,b\r1,2\r\n3,4", none="", nul=b"a,\x00\n")
+    got = {r["file"].rsplit("/", 1)[1].split(".")[0]: r for r in heads.first_lines(spark, path, 12).collect()}
+    assert got["long"]["lines"] == ["a,b", *lines[:11]] and not got["long"]["cut"]
+    assert got["endless"]["cut"] and len(got["endless"]["lines"][0]) == heads.LIMIT
+    assert got["old"]["lines"] == ["a,b", "1,2", "3,4"] and got["none"]["lines"] == [] and got["nul"]["has_nul"]
+    by_spark = {r["file"].rsplit("/", 1)[1].split(".")[0]: (r["lines"], r["has_nul"]) for r in heads.first_lines(spark, path, 12, by_spark=True).collect()}
+    assert all(by_spark[name] == (got[name]["lines"], got[name]["has_nul"]) for name in ("long", "old", "none", "nul"))
+    read = []
+
+    class Counted:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, size):
+            data = self.stream.read(size)
+            read.append(len(data))
+            return data
+
+    opened = heads._opened
+    monkeypatch.setattr(heads, "_opened", lambda uri: Counted(opened(uri)))
+    heads._head(f"file:{path}/long.csv", 12, "UTF-8")
+    assert sum(read) == heads.CHUNK
+    heads._head(f"file:{path}/endless.csv", 12, "UTF-8")
+    assert sum(read) <= heads.CHUNK + heads.LIMIT
+    audit = {r["file"].rsplit("/", 1)[1].split(".")[0]: r["verdict"] for r in delimited.header_audit(spark, path).collect()}
+    assert audit == {"long": "ok", "endless": "line_too_long", "old": "ok", "none": "empty", "nul": "binary"}
+
+
+def test_case_folding_of_all_characters(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = [("".join(every[i : i + 1000]),) for i in range(0, len(every), 1000)] + [("Straße ΣΑΣ",), ("PLAIN",), (None,)]
+    for value, folded in spark.createDataFrame(rows, "t string").select("t", text.fold(F.col("t"))).collect():
+        assert folded == (None if value is None else value.casefold())
+
+
+@pytest.mark.parametrize("size", ["100b", "3k", "128m"])
+def test_rows_keep_the_order_of_their_files(spark, tmp_path, size):
+    rows = [(f"g{i * 7919 % 1000 % 37}", float(i)) for i in range(2000)]
+    seen = list(dict.fromkeys(g for g, _ in rows))
+    (tmp_path / "csv").mkdir()
+    write(tmp_path / "csv", one="g,x\n" + "".join(f"{g},{x}\n" for g, x in rows[:1200]), two="g,x\n" + "".join(f"{g},{x}\n" for g, x in rows[1200:]))
+    for i, (a, b) in enumerate(((0, 700), (700, 2000))):
+        spark.createDataFrame(rows[a:b], "g string, x double").coalesce(1).write.parquet(f"{tmp_path}/parquet/part{i}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        csv = delimited.strict_scan(spark, str(tmp_path / "csv")).typed()
+        stored = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/parquet")
+        for df in (csv, csv.where("x >= 0").withColumn("y", F.lit(1)), stored, stored.repartition(7)):
+            found = compare.group_statistics(df, "x", "g").orderBy("first_seen").collect()
+            assert [r["group"] for r in found] == seen
+        assert positions.row_position(csv.repartition(3)) is None and positions.row_position(stored.union(stored)) is None
+        assert positions.row_position(spark.range(3)) is None and compare.group_statistics(csv.repartition(3), "x", "g").head()["first_seen"] is None
+        two = stored.where("g IN ('g36', 'g1')")
+        found = compare.cohens_d(two, "x", "g").head()
+        assert (found["group_1"], found["group_2"]) == tuple(g for g in seen if g in ("g36", "g1"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
