@@ -148,6 +148,23 @@ def csv_ragged_audit(spark, folder):
     )
 
 
+@query("csv_record_audit", """SELECT CAST(3 AS INTEGER) AS columns, count(*) AS records, count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 77 = 0) AS malformed,
+  count(*) FILTER (WHERE event_id % 101 = 0) AS blank_lines, CAST(0 AS BIGINT) AS open_quotes FROM events""")
+def csv_record_audit(spark, folder):
+    """Records of which every third has line breaks and separators inside quotes; some have a field too many or none."""
+    lines = table(spark, folder, "events").selectExpr(
+        "event_id % 8 AS part", "1 AS place",
+        "CASE WHEN event_id % 101 = 0 THEN '' WHEN event_id % 77 = 0 THEN concat_ws(',', event_id, event_type, value, 'more') "
+        "WHEN event_id % 3 = 0 THEN concat(event_id, ',\"', event_type, ',\n', event_id, ' \"\"again\"\"\n\",', value) ELSE concat_ws(',', event_id, event_type, value) END AS line",
+    )
+    headers = spark.range(8).selectExpr("id AS part", "0 AS place", "'event_id,event_type,value' AS line")
+    path = scratch_path(spark, "records")
+    files = lines.unionByName(headers).repartition("part").sortWithinPartitions("part", "place")
+    files.select("part", "line").write.partitionBy("part").text(path)
+    found = delimited.ragged_audit(spark, path, quoted_breaks=True)
+    return found.groupBy("columns").agg(*[F.sum(name).alias(name) for name in ("records", "malformed", "blank_lines", "open_quotes")])
+
+
 @query("size_gate", """WITH n AS (SELECT count(*) AS rows FROM lineitem)
 SELECT 'rows' AS "check", CAST(100000 AS BIGINT) AS "limit", rows AS actual, rows <= 100000 AS passed FROM n
 UNION ALL SELECT 'columns', 250, 11, true UNION ALL SELECT 'cells', 2000000, rows * 11, rows * 11 <= 2000000 FROM n""")

@@ -95,25 +95,25 @@ def text_banned_terms(spark, folder):
 _BODY_PROBLEMS = {0: "not_an_object", 1: "not_an_object", 2: "unknown_language", 3: "unknown_field", 4: "missing_field", 5: "wrong_type", 6: "wrong_type", 7: "not_an_object"}
 
 
-@query("narrative_schema_check", f"""WITH r AS (SELECT conv_id, conv_id % 10 AS k, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY conv_id)
-SELECT CAST(conv_id AS VARCHAR) AS response_id, concat_ws(',', CASE WHEN k NOT IN (0, 1, 7) AND n > 8 THEN 'block_count' END,
+@query("narrative_schema_check", f"""WITH r AS (SELECT conv_id, turn // 12 AS part, conv_id % 10 AS k, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY 1, 2)
+SELECT conv_id || ':' || part AS response_id, concat_ws(',', CASE WHEN k NOT IN (0, 1, 7) AND n > 8 THEN 'block_count' END,
   CASE k {' '.join(f"WHEN {k} THEN '{name}'" for k, name in _BODY_PROBLEMS.items() if name in ('missing_field', 'not_an_object'))} END,
   CASE WHEN k NOT IN (0, 1, 4, 5, 7) AND longest > 3000 THEN 'prose_too_long' END, CASE k WHEN 3 THEN 'unknown_field' WHEN 2 THEN 'unknown_language' END,
   CASE WHEN k IN (5, 6) THEN 'wrong_type' END) AS problems FROM r""")
 def narrative_schema_check(spark, folder):
-    """Bodies made of whole conversations, some with wrong types, text after the end or missing fields."""
+    """Bodies made of the turns of conversations, some with wrong types, text after the end or missing fields."""
     kind = F.col("conv_id") % 10
     quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prose")))  # {"prose":"..."}
     prose = F.when(kind == 5, F.lit(',"prose":5')).when(kind == 4, F.lit("")).otherwise(
         F.concat(F.lit(","), quoted.substr(F.lit(2), F.length(quoted) - 2)))
     ids = F.when(kind == 6, F.lit('"a"')).otherwise(F.lit('["a"]'))
     block = F.concat(F.lit('{"section_id":"s"'), prose, F.lit(',"fact_ids":'), ids, F.lit("}"))
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", block.alias("block"))
-    # A conversation is one response; its turns are the blocks.
-    joined = turns.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "block")))["block"], ",").alias("blocks"))
+    turns = table(spark, folder, "conversations").select("conv_id", F.expr("turn div 12").alias("part"), "turn", block.alias("block"))
+    # Twelve turns of a conversation are one response, so that a long one does not become one row; the turns are the blocks.
+    joined = turns.groupBy("conv_id", "part").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "block")))["block"], ",").alias("blocks"))
     language = F.when(kind == 2, F.lit("fr")).otherwise(F.lit("es"))
     body = F.concat(F.lit('{"language":"'), language, F.lit('"'), F.when(kind == 3, F.lit(',"tone":1')).otherwise(""), F.lit(',"blocks":['), "blocks",
                     F.lit("]}"), F.when(kind == 7, F.lit(" and more")).otherwise(""))
     body = F.when(kind == 0, F.lit("not json")).when(kind == 1, F.lit("[]")).otherwise(body)
-    found = narrative.check_response_schema(joined.select(F.col("conv_id").cast("string").alias("response_id"), body.alias("body")))
+    found = narrative.check_response_schema(joined.select(F.concat_ws(":", "conv_id", "part").alias("response_id"), body.alias("body")))
     return found.select("response_id", F.array_join("problems", ",").alias("problems"))

@@ -122,7 +122,7 @@ def scatter_sample(
     ).where("x IS NOT NULL AND y IS NOT NULL")
     if portable:
         parts = ", ".join(f"coalesce(CAST({name} AS STRING), '')" for name in keys)
-        hashed, bits = f"md5(CAST(concat_ws('|', '{seed}', {parts}) AS BINARY))", "CAST(conv(left(_hash, 5), 16, 10) AS BIGINT)"
+        hashed, bits = f"md5(CAST(concat_ws('|', '{seed}', {parts}) AS BINARY))", "left(_hash, 5)"  # hex digits compare as text
     else:
         hashed, bits = f"shiftrightunsigned(xxhash64({', '.join([str(seed), *keys, 'x', 'y'])}), 1)", "shiftright(_hash, 43)"
     pairs = pairs.selectExpr("*", f"{hashed} AS _hash").selectExpr("*", f"{bits} AS _bits")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from descry.functions import predicates as P
 from descry.functions import sqltext as Q
 from descry.functions import text
 from descry.functions.wide import aggregate_rows
+from descry.plans.sinks import materialized
 from descry.sources.heads import decode_columns, first_lines, redecoded, spark_encoding
 
 # Candidate separators, lines inspected, and the tokens the lenient scan treats as missing.
@@ -283,22 +284,18 @@ def header_audit(
     return checked.withColumn("verdict", verdict).drop("too_long")
 
 
-def ragged_audit(
-    spark: SparkSession, path: str | list[str], *, separator: str = ",", encoding: str = "UTF-8"
-) -> DataFrame:
-    """Records per file that do not have as many fields as the header; blank lines count as malformed.
-
-    file, columns, records, malformed, blank_lines, open_quotes. Lines are reduced to (file, field count) totals in
-    every task; files with line breaks inside quotes show up under ``open_quotes``.
-    """
-    lines = _lines(spark, path, encoding).select(
+def _line_counts(lines: DataFrame, separator: str) -> DataFrame:
+    """Per file: columns, records, malformed, blank_lines and open_quotes, every line taken as a record."""
+    counted = lines.select(
         "file", "block", "place", field_count(F.col("line"), separator).alias("fields"),
         (F.pmod(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))), F.lit(2)) == 1).alias("open"),
     )
-    totals = lines.groupBy("file", "fields").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open_quotes"),
-        F.min(F.struct("block", "place")).alias("first"),
-    )
+    return _counted_records(counted.groupBy("file", "fields").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open_quotes"), F.min(F.struct("block", "place")).alias("first")))
+
+
+def _counted_records(totals: DataFrame) -> DataFrame:
+    """The audit of ``totals``: file, fields, n, open_quotes, first; the record with the smallest ``first`` is the header."""
     # Both sides have one row per file and field count.
     headers = totals.groupBy("file").agg(F.min_by("fields", "first").alias("columns"))
     return totals.join(headers, "file").groupBy("file", "columns").agg(
@@ -307,3 +304,59 @@ def ragged_audit(
         F.sum(F.when(F.col("fields") == 0, F.col("n")).otherwise(0)).alias("blank_lines"),
         F.sum("open_quotes").alias("open_quotes"),
     )
+
+
+def _record_counts(lines: DataFrame, separator: str) -> DataFrame:
+    """The same, where a line break inside quotes belongs to its record.
+
+    Whether a line begins inside quotes follows from the number of quotes before it. It is summed in three steps, so that
+    no task holds more than one part of a file: in each part, over the totals of the parts, and both together.
+    """
+    pieces = F.split("line", '"', -1)
+    marks = lambda odd: F.aggregate(
+        F.transform(pieces, lambda piece, i: F.when(i % 2 == odd, F.length(piece) - F.length(F.replace(piece, F.lit(separator), F.lit("")))).otherwise(0)),
+        F.lit(0), lambda total, n: total + n)
+    counted = lines.select("file", "block", "place", (F.col("line") == "").alias("blank"), (F.size(pieces) - 1).alias("quotes"), marks(0).alias("outside"), marks(1).alias("inside"))
+    part = Window.partitionBy("file", "block").orderBy("place")
+    before = F.coalesce(F.sum("quotes").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.withColumn("before", before % 2)
+    # One row per part of a file: its quotes, and its last lines with an even and with an odd number of quotes before them.
+    parts = counted.groupBy("file", "block").agg(
+        F.sum("quotes").alias("quotes"), *[F.max(F.when(F.col("before") == k, F.col("place"))).alias(f"last{k}") for k in (0, 1)])
+    along = Window.partitionBy("file").orderBy("block")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("opens", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    # A record begins at a line outside quotes; the last such line of a part may be continued in the next ones.
+    last = F.when(F.col("opens") == 0, F.col("last0")).otherwise(F.col("last1"))
+    parts = parts.withColumn("start", F.when(last.isNotNull(), F.struct("block", last.alias("place"))))
+    parts = parts.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "opens", F.last("start", True).over(earlier).alias("earlier"))
+    placed = counted.join(parts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    within = (F.col("before") + F.col("opens")) % 2 == 1
+    placed = placed.select("file", "block", "place", "blank", within.alias("within"), F.when(within, F.col("inside")).otherwise(F.col("outside")).alias("marks"),
+                           (F.col("quotes") % 2 == 1).alias("turns"), "earlier")
+    single = placed.where("NOT within AND NOT turns").select(
+        "file", F.struct("block", "place").alias("start"), F.when(F.col("blank"), 0).otherwise(F.col("marks") + 1).alias("fields"), F.lit(False).alias("open"))
+    begun = F.last(F.when(~F.col("within"), F.struct("block", "place")), True).over(part.rowsBetween(Window.unboundedPreceding, 0))
+    longer = placed.withColumn("start", F.coalesce(begun, "earlier")).where("within OR turns").groupBy("file", "start").agg(
+        (F.sum("marks") + 1).cast("int").alias("fields"), (F.count_if("turns") % 2 == 1).alias("open"))
+    records = single.unionByName(longer)
+    return _counted_records(records.groupBy("file", "fields").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open_quotes"), F.min("start").alias("first")))
+
+
+def ragged_audit(
+    spark: SparkSession, path: str | list[str], *, separator: str = ",", encoding: str = "UTF-8", quoted_breaks: bool = False
+) -> DataFrame:
+    """Records per file that do not have as many fields as the header; blank lines count as malformed.
+
+    file, columns, records, malformed, blank_lines, open_quotes. Lines are reduced to (file, field count) totals in
+    every task; files with line breaks inside quotes show up under ``open_quotes``, the lines with an odd number of quotes.
+    With ``quoted_breaks`` such files are counted again by records, in which quoted line breaks may occur, also where a split
+    of the file falls into one; ``open_quotes`` is then 1 for a file that ends inside quotes.
+    """
+    lines = _lines(spark, path, encoding)
+    counts = _line_counts(lines, separator)
+    if not quoted_breaks:
+        return counts
+    counts = materialized(counts)  # one row per file
+    broken = counts.where("open_quotes > 0").select("file")
+    return counts.where("open_quotes = 0").unionByName(_record_counts(lines.join(broken, "file", "left_semi"), separator))

@@ -26,9 +26,6 @@ SENTENCES = {
         "relationship_unavailable": "Pearson r was unavailable ({reason}); pairwise n = {n}.",
         "change": "On the identical {n} complete pairs, post minus pre change had M = {mean}, SD = {sd}, and median = {median}; direction was not interpreted as improvement.",
         "time": "The date-level series used {n} finite observations; duplicate dates were aggregated by mean and no interpolation was applied.",
-        "category_title": "Frequencies for {label}",
-        "category_note": "Percentages use all {n} valid observations as the denominator.",
-        "finite_note": "Finite valid observations; sample SD uses ddof=1.",
         "direction": "{first} minus {second}",
     },
     "zh-CN": {
@@ -42,9 +39,6 @@ SENTENCES = {
         "relationship_unavailable": "无法计算 Pearson r（{reason}）；成对样本量 n = {n}。",
         "change": "在相同的 {n} 个完整配对中，后测减前测的变化为 M = {mean}、SD = {sd}、中位数 = {median}；未将变化方向解释为改善。",
         "time": "日期序列使用 {n} 个有限观测；同日记录按均值聚合，未进行插值。",
-        "category_title": "{label} 的频数",
-        "category_note": "百分比以全部 {n} 个有效观测为分母。",
-        "finite_note": "仅使用有限有效观测；样本标准差采用 ddof=1。",
         "direction": "{first} minus {second}",
     },
     "es": {
@@ -58,9 +52,6 @@ SENTENCES = {
         "relationship_unavailable": "No se pudo calcular la r de Pearson ({reason}); n por pares = {n}.",
         "change": "En los mismos {n} pares completos, el cambio post menos pre tuvo M = {mean}, DE = {sd} y mediana = {median}; la dirección no se interpretó como mejora.",
         "time": "La serie por fecha usó {n} observaciones finitas; las fechas repetidas se agregaron mediante la media, sin interpolación.",
-        "category_title": "Frecuencias de {label}",
-        "category_note": "Los porcentajes usan las {n} observaciones válidas como denominador.",
-        "finite_note": "Observaciones válidas finitas; la DE muestral usa ddof=1.",
         "direction": "{first} minus {second}",
     },
     "fi": {
@@ -74,9 +65,6 @@ SENTENCES = {
         "relationship_unavailable": "Pearsonin r ei ollut laskettavissa ({reason}); parittainen n = {n}.",
         "change": "Samoissa {n} täydellisessä havaintoparissa loppu- ja alkumittauksen erotuksen KA = {mean}, KH = {sd} ja mediaani = {median}; suuntaa ei tulkittu paranemiseksi.",
         "time": "Päivätason sarja käytti {n} äärellistä havaintoa; samojen päivien havainnot yhdistettiin keskiarvolla ilman interpolointia.",
-        "category_title": "Muuttujan {label} frekvenssit",
-        "category_note": "Prosenttien nimittäjänä ovat kaikki {n} kelvollista havaintoa.",
-        "finite_note": "Äärelliset kelvolliset havainnot; otoskeskihajonta käyttää arvoa ddof=1.",
         "direction": "{first} minus {second}",
     },
 }

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,37 @@ def test_rows_keep_the_order_of_their_files(spark, tmp_path, size):
         assert (found["group_1"], found["group_2"]) == tuple(g for g in seen if g in ("g36", "g1"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def plain_records(data, separator=","):
+    """Fields of each record, counted character by character."""
+    fields, counts, quoted, empty = 1, [], False, True
+    for c in data.removesuffix("\n") + "\n":
+        if c == '"':
+            quoted = not quoted
+        if c == "\n" and not quoted:
+            counts.append(0 if empty else fields)
+            fields, empty = 1, True
+            continue
+        fields += c == separator and not quoted
+        empty = False
+    return counts + ([fields] if quoted else []), quoted
+
+
+@pytest.mark.parametrize("size", ["37b", "200b", "128m"])
+def test_records_with_quoted_line_breaks(spark, tmp_path, size):
+    rng = random.Random(11)
+    cell = lambda: rng.choice(["1", "", '"a,b"', '"two\nlines"', '"\n\n,\n"', '"say ""so"",\nand go"', "plain"])
+    files = {f"f{k}": "a,b,c\n" + "".join(rng.choice([",".join(cell() for _ in range(rng.choice([3, 3, 3, 2, 4]))), ""]) + "\n" for _ in range(60)) for k in range(4)}
+    files["open"] = files["f0"] + 'x,"never closed,\n1,2\n3\n'
+    files["none"] = "a,b,c\n1,2,3\n4,5\n"
+    path = write(tmp_path, **files)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = {r["file"].rsplit("/", 1)[1][:-4]: tuple(r)[1:] for r in delimited.ragged_audit(spark, path, quoted_breaks=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, data in files.items():
+        counts, quoted = plain_records(data)
+        assert found[name] == (3, len(counts) - 1, sum(n != 3 for n in counts[1:]), counts.count(0), int(quoted)), name
