@@ -1,21 +1,21 @@
 """Fuzzy duplicates of lines across all documents.
 
 Lines are normalised (lower case, ASCII punctuation and white space as one blank). Equal lines collapse by a 128-bit digest.
-The distinct ones go to a bucket for each of several least hashes of their byte n-grams (``grams``, the way of the query and
-the pipeline); n grows with the length of the line, and a line that can be alike to one of the next class of lengths goes to
-the buckets of that class, too. Sketches in the rows drop most pairs that cannot be alike. The older way, ``words``, is a
-SimHash over the distinct words with ten buckets for fingerprints that differ in at most three of 64 bits; it finds little but
-equal lines. In a bucket every line is compared with all others, but only the link to the least close line is passed on; the
-edit similarity of each link is verified on the texts. Links that can still join two groups
-after that, all of them, are found and verified in a second turn among the lines that are close to any other. Of every
-connected group the first occurrence, by doc_id and line number, stays.
+Candidates come from buckets: a line goes to one for each of several least hashes of its byte n-grams; n grows with the
+length of the line, and a line that can be alike to one of the next class of lengths goes to the buckets of that class, too.
+Copies of a line go to its buckets once for each slice of documents. SimHashes decide which pairs of a bucket are looked at
+further: one of 56 bits, which travels with the line, and for long lines one of 256 bits over byte n-grams, which is looked
+up for pairs. (SimHash blocks by the pigeonhole principle do not find lines of edit similarity 0.8: a changed letter in ten
+turns a third of the bits. The README has figures.) In a bucket every line is compared with all others, but only one link of
+each is passed on, to the closest line or the least of the very close ones; the edit similarity of each link is verified on
+the texts. Links that can still join two groups after that, all of them, are found and verified in a second turn among the
+lines that are close to any other. Of every connected group the first occurrence, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +26,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from descry.llm.common import map_texts, utf8, written
 from descry.llm.components import components
-from descry.llm.minhash import band_keys, gram_signatures
+from descry.llm.minhash import NONE, _parts, band_keys, binned_signatures, gram_signatures, joined, mixed, window_hashes
 from descry.llm.simhash import close_pairs, whole_groups
 
-#: Bits in which fingerprints may differ; widths of the blocks, of which SHARED are equal then; least edit similarity.
-BITS, BLOCKS, SHARED, SIMILARITY = 3, (13, 13, 13, 13, 12), 2, 0.8
+#: Least edit similarity.
+SIMILARITY = 0.8
 #: Least lengths in characters of the classes of lines and the bytes of their n-grams; least hashes taken, a bucket each.
 LENGTHS, GRAMS, BUCKETS = (0, 12, 24, 64), (3, 5, 8, 14), 16
 #: Lines of this length on are compared by 56 bits of the SimHash of their words, shorter ones by the set of their letters.
-SHORT, SKETCH_BITS = 24, 22
+#: Pairs that differ in more bits are strangers; among those that differ in VERY_CLOSE bits or fewer the least line is taken.
+SHORT, SKETCH_BITS, VERY_CLOSE = 24, 22, 12
+#: Lines of this length on have a SimHash of 4 x 64 bits over their n-grams of this width, which is looked up for pairs; most
+#: bits in which alike lines differ.
+LONG, LONG_GRAM, LONG_BITS = 128, 8, 108
 #: Bits per line of the membership filter and the largest filter that is sent to the executors; beyond it a join decides.
 FILTER_BITS, FILTER_BYTES = 16, 64 << 20
 _LAST = (1 << 63) - 1
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 _BLANKS = bytes.maketrans(bytes(c for c in range(33, 127) if not chr(c).isalnum()), b" " * 32)
 
 
@@ -58,36 +51,81 @@ def normal_lines(text: str) -> list[bytes]:
     return [b" ".join(line.split()) for line in text.lower().encode().translate(_BLANKS).split(b"\n")]
 
 
-#: The bits of a byte as eight counters of one byte each.
-_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-#: Words counted together, so that no counter overflows; words handled at a time.
-_RUN, _WORDS = 255, 1 << 16
+#: The lowest bit of each byte of a number.
+_LOWEST = np.uint64(0x0101010101010101)
+#: Values counted together, so that no counter of one byte overflows; values handled at a time.
+_RUN, _VALUES = 255, 1 << 16
 
 
-def line_fingerprints(lines: list[bytes], hashes: dict) -> np.ndarray:
-    """Majority bits over the distinct words of each line; lines must have a word."""
-    words = [set(line.split()) for line in lines]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-    runs = -(-sizes // _RUN)  # a long line is counted in several runs
-    line = np.repeat(np.arange(len(lines)), runs)
-    within = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)
-    starts = (np.cumsum(sizes) - sizes)[line] + within * _RUN
-    ones = np.zeros((len(lines), 64), np.int32)
-    for a, b in _blocks(starts, len(flat)):
+def majority_bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For successive parts of ``flat``, none empty, the bits that are set in more than half of their values."""
+    runs = -(-sizes // _RUN)  # a long part is counted in several runs
+    part = np.repeat(np.arange(len(sizes)), runs)
+    within = np.arange(len(part)) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = (np.cumsum(sizes) - sizes)[part] + within * _RUN
+    ones = np.zeros((len(sizes), 64), np.int32)
+    cuts = np.flatnonzero(np.diff(starts // _VALUES, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)]):
         first, last = starts[a], starts[b] if b < len(starts) else len(flat)
-        octets = flat[first:last].view(np.uint8).reshape(-1, 8)
-        sums = np.stack([np.add.reduceat(_COUNTERS[octets[:, k]], starts[a:b] - first) for k in range(8)], axis=1).view(np.uint8)
+        values = flat[first:last]
+        # Eight counters a number: those of the k-th bits of its bytes.
+        sums = np.stack([np.add.reduceat(values >> np.uint64(k) & _LOWEST, starts[a:b] - first) for k in range(8)], axis=1).view(np.uint8)
+        sums = sums.reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
         if runs.max() == 1:
-            ones[line[a:b]] = sums
+            ones[part[a:b]] = sums
         else:
-            np.add.at(ones, line[a:b], sums)
+            edges = np.flatnonzero(np.append(True, part[a + 1 : b] != part[a : b - 1]))
+            ones[part[a:b][edges]] += np.add.reduceat(sums.astype(np.int32), edges, axis=0)
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def _blocks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
-    cuts = np.flatnonzero(np.diff(starts // _WORDS, prepend=-1))
-    yield from zip(cuts, [*cuts[1:], len(starts)])
+def distinct_hashes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in successive parts of ``hashes``, hashed again, and their numbers. Else a frequent word or n-gram
+    would decide most bits, and strangers of one language would look alike."""
+    bits = np.uint64(21)  # a slice of BLOCK bytes has fewer lines; the same for all, as hashes must not depend on neighbours
+    keyed = np.unique(np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << (np.uint64(64) - bits) | hashes >> bits)
+    return mixed((keyed << bits) * _BASE), np.bincount((keyed >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(counts))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def line_fingerprints(lines: list[bytes]) -> np.ndarray:
+    """SimHash over the distinct words of each line; lines must have a word. Word hashes are differences of running sums."""
+    out = [np.zeros(0, np.int64)]
+    for part in _parts(lines):
+        octets, _, _ = joined(part, 1)
+        space = (octets == 32) | (octets == 0)
+        sums = np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(np.full(len(octets), _BASE)))
+        back = np.multiply.accumulate(np.full(len(octets), _INVERSE))
+        ends = np.flatnonzero(space)
+        before = np.append(-1, ends[:-1])  # place of the blank before each word
+        first = before < 0
+        hashes = mixed((sums[ends - 1] - np.where(first, np.uint64(0), sums[before])) * np.where(first, np.uint64(1), back[before]))
+        words = np.diff(np.searchsorted(ends, np.flatnonzero(octets == 0)), prepend=-1)
+        out.append(majority_bits(*distinct_hashes(hashes, words)))
+    return np.concatenate(out)
+
+
+def long_sketches(lines: list[bytes]) -> np.ndarray:
+    """256 bits, as four numbers, of the SimHash over the distinct 8-grams of each line, of which one in eight is taken; zeros
+    where none is, and where most are repeats: a few edits then bring in as many new ones as there are."""
+    out = [np.zeros((0, 4), np.int64)]
+    for part in _parts(lines):
+        octets, starts, sizes = joined(part, LONG_GRAM)
+        hashes = window_hashes(octets, LONG_GRAM)
+        taken = np.flatnonzero(hashes >> np.uint64(61) == 0)
+        line = np.searchsorted(starts, taken, side="right") - 1
+        inside = taken < starts[line] + sizes[line] - LONG_GRAM + 1
+        every = np.bincount(line[inside], minlength=len(part))
+        flat, counts = distinct_hashes(hashes[taken[inside]], every)
+        some, found = np.flatnonzero(counts), np.zeros((len(part), 4), np.int64)
+        for k in range(4 if len(some) else 0):
+            found[some, k] = majority_bits(mixed((flat + np.uint64(k + 1)) * _BASE), counts[some])
+        found[2 * counts < every] = 0
+        out.append(found)
+    return np.concatenate(out)
 
 
 def _digests(line: bytes) -> tuple[int, int]:
@@ -95,9 +133,7 @@ def _digests(line: bytes) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _line_setup(fingerprinted: bool):
-    hashes = _WordHashes()
-
+def _line_setup(_):
     def handle(batch: pa.RecordBatch) -> dict:
         texts = utf8(batch)
         rows = [(i, n, line) for i, text in enumerate(texts) for n, line in enumerate(normal_lines(text.decode())) if line]
@@ -105,9 +141,13 @@ def _line_setup(fingerprinted: bool):
         digest = np.array([_digests(line) for line in lines], np.int64).reshape(-1, 2)
         docs = np.array([_LAST if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
         at = np.array([i for i, _, _ in rows], np.int64)
+        long = np.fromiter((len(line.decode()) >= LONG for line in lines), bool, len(lines))
+        sketch = np.zeros((len(lines), 4), np.int64)
+        sketch[long] = long_sketches([line for line, is_long in zip(lines, long.tolist()) if is_long])
+        absent = ~sketch.any(axis=1)
         return {"doc": docs[at] if len(at) else at, "row": np.array([xxhash.xxh64_intdigest(t, 42) >> 1 for t in texts], np.int64)[at] if len(at) else at,
-                "line": np.array([n for _, n, _ in rows], np.int32), "h1": digest[:, 0], "h2": digest[:, 1],
-                "fp": line_fingerprints(lines, hashes) if lines and fingerprinted else digest[:, 0]}
+                "line": np.array([n for _, n, _ in rows], np.int32), "h1": digest[:, 0], "h2": digest[:, 1]} | {
+                f"s{k}": pa.array(sketch[:, k], pa.int64(), mask=absent) for k in range(4)}
 
     return handle
 
@@ -120,7 +160,7 @@ def _letters(line: str) -> int:
     return mask
 
 
-def gram_buckets(lines: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_buckets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position in lines, bucket, sketch) for all buckets of each line. The lowest eight bits of a sketch are the length of a
     short line, else 64 and the logarithm of the length."""
     texts = [line.decode() for line in lines]
@@ -132,41 +172,45 @@ def gram_buckets(lines: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarr
         if not len(at):
             continue
         mine = [lines[i] for i in at]
-        key = band_keys(gram_signatures(mine, width, BUCKETS), 1, number + 1)
+        binned = number == len(LENGTHS) - 1
+        signatures = (binned_signatures if binned else gram_signatures)(mine, width, BUCKETS)
+        key = band_keys(signatures, 1, number + 1).view(np.int64)
         if least < SHORT:
             sketch = np.array([_letters(texts[i]) << 8 for i in at], np.uint64) | sizes[at].astype(np.uint64)
         else:
             scale = np.minimum(np.log(sizes[at] / 16) / np.log(1.04), 191).astype(np.uint64)
-            sketch = line_fingerprints(mine, hashes).view(np.uint64) & ~np.uint64(255) | (np.uint64(64) + scale)
-        where.append(np.repeat(at, BUCKETS))
-        keys.append(key.view(np.int64).ravel())
-        sketches.append(np.repeat(sketch.view(np.int64), BUCKETS))
+            sketch = line_fingerprints(mine).view(np.uint64) & ~np.uint64(255) | (np.uint64(64) + scale)
+        filled = signatures != NONE if binned else np.ones(key.shape, bool)
+        where.append(np.repeat(at, filled.sum(axis=1)))
+        keys.append(key[filled])
+        sketches.append(np.repeat(sketch.view(np.int64), filled.sum(axis=1)))
     return np.concatenate(where), np.concatenate(keys), np.concatenate(sketches)
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of two lines differ."""
+    return np.bitwise_count((a ^ b) >> np.uint64(8))
+
+
 def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether lines with these sketches can be alike: certain for short ones and for lengths, a bound on bits for others."""
     m, n = (a & np.uint64(255)).astype(np.int64), (b & np.uint64(255)).astype(np.int64)
-    bits, apart, most = np.bitwise_count((a ^ b) >> np.uint64(8)), np.abs(m - n), np.maximum(m, n) // 5
+    bits, apart, most = distance(a, b), np.abs(m - n), np.maximum(m, n) // 5
     return np.where(m < 64, (apart <= most) & (bits <= 2 * most), (apart <= 6) & (bits <= SKETCH_BITS))
 
 
 def _gram_setup(_):
-    hashes = _WordHashes()
-
     def handle(batch: pa.RecordBatch) -> dict:
         lines = list({line for text in utf8(batch) for line in normal_lines(text.decode()) if line})
-        at, key, sketch = gram_buckets(lines, hashes)
+        at, key, sketch = gram_buckets(lines)
         return {"key": key, "fp": sketch, "h1": np.array([_digests(line)[0] for line in lines], np.int64)[at] if lines else key}
 
     return handle
 
 
 def _labelled_gram_setup(_):
-    hashes = _WordHashes()
-
     def handle(batch: pa.RecordBatch) -> dict:
-        at, key, sketch = gram_buckets(utf8(batch, "line_text"), hashes)
+        at, key, sketch = gram_buckets(utf8(batch, "line_text"))
         return {"key": key, "fp": sketch, "h1": batch.column("h1").to_numpy()[at], "label": batch.column("label").to_numpy()[at]}
 
     return handle
@@ -175,19 +219,9 @@ def _labelled_gram_setup(_):
 _PLACED = [("key", "bigint", pa.int64()), ("fp", "bigint", pa.int64()), ("h1", "bigint", pa.int64())]
 
 
-def _spread(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.RecordBatch]:
-    edges = np.cumsum([0, *BLOCKS])
-    for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        parts = [(fp >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
-        for number, (i, j) in enumerate(combinations(range(len(BLOCKS)), SHARED)):
-            key = (np.uint64(number) << np.uint64(26)) | parts[i] << np.uint64(13) | parts[j]
-            columns = [pa.array(key.astype(np.int32)), batch.column("fp"), batch.column("h1")] + ([batch.column("label")] if labelled else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "h1", "label"][: len(columns)])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], every: bool, close) -> Iterator[pa.RecordBatch]:
-    """Close lines of a bucket: for each line its least close one, or ``every`` pair of lines with different labels."""
+def _compare(batches: Iterator[pa.RecordBatch], every: bool, close: Callable, apart: Callable | None) -> Iterator[pa.RecordBatch]:
+    """Close lines of a bucket: ``every`` pair of lines with different labels, or for each line one. That is its least close
+    line, or, if ``apart`` tells distances, its closest one, where those under VERY_CLOSE count as equally close."""
     for part in whole_groups(batches, lambda c: c["key"]):
         again = np.append(False, (part["key"][1:] == part["key"][:-1]) & (part["h1"][1:] == part["h1"][:-1]))
         part = {column: values[~again] for column, values in part.items()} if again.any() else part
@@ -201,20 +235,16 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool, close) -> Iterator[
             if every:
                 u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
             else:
-                first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                u, v = u[first], np.minimum.reduceat(v, first)
+                far = np.maximum(apart(fp[a], fp[b]).astype(np.int64), VERY_CLOSE) if apart else np.zeros(len(a), np.int64)
+                order = np.lexsort((v, far, a))
+                first = order[np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))]
+                u, v = u[first], v[first]
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _candidates(lines: DataFrame, every: bool) -> DataFrame:
-    """Pairs (u, v) of close lines, u > v, repeated ones once."""
-    kind = "key int, fp bigint, h1 bigint" + (", label bigint" if every else "")
-    return bucket_pairs(lines.mapInArrow(partial(_spread, labelled=every), kind), every, BITS)
-
-
-def bucket_pairs(placed: DataFrame, every: bool, close) -> DataFrame:
+def bucket_pairs(placed: DataFrame, every: bool, close: Callable, apart: Callable | None = None) -> DataFrame:
     """Pairs (u, v), u > v, of names h1 that share a key and are ``close`` by fp (see ``close_pairs``), repeated ones once."""
-    found = placed.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(partial(_compare, every=every, close=close), "u bigint, v bigint")
+    found = placed.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(partial(_compare, every=every, close=close, apart=apart), "u bigint, v bigint")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -224,13 +254,22 @@ def places(ids: np.ndarray, size: int) -> list[np.ndarray]:
     return [((x * np.uint64(odd)) >> np.uint64(20)) % np.uint64(size) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def _text_setup(state: bytes | None):
-    member = None if state is None else np.unpackbits(np.frombuffer(state, np.uint8)).astype(bool)
+def passing(ids: np.ndarray, packed: bytes | None) -> np.ndarray:
+    """Which ids the filter lets pass; all without a filter. The bits stay packed."""
+    keep = np.ones(len(ids), bool)
+    if packed is None or not len(ids):
+        return keep
+    octets = np.frombuffer(packed, np.uint8)
+    for at in places(ids, 8 * len(octets)):
+        keep &= (octets[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return keep
 
+
+def _text_setup(state: bytes | None):
     def handle(batch: pa.RecordBatch) -> dict:
         lines = list({line for text in utf8(batch) for line in normal_lines(text.decode()) if line})
         h1 = np.array([_digests(line)[0] for line in lines], np.int64)
-        keep = np.arange(len(lines)) if member is None or not len(lines) else np.flatnonzero(np.logical_and(*(member[b] for b in places(h1, len(member)))))
+        keep = np.flatnonzero(passing(h1, state))
         return {"h1": h1[keep], "line_text": [lines[i].decode() for i in keep]}
 
     return handle
@@ -238,25 +277,24 @@ def _text_setup(state: bytes | None):
 
 def membership(wanted: DataFrame, count: int) -> bytes | None:
     """A filter that lets pass all ids of ``wanted`` and few others; None if it would be too large to send around."""
-    size = max(64, count * FILTER_BITS)
-    if size // 8 > FILTER_BYTES:
+    octets = -(-max(64, count * FILTER_BITS) // 8)
+    if octets > FILTER_BYTES:
         return None
-    size += -size % 8
 
     def fill(batches):
-        mask = np.zeros(size, bool)
+        found = [np.zeros(0, np.uint64)]
         for batch in batches:
-            for at in places(batch.column("h1").to_numpy(), size):
-                mask[at] = True
-        filled = np.flatnonzero(mask)
-        yield pa.RecordBatch.from_arrays([pa.array(filled // (1 << 13)), pa.array(filled % (1 << 13))], names=["page", "bit"])
+            found += [np.unique(np.concatenate(places(batch.column("h1").to_numpy(), 8 * octets)))]
+        filled = np.unique(np.concatenate(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(filled >> 13), pa.array(filled & (1 << 13) - 1)], names=["page", "bit"])
 
     # Set bits are sent page by page; the whole filter is at most FILTER_BYTES.
-    pages = wanted.mapInArrow(fill, "page bigint, bit bigint").groupBy("page").agg(F.collect_set("bit").alias("bits"))
-    mask = np.zeros(size, bool)
+    pages = wanted.select("h1").mapInArrow(fill, "page bigint, bit bigint").groupBy("page").agg(F.collect_set("bit").alias("bits"))
+    packed = np.zeros(octets, np.uint8)
     for row in pages.toLocalIterator():
-        mask[row["page"] * (1 << 13) + np.array(row["bits"])] = True
-    return np.packbits(mask).tobytes()
+        at = (row["page"] << 13) + np.array(row["bits"])
+        np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return packed.tobytes()
 
 
 def _trigram_counts(text: str, size: int) -> np.ndarray:
@@ -269,7 +307,7 @@ def within_reach(a: str, b: str, most: int) -> bool:
     """False only if the edit distance is over ``most``: one edit changes three of the trigrams of either text at most."""
     if min(len(a), len(b)) < 3:
         return True
-    size = max(1024, 1 << (4 * max(len(a), len(b))).bit_length())
+    size = max(1024, min(1 << 16, 1 << (4 * max(len(a), len(b))).bit_length()))  # fewer bins only weaken the bound
     return int(np.abs(_trigram_counts(a, size) - _trigram_counts(b, size)).sum()) <= 6 * most
 
 
@@ -279,6 +317,13 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([within_reach(*v) for v in values], pa.bool_()))
 
 
+def _not_strangers(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) of which one has no sketch of 256 bits, or both have and these differ in LONG_BITS or fewer."""
+    left, right = sketches.toDF("u", *[f"a{k}" for k in range(4)]), sketches.toDF("v", *[f"b{k}" for k in range(4)])
+    bits = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
+    return pairs.join(left, "u", "left").join(right, "v", "left").where(f"a0 IS NULL OR b0 IS NULL OR {bits} <= {LONG_BITS}").select("u", "v")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are alike: edit distance at most (1 - similarity) times the longer length."""
     left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
@@ -286,48 +331,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", most.alias("most"))
     both = both.mapInArrow(_reached, "u bigint, v bigint, a string, b string, most int")
-    # -1 beyond the bound, found without the whole table. Most pairs differ in few places, so narrow bands come first.
-    bands = [f"levenshtein(a, b, least(most, {width})) >= 0" for width in (16, 128)]
+    # -1 beyond the bound, found in two rows of the table. Most pairs differ in few places, so narrow bands come first.
+    bands = [f"levenshtein(a, b, least(most, {width})) >= 0" for width in (16, 128, 1024)]
     return both.where(" OR ".join([*bands, "levenshtein(a, b, most) >= 0"])).select("u", "v")
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, by: str = "words") -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, row, line): the lines that go. ``doc`` is the doc_id (the largest long for null), ``row`` a hash of the text.
 
     Lines without a word never go. Null texts have no lines. Repeated rows (same doc_id and text) lose the same lines, so
-    the first occurrence stays in each of them. Candidates are found ``by`` "grams" or "words"; see the module.
+    the first occurrence stays in each of them. Lines of any length are compared, whole; time for two long lines that are
+    close but not alike grows with a fifth of the square of their length, memory with the length.
     """
-    if by not in ("grams", "words") or by == "grams" and similarity < SIMILARITY:
-        raise ValueError(f"Candidates are found by 'grams', for a similarity from {SIMILARITY} on, or by 'words'.")
-    grams = by == "grams"
+    if similarity < SIMILARITY:
+        raise ValueError(f"Candidates are chosen for a similarity from {SIMILARITY} on.")
     source = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    kinds = [("doc", "bigint", pa.int64()), ("row", "bigint", pa.int64()), ("line", "int", pa.int32()),
-             ("h1", "bigint", pa.int64()), ("h2", "bigint", pa.int64()), ("fp", "bigint", pa.int64())]
-    occurrences = written(map_texts(source, _line_setup, not grams, kinds), "lines")
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+    names = ("h1", "h2", "s0", "s1", "s2", "s3")
+    kinds = [("doc", "bigint", pa.int64()), ("row", "bigint", pa.int64()), ("line", "int", pa.int32()), *[(n, "bigint", pa.int64()) for n in names]]
+    occurrences = written(map_texts(source, _line_setup, None, kinds), "lines")
+    distinct = occurrences.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc", "row", "line")).alias("first"), F.count("*").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)])
     distinct = written(distinct, "distinct")
-    if grams:
-        pairs = written(bucket_pairs(map_texts(source, _gram_setup, None, _PLACED), False, may_be_alike), "close")
-    else:
-        pairs = written(_candidates(distinct.select("fp", "h1"), False), "close")
+    sketches = distinct.where("s0 IS NOT NULL").select("h1", "s0", "s1", "s2", "s3")
+    placed = map_texts(source, _gram_setup, None, _PLACED)
+    pairs = written(_not_strangers(bucket_pairs(placed, False, may_be_alike, distance), sketches), "close")
     near = written(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct(), "near")
     member = membership(near, near.count())
     texts = map_texts(source, _text_setup, member, [("h1", "bigint", pa.int64()), ("line_text", "string", pa.string())])
     texts = written(texts.join(near, "h1", "left_semi").groupBy("h1").agg(F.first("line_text").alias("line_text")), "texts")
     links = written(_verified(pairs, texts, similarity), "links")
     labels = components(links)
-    known = (texts if grams else distinct.join(near, "h1", "left_semi").select("fp", "h1")).join(labels.toDF("h1", "label"), "h1", "left")
-    known = known.withColumn("label", F.coalesce("label", "h1"))
-    if grams:
-        placed = map_texts(known, _labelled_gram_setup, None, [*_PLACED, ("label", "bigint", pa.int64())], "line_text")
-        rest = bucket_pairs(placed, True, may_be_alike)
-    else:
-        rest = _candidates(known.select("fp", "h1", "label"), True)
-    rest = written(rest, "close")
+    known = texts.join(labels.toDF("h1", "label"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    placed = map_texts(known, _labelled_gram_setup, None, [*_PLACED, ("label", "bigint", pa.int64())], "line_text")
+    rest = written(_not_strangers(bucket_pairs(placed, True, may_be_alike), sketches), "close")
     groups = components(links.unionByName(_verified(rest, texts, similarity))).toDF("h1", "root")
     # The first occurrence of each group; only lines that are repeated or close to others can lose one.
     members = groups.unionByName(groups.select(F.col("root").alias("h1"), "root").distinct())
-    named = distinct.join(members, "h1", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "h1"))
+    named = distinct.select("h1", "h2", "first", "n").join(members, "h1", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "h1"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     lost = named.join(first, "root").select("h1", "h2", "stays")
     where = F.struct("doc", "row", "line")
@@ -348,13 +388,13 @@ def _cut_setup(_):
     return handle
 
 
-def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, by: str = "words") -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with their texts less the duplicate lines, and n_lines and n_dropped (in place of columns of these names).
 
     Null texts stay null, with 0 lines. Lines are cut at ``\\n``. A text of which all lines went is empty. See
     ``duplicate_lines`` for ties and repeated rows.
     """
-    gone = duplicate_lines(docs, similarity, by).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
+    gone = duplicate_lines(docs, similarity).groupBy("doc", "row").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc": "__gone_doc", "row": "__gone_row"})
     gone = written(gone, "gone")  # its size is then known before the join, so that texts move only where they must
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__row": F.shiftrightunsigned(F.xxhash64("text"), 1)})
     joined = keyed.join(gone, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__row") == F.col("__gone_row")), "left")
