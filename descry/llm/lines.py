@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -311,10 +312,39 @@ def within_reach(a: str, b: str, most: int) -> bool:
     return int(np.abs(_trigram_counts(a, size) - _trigram_counts(b, size)).sum()) <= 6 * most
 
 
-def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def within_distance(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is ``most`` or less: a column of the table at a time, its steps as the bits of two numbers."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    start = len(commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    last, every = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, distance = every, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        equal = places.get(c, 0)
+        vertical = equal | down
+        level = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | (every & ~(level | up)), up & level
+        distance += (rise & last > 0) - (fall & last > 0)
+        if distance - left > most:  # each character to come takes one off at most
+            return False
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(vertical | rise)) & every, rise & vertical & every
+    return distance <= most
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = zip(*(batch.column(name).to_pylist() for name in ("a", "b", "most")))
-        yield batch.filter(pa.array([within_reach(*v) for v in values], pa.bool_()))
+        keep = pa.array([within_reach(*v) and within_distance(*v) for v in values], pa.bool_())
+        yield batch.select(["u", "v"]).filter(keep)
 
 
 def _not_strangers(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -330,10 +360,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longest = F.greatest(F.length("a"), F.length("b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", most.alias("most"))
-    both = both.mapInArrow(_reached, "u bigint, v bigint, a string, b string, most int")
-    # -1 beyond the bound, found in two rows of the table. Most pairs differ in few places, so narrow bands come first.
-    bands = [f"levenshtein(a, b, least(most, {width})) >= 0" for width in (16, 128, 1024)]
-    return both.where(" OR ".join([*bands, "levenshtein(a, b, most) >= 0"])).select("u", "v")
+    return both.mapInArrow(_alike, "u bigint, v bigint")
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -341,7 +368,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Lines without a word never go. Null texts have no lines. Repeated rows (same doc_id and text) lose the same lines, so
     the first occurrence stays in each of them. Lines of any length are compared, whole; time for two long lines that are
-    close but not alike grows with a fifth of the square of their length, memory with the length.
+    close but not alike grows with the square of their length, in steps of many bits at once, memory with the length.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"Candidates are chosen for a similarity from {SIMILARITY} on.")
