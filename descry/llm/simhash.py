@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from descry.llm.common import map_texts, utf8, written
 from descry.llm.components import components, stars
@@ -172,6 +173,14 @@ def fingerprint_links(distinct: DataFrame, bits: int = THRESHOLD) -> DataFrame:
             .mapInArrow(partial(_compare, bits=bits), "u bigint, v bigint"))
 
 
+def _components(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp) of the documents, and (fp, root, least_id) of their fingerprints: the component and the least doc_id."""
+    fps = written(fingerprints(docs, width), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = components(fingerprint_links(classes, bits))
+    return fps, classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root"), "least_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) per document: the smallest doc_id reachable over fingerprints within ``bits``.
 
@@ -179,20 +188,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = THRESHOLD) -> D
     fingerprints collapse before anything is compared. A null doc_id belongs to its component but is never its name, unless
     no document of it has one. Repeated rows get equal results. An empty table gives no rows. Only doc_id and text are read.
     """
-    fps = written(fingerprints(docs, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(fingerprint_links(classes, bits))
-    merged = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
+    fps, merged = _components(docs, width, bits)
     least = merged.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = written(merged.join(least, "root").select("fp", "component_id"), "components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _printed_rows_setup(width: int):
+    def handle(batch: pa.RecordBatch) -> dict:
+        return dict(zip(batch.schema.names, batch.columns)) | {"__fp": np.array([fingerprint(t, width) for t in utf8(batch)], np.int64)}
+
+    return handle
+
+
 def one_of_each(docs: DataFrame, width: int = 3, bits: int = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each component the one that names it stays, once if its row is repeated.
+    """The documents without near-duplicates: of each component the row with the smallest doc_id stays, once if repeated.
 
-    Rows without a doc_id stay, as nothing can refer to them. All columns are returned.
+    A doc_id may stand for several texts: rows are told apart by it and their fingerprint. Of rows of one component with the
+    same doc_id one fingerprint stays, of rows with the same doc_id and fingerprint one row. Rows without a doc_id stay, as
+    nothing can refer to them. All columns are returned.
     """
-    found = near_duplicates(docs, width, bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    _, classes = _components(docs, width, bits)
+    stays = classes.where("least_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("least_id", "fp")).alias("s")).selectExpr("s.least_id AS __id", "s.fp AS __name")
+    fields = [(f.name, f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in docs.schema]
+    rows = map_texts(docs.where("doc_id IS NOT NULL"), _printed_rows_setup, width, [*fields, ("__fp", "bigint", pa.int64())])
+    kept = rows.join(stays, (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.col("__fp") == F.col("__name")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__fp"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
