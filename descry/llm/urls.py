@@ -38,14 +38,12 @@ class Rule:
 class TreeSettings:
     """``risk`` of taking like branches for different, ``purity`` for rejection, ``prior`` labels' worth of smoothing.
 
-    Templates are as deep as the deepest path, ``depth`` segments at most; longer paths share the template of their first
-    ``depth`` segments.
+    Templates are as deep as the paths.
     """
 
     risk: float = 0.05
     purity: float = 0.8
     prior: float = 4.0
-    depth: int = 12
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -79,15 +77,27 @@ def _unlike(settings: TreeSettings, k: str, n: str) -> Column:
 def template_tree(shapes: DataFrame, settings: TreeSettings) -> DataFrame:
     """(host, segments, template, p): the template of every path shape and its smoothed share of blocked urls.
 
+    Templates grow from the host down, all shapes of a template at a time, until every shape has ended. Each round takes what
+    they share and one segment in which they differ, so the rounds are as many as the branchings on the way to a shape.
+
     ``shapes`` has host, segments, n, labelled and blocked, one row per host and segments.
     """
-    totals = shapes.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)), F.coalesce(F.max(F.size("segments")), F.lit(0))).first()
-    share, deepest = float(totals[0]), min(int(totals[1]), settings.depth)
-    counts = ["n", "labelled", "blocked", "ends"]
-    tree = shapes.withColumn("template", F.lit(""))
-    for level in range(1, deepest + 1):
-        tree = tree.withColumn("branch", F.get("segments", F.lit(level - 1)))
-        tree = tree.withColumn("ends", F.when(F.size("segments") == level, F.col("n")).otherwise(0))
+    share = float(shapes.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0))).first()[0])
+    counts, names = ["n", "labelled", "blocked", "ends"], ["host", "segments", "n", "labelled", "blocked", "template"]
+    tree, done = shapes.withColumn("template", F.lit("")).withColumn("at", F.lit(0)), []
+    rest = lambda: F.slice("segments", F.col("at") + 1, F.size("segments"))
+    while True:
+        done.append(tree.where(F.size("segments") == F.col("at")).select(names))
+        tree = tree.where(F.size("segments") > F.col("at"))
+        if tree.isEmpty():
+            break
+        # What all shapes of a template share is taken in one step: the common start of the least and the greatest rest.
+        ends = tree.groupBy("host", "template").agg(F.min(rest()).alias("least"), F.max(rest()).alias("greatest"))
+        differ = F.array_position(F.zip_with("least", "greatest", lambda a, b: F.coalesce(a == b, F.lit(False))), False).cast("int")
+        shared = F.when(differ == 0, F.col("least")).otherwise(F.slice("least", F.lit(1), differ - 1))
+        tree = tree.join(ends.select("host", "template", shared.alias("shared")), ["host", "template"])
+        tree = tree.withColumn("at", F.col("at") + F.size("shared")).withColumn("template", F.concat("template", F.array_join(F.transform("shared", lambda s: F.concat(F.lit("/"), s)), "")))
+        tree = tree.withColumn("branch", F.get("segments", F.col("at"))).withColumn("ends", F.when(F.size("segments") == F.col("at") + 1, F.col("n")).otherwise(0))
         branches = tree.where("branch IS NOT NULL").groupBy("host", "template", "branch").agg(*[F.sum(c).alias(c) for c in counts])
         pools = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts], F.count("*").alias("siblings"))
         own = reduce(lambda a, b: a | b, [_unlike(settings, "labelled", "n"), _unlike(settings, "blocked", "labelled"), _unlike(settings, "ends", "n")])
@@ -95,17 +105,20 @@ def template_tree(shapes: DataFrame, settings: TreeSettings) -> DataFrame:
         named = branches.join(pools, ["host", "template"]).withColumn(
             "name", F.when(variable, F.col("branch")).when((F.col("siblings") == 1) | own, F.col("branch")).otherwise(WILDCARD))
         tree = tree.join(named.select("host", "template", "branch", "name"), ["host", "template", "branch"], "left")
+        tree = tree.withColumn("at", F.when(F.col("name").isNull(), F.col("at")).otherwise(F.col("at") + 1))
         tree = tree.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")))
-        tree = written(tree.drop("branch", "ends", "name"), "tree")
+        tree = written(tree.select(*names, "at"), "tree")
+    tree = reduce(DataFrame.unionByName, done)
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    purity = sums.withColumn("p", (F.col("b") + settings.prior * share) / (F.col("l") + settings.prior)).drop("l", "b")
+    purity = sums.withColumn("p", F.when(F.col("l") > 0, (F.col("b") + settings.prior * share) / (F.col("l") + settings.prior))).drop("l", "b")
     return tree.join(purity, ["host", "template"]).select("host", "segments", "template", "p")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], settings: TreeSettings = TreeSettings()) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, p): one row per page, in no order.
 
-    ``verdict`` is that of the longest fitting rule, else ``block`` for a rejected template and ``allow`` otherwise.
+    ``verdict`` is that of the longest fitting rule, else ``block`` for a rejected template and ``allow`` otherwise. A template
+    without a labelled url has no purity (``p`` is null) and is not rejected.
     Null urls and urls without ``://`` have empty host and path; they form a template of their own. Without any label
     nothing is rejected. Repeated rows and null page_ids are judged like any other; other columns are ignored.
     """
