@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from descry.llm.common import map_texts
+from descry.llm.samples import hashed_ids
 
 #: Fixed patterns in the order in which kinds are listed, each with its least length (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -189,7 +190,7 @@ class Field:
 
 @dataclass(frozen=True)
 class Training:
-    """At most ``documents`` sampled documents give ``windows`` windows of ``characters`` characters each."""
+    """At most ``documents`` sampled documents give ``windows`` windows of ``characters`` characters each, from anywhere."""
 
     documents: int = 1500
     windows: int = 3
@@ -233,12 +234,11 @@ def _look_alike(rng: np.random.Generator) -> str:
     ][rng.integers(12)]()
 
 
-def _windows(texts: list[str], settings: Training) -> list[tuple[str, list[tuple[int, int]]]]:
+def _windows(cut: list[list[str]], settings: Training) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Examples from the windows of each document: as they are or with something put in, a made-up secret or a look-alike."""
     rng, out = np.random.default_rng(settings.seed), []
-    for text in texts:
-        for k in range(settings.windows):
-            at = int(rng.integers(0, max(1, len(text) - settings.characters + 1)))
-            window = text[at : at + settings.characters]
+    for windows in cut:
+        for k, window in enumerate(windows):
             place = window.find(" ", int(rng.integers(0, max(1, len(window)))))
             place = len(window) if place < 0 else place + 1
             put, spans = ("", []) if k == 2 else (_look_alike(rng), []) if rng.random() < 0.5 else (None, None)
@@ -257,13 +257,20 @@ def _windows(texts: list[str], settings: Training) -> list[tuple[str, list[tuple
 
 
 def train(docs: DataFrame, settings: Training = Training()) -> Field:
-    """A field trained on the documents with the smallest hash of doc_id, a bounded sample; see ``Training``."""
-    rank = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
-    cut = F.substring("text", 1, 20 * settings.characters)  # the sample is bounded in length too
-    rows = docs.where("text IS NOT NULL").select(rank.alias("rank"), "doc_id", cut.alias("text")).orderBy("rank", "doc_id", "text").limit(settings.documents).collect()
+    """A field trained on windows of the documents with the smallest hash of doc_id, a bounded sample; see ``Training``.
+
+    Ids are chosen first; the windows are cut at hashed places of the whole texts where the texts are. Null texts and
+    null doc_ids give no examples; of several rows with one doc_id one counts.
+    """
+    known = docs.where("text IS NOT NULL")
+    ids = hashed_ids(known, settings.documents, settings.seed)  # at most ``documents`` rows
+    room = F.greatest(F.length("text") - settings.characters + 1, F.lit(1))
+    cuts = [F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(settings.seed), F.lit(k)), room).cast("int"), F.lit(settings.characters)) for k in range(settings.windows)]
+    cut = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "rank", F.array(*cuts).alias("windows"))
+    rows = cut.groupBy("doc_id", "rank").agg(F.min("windows").alias("windows")).orderBy("rank", "doc_id").collect()
     rng = np.random.default_rng(settings.seed)
     field = Field(np.zeros((sum(SIZES.values()), 3), np.float32), np.array([[0, 0, _NEVER], [0, 0, 0], [0, 0, 0]], np.float32))
-    windows = _windows([r["text"] for r in rows] or [""], settings)
+    windows = _windows([r["windows"] for r in rows] or [[""] * settings.windows], settings)
     examples = []
     for window, spans in windows:
         found = featured([window])
